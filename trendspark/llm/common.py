@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; set one only where there is none."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where there is none."""
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        at = sc._jsc.sc().getCheckpointDir()
+    return at.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new name for tables in the shared checkpoint folder."""
+    return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def ascii_lower(c):
     """A-Z only; `lower` is used where the text has no other letters, as it is faster."""
     plain = F.length(c) == F.octet_length(c)

@@ -1,11 +1,15 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from trendspark.llm import line_dedup, quality_classifier, quality_rules, toxicity, url_filter
+from trendspark.llm import decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
     "op3_quality_classifier": quality_classifier.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_url_filter": url_filter.query,
+    "op7_ngram_jaccard_join": ngram_join.query,
+    "op8_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_toxicity": toxicity.query,
 }
