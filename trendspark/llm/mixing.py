@@ -15,6 +15,7 @@ from trendspark.llm.common import checkpoint, held_out, table
 #: Domains of the labelled table, and the share of tokens that each is to have.
 TARGETS = {"good": 0.86, "poor": 0.05, "toxic": 0.09}
 PER_DOMAIN = 2000
+WORD_WEIGHT = 4.0  # of the words against the statistics
 STAY = 1e-3  # weight of the distance of the rates from 1, which makes them unique
 ITERATIONS = 50
 TOLERANCE = 5e-4
@@ -26,6 +27,11 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null")
 
 
+def _features(texts: list[bytes]):
+    doc, feature, value = quality_classifier.features(texts, np.full(len(texts), -1.0))
+    return doc, feature, np.where(feature < 1 << quality_classifier.WORD_BITS, WORD_WEIGHT * value, value).astype(np.float32)
+
+
 class Softmax:
     """Multinomial logistic regression on the hashed words and statistics of the quality classifier."""
 
@@ -39,7 +45,7 @@ class Softmax:
         p = np.exp((z - z.max(1, keepdims=True)).astype(float))
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, doc, feature, value, y, epochs: int = 10, batch: int = 256, rate: float = 0.1, seed: int = 11):
+    def fit(self, doc, feature, value, y, epochs: int = 20, batch: int = 256, rate: float = 0.3, seed: int = 11):
         n, k = len(y), len(self.b)
         self.b[:] = np.log((np.bincount(y, minlength=k) + 1) / (n + k))
         at = np.searchsorted(doc, np.arange(n + 1))
@@ -74,7 +80,7 @@ def fit_domains(docs: DataFrame, domains: DataFrame, names: list[str], per_domai
         for b in batches:
             texts = textvec.encoded(b["text"])
             for i, j in textvec.chunks(texts):
-                d, f, x = quality_classifier.features(texts[i:j], np.full(j - i, -1.0))
+                d, f, x = _features(texts[i:j])
                 at = np.searchsorted(d, np.arange(1, j - i))
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "y": b["y"].iloc[i:j].array, "f": [a.astype(np.int32) for a in np.split(f, at)], "x": np.split(x, at)})
 
@@ -93,7 +99,7 @@ def domain_posteriors(docs: DataFrame, model: Softmax, names: list[str]) -> Data
         for b in batches:
             texts = textvec.encoded(b["text"])
             for i, j in textvec.chunks(texts):
-                p = model.posteriors(*quality_classifier.features(texts[i:j], np.full(j - i, -1.0)))
+                p = model.posteriors(*_features(texts[i:j]))
                 out = pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n_tokens": textvec.Words(texts[i:j]).count})
                 yield out.assign(**{c: p[:, k] for k, c in enumerate(cols)})
 
