@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Site phrases that are removed from texts, and words that are masked on output.
 BOILERPLATE = (
@@ -47,13 +48,13 @@ PHONE = r"(?:\+?82[-\s]?)?0[0-9]{1,2}[-\s]?[0-9]{3,4}[-\s]?[0-9]{4}"
 SPAM = (r"(?:[가-힣][/\-.]){2,}", "[⭐★☆✩✪◆◇▶►♠♣]", "대출|급전|신불자|연체자|사채|카톡|텔레그램|여기로")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """All HTML entities; Spark has no such function."""
     return texts.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc_fold(texts: pd.Series) -> pd.Series:
     """Unicode NFC and case folding; Spark has neither."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
