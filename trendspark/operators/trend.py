@@ -157,8 +157,8 @@ def change_rate(series: DataFrame, by: list[str]) -> DataFrame:
 
 
 def direction_label(rate: Column, z: Column) -> Column:
-    by_rate = F.when(rate >= 5, "up").when(rate <= -5, "down").otherwise("flat")
-    return F.when(rate.isNotNull(), by_rate).when(z >= 0.5, "up").when(z <= -0.5, "down").when(z.isNotNull(), "flat")
+    by_rate = F.when(rate > 5, "up").when(rate < -5, "down").otherwise("flat")
+    return F.when(rate.isNotNull(), by_rate).when(z > 0.5, "up").when(z < -0.5, "down").when(z.isNotNull(), "flat")
 
 
 def primary_series(series: DataFrame, order: tuple[str, ...] = ("search", "mention", "third"), least: int = 2) -> DataFrame:
@@ -173,7 +173,7 @@ def turning_points(series: DataFrame, by: list[str], share: float = 0.15, most:
     w = Window.partitionBy(*by)
     t = w.orderBy("day")
     rows = series.withColumns({"before": F.lag("value").over(t), "after": F.lead("value").over(t), "span": F.max("value").over(w) - F.min("value").over(w)})
-    rows = rows.where("value > before and value > after").withColumn("prominence", F.col("value") - F.greatest("before", "after"))
+    rows = rows.where("value > before and value > after").withColumn("prominence", F.col("value") - F.least("before", "after"))
     rows = rows.where((F.col("span") > 0) & (F.col("prominence") >= share * F.col("span")))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("prominence"), "day"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select(*by, "day", "value", "prominence", "rank")

@@ -159,7 +159,7 @@ def ts16(spark, d):
     return trend.change_rate(daily(spark, d, 20), ["keyword", "channel"]).select("keyword", "channel", r6("change_rate"))
 
 
-@query("ts17_direction", RATE_SQL + "select keyword, channel, case when change_rate >= 5 then 'up' when change_rate <= -5 then 'down' when change_rate is not null then 'flat' end as direction from rate")
+@query("ts17_direction", RATE_SQL + "select keyword, channel, case when change_rate > 5 then 'up' when change_rate < -5 then 'down' when change_rate is not null then 'flat' end as direction from rate")
 def ts17(spark, d):
     rates = trend.change_rate(daily(spark, d, 20), ["keyword", "channel"])
     return rates.select("keyword", "channel", trend.direction_label(F.col("change_rate"), F.lit(None).cast("double")).alias("direction"))
@@ -173,7 +173,7 @@ def ts18(spark, d):
 
 @query("ts19_turning_points", f"""with {daily_sql()}, x as (select *, lag(value) over w as b, lead(value) over w as a, max(value) over p - min(value) over p as span from daily
   window w as (partition by keyword, channel order by day), p as (partition by keyword, channel)),
-y as (select keyword, channel, day, value, value - greatest(a, b) as prominence from x where value > b and value > a and span > 0 and value - greatest(a, b) >= 0.15 * span),
+y as (select keyword, channel, day, value, value - least(a, b) as prominence from x where value > b and value > a and span > 0 and value - least(a, b) >= 0.15 * span),
 z as (select *, row_number() over (partition by keyword, channel order by prominence desc, day)::int as rank from y) select * from z where rank <= 6""")
 def ts19(spark, d):
     return trend.turning_points(daily(spark, d), ["keyword", "channel"])
