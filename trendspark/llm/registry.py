@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from trendspark.llm import decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from trendspark.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
+    "op2_pii_pseudonyms": pii.query,
     "op3_quality_classifier": quality_classifier.query,
     "op4_line_dedup": line_dedup.query,
     "op5_suffix_dedup": suffix_dedup.query,
