@@ -41,11 +41,11 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     out = docs.join(drops.withColumnRenamed("id", id_col), id_col, "left")
     out = out.withColumn(kept_name, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     hit = F.transform(_keys(F.col(kept_name), min_chars), lambda k: F.coalesce(F.array_contains(F.col("__drop"), k), F.lit(False)))
-    out = out.withColumn("__hit", F.when(F.col("__drop").isNotNull(), hit))
-    out = out.withColumn(
-        "__kept",
-        F.when(F.col("__hit").isNull(), F.col(kept_name)).otherwise(F.filter(kept_name, lambda x, i: ~F.get(F.col("__hit"), i))),
-    )
+    flagged = F.arrays_zip(F.col(kept_name).alias("line"), hit.alias("hit"))
+    kept = F.transform(F.filter(flagged, lambda x: ~x["hit"]), lambda x: x["line"])
+    kept = F.when(F.col("__drop").isNull(), F.col(kept_name)).otherwise(kept)
+    # one row from a one-element array: filters on what follows can't be moved below and repeat the work above
+    out = out.select("*", F.explode(F.array(kept)).alias("__kept"))
     out = (
         out.withColumn("n_lines", F.size(kept_name).cast("long"))
         .withColumn("n_dropped", (F.size(kept_name) - F.size("__kept")).cast("long"))
