@@ -123,7 +123,7 @@ def rates_of(p: np.ndarray, history: np.ndarray, stay: float = STAY) -> tuple[np
     return rate, ahead
 
 
-def fit_rates(posteriors: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+def fit_rates(posteriors: DataFrame, targets: dict[str, float], stay: float = STAY, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """Add rate >= 0 to posteriors: the expected tokens n_tokens * rate * p of each domain come to its target share.
 
     The target shares are taken of all tokens of the input. The least squares problem is solved
@@ -146,7 +146,7 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], iterations: int
             sums = np.zeros((2, len(cols)))
             for b in batches:
                 p = b[cols].to_numpy()
-                for k, r in enumerate(rates_of(p, past)):
+                for k, r in enumerate(rates_of(p, past, stay)):
                     sums[k] += (b["n_tokens"].to_numpy(float) * r) @ p
             yield pd.DataFrame([sums.ravel()], columns=[f"s{k}" for k in range(sums.size)])
 
@@ -158,14 +158,16 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], iterations: int
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(rate=rates_of(b[cols].to_numpy(), history)[0])
+            yield b.assign(rate=rates_of(b[cols].to_numpy(), history, stay)[0])
 
     return posteriors.mapInPandas(add, posteriors.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",rate:double")
 
 
-def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, stay: float = STAY) -> DataFrame:
     """(doc_id, n_tokens, posteriors, rate) of every row of docs.
 
+    A larger stay holds the rates nearer to 1 and meets the targets less closely.
+
     Texts that are null or have no words have posteriors (of the empty text) and a rate, but
     weigh nothing. Equal texts get equal rates. Without any label in the known domains all
     posteriors are even; an empty table stays empty.
@@ -173,7 +175,7 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
     targets = targets or TARGETS
     names = list(targets)
     posteriors = checkpoint(domain_posteriors(docs, fit_domains(docs, domains, names), names))
-    return fit_rates(posteriors, targets)
+    return fit_rates(posteriors, targets, stay)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
