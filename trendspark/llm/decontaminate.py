@@ -13,7 +13,7 @@ from trendspark.llm import textvec
 from trendspark.llm.common import table
 
 Q = 10
-WINDOW = 200  # longer items are searched by windows of this many characters, half overlapping
+WINDOW = 120  # longer items are searched by windows of this many characters, half overlapping
 ERRORS = 0.06
 LEAST = 40  # shorter windows are searched for without errors
 BLOCK = 64  # positions over which shared q-grams are first counted
@@ -175,6 +175,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
                 for doc, text in zip(b["doc_id"], b["text"]):
                     if isinstance(text, str):
                         found += [(None if pd.isna(doc) else int(doc), item, *m) for item, m in shared.value.matches(text).items()]
+                if not found:
+                    continue
                 frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_windows", "distance"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
