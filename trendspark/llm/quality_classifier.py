@@ -37,15 +37,14 @@ def features(texts: list[bytes], n_chars: np.ndarray) -> tuple[np.ndarray, np.nd
     w = textvec.Words(texts)
     n = len(texts)
     bucket = (w.hash & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-    key = np.unique((w.doc.astype(np.int64) << WORD_BITS) | bucket)
+    key = textvec.sorted_unique((w.doc.astype(np.int64) << WORD_BITS) | bucket)
     doc, word = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
     distinct = np.bincount(doc, minlength=n)
     value = 1 / np.sqrt(distinct[doc])
     size = np.maximum(np.diff(w.offsets) - 1, 0)
-    share = lambda t: np.add.reduceat(t[w.data].astype(np.int64), w.offsets[:-1]) / np.maximum(size, 1)
-    lines = np.add.reduceat((w.data == 10).astype(np.int64), w.offsets[:-1])
-    exact = np.unique(np.stack([w.doc.astype(np.uint64), w.hash]), axis=1)[0].astype(np.int64) if len(w.doc) else np.zeros(0, np.int64)
-    types = np.bincount(exact, minlength=n) / np.sqrt(np.maximum(w.count, 1))
+    share = lambda t: np.add.reduceat(t[w.data], w.offsets[:-1], dtype=np.int64) / np.maximum(size, 1)
+    lines = np.add.reduceat(w.data == 10, w.offsets[:-1], dtype=np.int64)
+    types = distinct / np.sqrt(np.maximum(w.count, 1))
     word_size = np.bincount(w.doc, weights=w.end - w.start, minlength=n) / np.maximum(w.count, 1)
     part = lambda x: np.sqrt(x) * BINS
     stats = np.stack([

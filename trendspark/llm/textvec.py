@@ -56,6 +56,12 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * down[start])
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """By sorting, which is several times as fast as numpy's hash table on batches of this size."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Slices of the list with about limit bytes, one text at least."""
     begin = total = 0
