@@ -139,7 +139,8 @@ def mcd_distances(stats: DataFrame, group_cols: list[str], subset: float = SUBSE
         if i == 0:
             data = data.withColumn("__key", key)
         else:
-            small = data.groupBy("__key").agg(F.count("*").alias("__n")).where(F.col("__n") < min_group).select("__key", F.lit(True).alias("__small"))
+            # a table of its own, so that the join can be split at a hot key, or be a broadcast where it is small
+            small = checkpoint(data.groupBy("__key").agg(F.count("*").alias("__n")).where(F.col("__n") < min_group).select("__key", F.lit(True).alias("__small")))
             data = data.join(small, "__key", "left").withColumn("__key", F.when(F.col("__small"), key).otherwise(F.col("__key"))).drop("__small")
     data = checkpoint(data)
     median = data.groupBy("__key").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, c in enumerate(dims)])
