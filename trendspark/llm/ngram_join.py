@@ -48,7 +48,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         value += np.where(inside, w.hash[at] * _FACTORS[j], np.uint64(0))
     full = (left >= WORDS) | (np.arange(n) == begin[w.doc])  # the first one stands for a short text
     value = textvec.mix(value[full] + np.minimum(left[full], WORDS).astype(np.uint64))
-    key = np.unique((w.doc[full].astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
+    key = textvec.sorted_unique((w.doc[full].astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
     return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1)
 
 
