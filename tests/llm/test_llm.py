@@ -272,6 +272,38 @@ def test_quality_rules_keep_the_clean(spark):
     assert clean.kept.mean() > 0.98 and out[out.quality == 0].kept.mean() < 0.6
 
 
+def test_mcd_floors_change_no_larger_variance(spark):
+    rng = np.random.default_rng(7)
+    dims = list(quality_rules.FLOORS)
+    x = rng.normal(size=(300, len(dims))) * 0.02
+    x[:, 2] = 0  # constant but for one row
+    x[0, 2] = 0.05
+    df = spark.createDataFrame([(i, "en", "a", *map(float, v)) for i, v in enumerate(x)], "id bigint, lang string, source string, " + ", ".join(f"{c} double" for c in dims))
+    got = {r.id: r.d2 for r in quality_rules.mcd_distances(df, ["lang", "source"], noise={c: F.lit(0.01) for c in dims}).collect()}
+    rest = np.delete(np.arange(len(dims)), 2)
+    want = brute_mcd(x[:, rest], np.zeros(5), quality_rules.SUBSET, quality_rules.STEPS)
+    assert np.median([got[i] for i in range(1, 300)]) == pytest.approx(np.median(want[1:]), rel=0.1)  # not held down by a constant
+    assert got[0] > 24  # five times the noise
+
+
+def test_quality_rules_drop_light_symbol_junk(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    clean = [" ".join(word() for _ in range(n)) for n in rng.integers(60, 400, 300)]
+    junk = [" | ".join(word() for _ in range(n)) for n in rng.integers(60, 400, 15)]
+    one = [clean[0] + " |"]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs(spark, clean + junk + one)).collect()}
+    assert sum(not kept[i] for i in range(300)) <= 3 and not any(kept[i] for i in range(300, 315)) and kept[315]
+
+
+def test_quality_rules_kept_poor_and_dropped_good(spark):
+    out = quality_rules.query(spark, SMALL).toPandas().merge(pd.read_parquet(f"{SMALL}/labels.parquet"), on="doc_id")
+    out = out[~out.base_failed]
+    poor, good = out[out.quality == 0], out[out.quality == 1]
+    print(f"kept poor {poor.kept.sum()} of {len(poor)}, dropped good {(~good.kept).sum()} of {len(good)}")
+    assert poor.kept.mean() < 0.15 and (~good.kept).mean() < 0.02
+
+
 def test_quality_rules_edges(spark):
     out = quality_rules.judge(clash(docs(spark, ODD)).withColumn("lang", F.lit(None).cast("string")))
     assert out.count() == len(ODD) and not any(r.kept for r in out.where("n_words < 20").collect())

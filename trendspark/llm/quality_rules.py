@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from trendspark.llm.common import SPACE, SPACE_CHARS, checkpoint, table, words
 
 WINDOW = 8
-# statistic -> least standard deviation that an estimate may have, so that constant statistics don't reject at a touch
-FLOORS = {"x_words": 0.5, "x_length": 0.1, "x_symbols": 0.1, "x_upper": 0.1, "x_lines": 0.15, "x_repeats": 0.15}
+# statistic -> least standard deviation that an estimate may have where no noise is given; keeps constant statistics regular
+FLOORS = {"x_words": 1e-4, "x_length": 1e-4, "x_symbols": 1e-4, "x_upper": 1e-4, "x_lines": 1e-4, "x_repeats": 1e-4}
 SUBSET = 0.75
 STEPS = 4
 MIN_GROUP = 100
@@ -89,6 +89,24 @@ def statistic_vector(stats: DataFrame) -> DataFrame:
     })
 
 
+def unit_noise() -> dict:
+    """For each statistic of FLOORS, what one unit more does to the row's value: a word, a character, a symbol, a capital, a repeated line, a repeated window.
+
+    Counts other than the words vary by their square root, which is taken where it is more than a unit.
+    """
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    more = lambda a, unit: F.col(a) + F.greatest(F.lit(float(unit)), F.sqrt(F.col(a) * unit))
+    share = lambda a, b, unit: F.sqrt(more(a, unit) / F.greatest(F.col(b), F.lit(1))) - F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    return {
+        "x_words": F.log1p(F.col("n_words") + 1) - F.log1p("n_words"),
+        "x_length": F.log1p(more("word_chars", 1) / n) - F.log1p(F.col("word_chars") / n),
+        "x_symbols": share("n_symbols", "word_chars", 1),
+        "x_upper": share("n_upper", "word_chars", 1),
+        "x_lines": share("n_dup_lines", "n_lines", 1),
+        "x_repeats": share("n_repeat_words", "n_words", WINDOW),
+    }
+
+
 def _distance(data: DataFrame, params: DataFrame, dims: list[str]) -> DataFrame:
     """Squared Mahalanobis distance d2 by forward substitution in the Cholesky factor that params hold."""
     out = data.join(params, "__key")
@@ -111,24 +129,27 @@ def _cholesky(moments: DataFrame, dims: list[str]) -> DataFrame:
     return out.select("__key", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _moments(data: DataFrame, dims: list[str], factor: float) -> DataFrame:
+def _moments(data: DataFrame, dims: list[str], factor: float, floors: DataFrame) -> DataFrame:
+    """Means m_i and covariances s_i_j times factor; a variance is at least the group's f_i."""
     p = len(dims)
     aggs = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(dims)]
     aggs += [F.covar_pop(dims[i], dims[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    floor = lambda i, j: F.lit(FLOORS[dims[i]] ** 2 if i == j else 0.0)
-    return data.groupBy("__key").agg(*aggs).select(
+    value = lambda i, j: F.greatest(F.col(f"c_{i}_{j}") * factor, F.col(f"f_{i}")) if i == j else F.col(f"c_{i}_{j}") * factor
+    return data.groupBy("__key").agg(*aggs).join(floors, "__key").select(
         "__key", *[f"m_{i}" for i in range(p)],
-        *[(F.col(f"c_{i}_{j}") * factor + floor(i, j)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
+        *[value(i, j).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
     )
 
 
-def mcd_distances(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def mcd_distances(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, steps: int = STEPS, min_group: int = MIN_GROUP, noise: dict | None = None) -> DataFrame:
     """Add d2, the squared robust Mahalanobis distance of each row to its group (null for groups that stay too small).
 
     Groups are all of group_cols; rows of groups under min_group are pooled by the first of
     them, and what is still too small by none. Start: medians and quartile ranges; then
     concentration steps, each keeping the share `subset` of the nearest rows, then one
-    reweighting. Sums and quantile sketches are pre-aggregated, so a hot group is no bottleneck.
+    reweighting. noise: statistic -> column with a row's standard deviation of measurement; the
+    group's mean of its square (at least the square in FLOORS) is the least variance of an
+    estimate, and changes no larger one. Sums and quantile sketches are pre-aggregated, so a hot group is no bottleneck.
     """
     dims = list(FLOORS)
     p = len(dims)
@@ -143,19 +164,23 @@ def mcd_distances(stats: DataFrame, group_cols: list[str], subset: float = SUBSE
             small = checkpoint(data.groupBy("__key").agg(F.count("*").alias("__n")).where(F.col("__n") < min_group).select("__key", F.lit(True).alias("__small")))
             data = data.join(small, "__key", "left").withColumn("__key", F.when(F.col("__small"), key).otherwise(F.col("__key"))).drop("__small")
     data = checkpoint(data)
-    median = data.groupBy("__key").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, c in enumerate(dims)])
-    start = median.where(F.col("n") >= min_group).select(
+    noise = noise or {}
+    least = lambda i, c: F.greatest(F.avg(noise[c] * noise[c]) if c in noise else F.lit(0.0), F.lit(FLOORS[c] ** 2)).alias(f"f_{i}")
+    median = data.groupBy("__key").agg(F.count("*").alias("n"), *[least(i, c) for i, c in enumerate(dims)], *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, c in enumerate(dims)])
+    median = checkpoint(median.where(F.col("n") >= min_group))
+    floors = median.select("__key", *[f"f_{i}" for i in range(p)])
+    start = median.select(
         "__key", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)],
-        *[((F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)) + FLOORS[dims[i]] ** 2) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
+        *[(F.greatest(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)), F.col(f"f_{i}")) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
     )
     params = checkpoint(_cholesky(start, dims))
     consistent = subset / chi2_cdf(chi2_quantile(subset, p), p + 2)
     for _ in range(steps):
         near = _distance(data, params, dims)
         cut = near.groupBy("__key").agg(F.percentile_approx("d2", subset, 2000).alias("cut"))
-        params = checkpoint(_cholesky(_moments(near.join(checkpoint(cut), "__key").where("d2 <= cut"), dims, consistent), dims))
+        params = checkpoint(_cholesky(_moments(near.join(checkpoint(cut), "__key").where("d2 <= cut"), dims, consistent, floors), dims))
     inside = _distance(data, params, dims).where(F.col("d2") <= chi2_quantile(0.975, p))
-    params = checkpoint(_cholesky(_moments(inside, dims, 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2)), dims))
+    params = checkpoint(_cholesky(_moments(inside, dims, 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2), floors), dims))
     known = params.select("__key").withColumn("__known", F.lit(True))
     near = _distance(data, params, dims)
     rest = data.join(known, "__key", "left").where("__known is null").select(*data.columns, F.lit(None).cast("double").alias("d2"))
@@ -167,7 +192,8 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols=("lang", "source")
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows of 8. kept is
     false for those and for rows whose distance passes the chi-square quantile at 1 - tail.
-    The estimates use the rows that pass the base rules. Null texts have no words and fail; a
+    The estimates use the rows that pass the base rules; a statistic that hardly varies in a
+    group is judged by what one unit does to a text (unit_noise). Null texts have no words and fail; a
     null language or source is a group of its own; repeated rows are judged each; an empty
     table stays empty.
     """
@@ -175,7 +201,7 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols=("lang", "source")
     stats = checkpoint(statistic_vector(text_counts(docs.select(*cols, text_col), text_col)).drop(text_col))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    passed = mcd_distances(stats.where(~F.col("base_failed")), list(group_cols), min_group=min_group)
+    passed = mcd_distances(stats.where(~F.col("base_failed")), list(group_cols), min_group=min_group, noise=unit_noise())
     out = passed.unionByName(stats.where("base_failed").withColumn("d2", F.lit(None).cast("double")))
     cutoff = chi2_quantile(1 - tail, len(FLOORS))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff)))
