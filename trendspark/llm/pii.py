@@ -199,23 +199,53 @@ def _email(v, key, inverse):
 RULES = {"email": _email, "iban": _iban, "ip": _ip, "iso": _iso, "day": _day, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def replace_values(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with pseudonyms, and the number of values of each kind."""
-    counts: dict[str, int] = {}
-
-    def swap(m: re.Match) -> str:
+def _spans(kind: str, m: re.Match):
+    """Parts of a match that may be the value: the whole, then runs of its groups; cards of 16 digits go first, then longer ones."""
+    yield m.span()
+    groups = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer("[0-9A-Z]+", m[0])]
+    starts = groups if kind == "card" else groups[:1]
+    runs = [(a, b, sum(y - x for x, y in groups if a <= x and y <= b)) for a, _ in starts for _, b in groups if b > a and (a, b) != m.span()]
+    low, high = (13, 19) if kind == "card" else (15, 34)
+    for a, b, _ in sorted((r for r in runs if low <= r[2] <= high), key=lambda r: (kind == "card" and r[2] != 16, -r[2], r[0])):
+        yield a, b
+
+
+def _find(line: str, pos: int, key: bytes, inverse: bool):
+    """(kind, start, end, new, doubtful) of the first value from pos, or None; doubtful: another reading was tried before."""
+    doubtful = False
+    while m := _PATTERN.search(line, pos):
         kind = m.lastgroup if m.lastgroup in RULES else next(k for k in KINDS if m[k] is not None)
         if kind == "secret":
             h = m["hex"]
-            new = m[0][: m.start("hex") - m.start()] + permute_characters(h, key, "secret", inverse, _HEX["lower" if h == h.lower() else "upper"]) + m[0][m.end("hex") - m.start() :]
-        else:
-            new = _cached(kind, m[0], key, inverse)
-        if not new:
-            return m[0]
+            return kind, *m.span("hex"), permute_characters(h, key, "secret", inverse, _HEX["lower" if h == h.lower() else "upper"]), False
+        split = kind in ("card", "iban")
+        for a, b in _spans(kind, m) if split else [m.span()]:
+            if new := _cached(kind, line[a:b], key, inverse):
+                return kind, a, b, new, doubtful
+            doubtful = True
+        # a number that fails may hide one that starts at a later group
+        pos = m.start() + len(re.match("[0-9A-Z]+", m[0])[0]) if split else m.end()
+    return None
+
+
+def _replace_line(line: str, key: bytes, inverse: bool, counts: dict[str, int]) -> str:
+    pos, out = 0, []
+    while found := _find(line, pos, key, inverse):
+        kind, a, b, new, doubtful = found
+        if doubtful and kind in ("card", "iban"):
+            # on to the next pseudonym until the text is read as before, so that the way back finds the same value
+            while _find(line[:a] + new + line[b:], pos, key, inverse)[:3] != found[:3]:
+                new = _cached(kind, new, key, inverse)
+        out += [line[pos:a], new]
         counts[kind] = counts.get(kind, 0) + 1
-        return new
+        pos = b
+    return "".join([*out, line[pos:]])
 
-    return "\n".join(_PATTERN.sub(swap, line) if _ANY.search(line) else line for line in text.split("\n")), counts
+
+def replace_values(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str, int]]:
+    """The text with pseudonyms, and the number of values of each kind."""
+    counts: dict[str, int] = {}
+    return "\n".join(_replace_line(line, key, inverse, counts) if _ANY.search(line) else line for line in text.split("\n")), counts
 
 
 @lru_cache(100_000)
@@ -227,8 +257,9 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, inverse: bool = False, text_
     """All columns of docs with values in the text replaced, and n_<kind> for each kind (columns of docs with such names are replaced).
 
     Card numbers must pass Luhn's check, account numbers theirs, dates and network addresses must
-    exist; what fails stays as it is. A pseudonym has the format of its value and passes the same
-    check, equal values have equal pseudonyms in all documents, and inverse=True with the key
+    exist; what fails stays as it is, but for a card or account number among its groups. A pseudonym has the format of its value and passes the same
+    check, equal values have equal pseudonyms in all documents (but for a card or account number
+    beside other groups whose pseudonym would make these a number too: it takes the next one), and inverse=True with the key
     gives the texts back. Null texts stay null; empty, very long and repeated texts need nothing
     special; an empty table stays empty.
     """
