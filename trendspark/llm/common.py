@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,26 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where there is none."""
+    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where there is none and all runs in one process, as in tests."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """A new name for tables in the shared checkpoint folder."""
     return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared checkpoint folder.
+
+    A table has a size, so that small ones are broadcast, and nothing else of the plan that made
+    it; Dataset.checkpoint hands on partitionings, which multiply in loops of joins until planning
+    takes minutes. It is only taken for columns that Parquet can't have (void, names that differ by case).
+    """
+    spark = df.sparkSession
+    folder = scratch_dir(spark)
+    if any(kind == "void" for _, kind in df.dtypes) or len({c.lower() for c in df.columns}) < len(df.columns):
+        return df.checkpoint()
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def ascii_lower(c):
     """A-Z only; `lower` is used where the text has no other letters, as it is faster."""
     plain = F.length(c) == F.octet_length(c)
@@ -58,30 +71,27 @@ def held_out(doc_id):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): component is the least node of its set.
 
-    Large-star and small-star rounds: every round links nodes to the least neighbour by
-    pre-aggregated minima, so that a hub is never gathered in one task. Rounds grow with
-    the logarithm of the number of nodes. Null ends are ignored.
+    Contraction: in a round every node chooses the least of itself and its neighbours; choices are
+    followed to their ends by doubling, and nodes that come to the same end become one. What
+    each round chose is put together at the end. Minima are pre-aggregated, and joins are between
+    written tables, whose hot keys (hubs) Spark can split. Null ends are ignored.
     """
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v")
-    pairs = checkpoint(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(pairs)
-    while state[0]:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = checkpoint(
-            least.select("u", F.col("m").alias("v")).unionByName(moved)
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        )
-        before, state = state, _state(pairs)
-        if before == state:
-            break
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _state(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+    links = checkpoint(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    rounds = []
+    while not links.isEmpty():
+        least = checkpoint(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        chosen, moved = least, True
+        while moved:
+            ahead = checkpoint(chosen.join(chosen.select(F.col("u").alias("m"), F.col("m").alias("r")), "m"))
+            moved = not ahead.where("m <> r").isEmpty()
+            chosen = ahead.select("u", F.col("r").alias("m"))
+        rounds.append(chosen)
+        left, right = chosen.select("u", F.col("m").alias("p")), chosen.select(F.col("u").alias("v"), F.col("m").alias("q"))
+        links = checkpoint(links.join(left, "u").join(right, "v").where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v")).distinct())
+    if not rounds:
+        return pairs.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
+    out = rounds.pop()
+    while rounds:
+        out = rounds.pop().join(out.select(F.col("u").alias("m"), F.col("m").alias("r")), "m", "left").select("u", F.coalesce("r", "m").alias("m"))
+    return out.select(F.col("u").alias("node"), F.col("m").alias("component"))

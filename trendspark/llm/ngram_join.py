@@ -1,4 +1,10 @@
-"""N-gram Jaccard join: MinHash LSH forest over word shingles, then exact verification in blocks."""
+"""N-gram Jaccard join: MinHash LSH forest over word shingles, then exact verification in blocks.
+
+Every set of shingles has a label of DEPTH digits (16 bits of a MinHash each) in each of TREES
+trees. Labels are sorted by range, which makes a tree a sorted prefix trie; sets that share a
+prefix are candidates. Matching begins with whole labels, and the prefix is shortened until the
+recall, measured against exact links of a sample of documents, reaches the target.
+"""
 
 from __future__ import annotations
 
@@ -15,21 +21,34 @@ from trendspark.llm.common import checkpoint, connected_components, table
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
-MAX_DEPTH = 8
-RECALL = 0.9999
+DEPTH = 8
+RECALL = 0.999
+SAMPLE, SAMPLE_BYTES = 500, 32_768  # documents whose links are found exactly to measure the recall, and the bytes of their texts
+MEASURED = 20  # sampled documents with links that a measure needs; else a pair at the threshold counts
 BLOCK = 1024
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
-_XORS = _rng.integers(1, 2**63, TREES * MAX_DEPTH, dtype=np.uint64)
-_ODDS = _rng.integers(1, 2**63, TREES * MAX_DEPTH, dtype=np.uint64) | np.uint64(1)
+_XORS = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64)
+_ODDS = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
+
+
+def expected_recall(threshold: float, depth: int, trees: int = TREES) -> float:
+    """Chance that a pair of this similarity shares a prefix of this length in a tree."""
+    return 1 - (1 - threshold**depth) ** trees
 
 
-def prefix_depth(threshold: float, trees: int = TREES, depth: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """Start from the full depth of the tries and shorten the matched prefix until pairs at the threshold are found with this recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def prefix_depth(found: dict[int, list[int]], threshold: float, recall: float = RECALL) -> int:
+    """Shorten the prefix from whole labels until the recall reaches the target.
+
+    found: for each sampled document with links, how many of them share at most 0, 1, ... DEPTH
+    digits in their best tree. Documents count alike, however many links they have.
+    """
+    for depth in range(DEPTH, 0, -1):
+        reached = [sum(links[depth:]) / sum(links) for links in found.values()]
+        if (sum(reached) / len(reached) if len(reached) >= MEASURED else expected_recall(threshold, depth)) >= recall:
+            return depth
+    raise ValueError(f"{TREES} trees don't reach a recall of {recall} at the similarity {threshold}")
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,39 +71,77 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1)
 
 
-def signatures(texts: list[bytes], depth: int) -> pd.DataFrame:
-    """Of each text: number of shingles, two hashes of their set, and its prefix of length depth in every tree."""
+def _set_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of shingles of each text and two hashes of their set; and the shingles."""
     doc, value = shingles(texts)
     n = len(texts)
     count = np.bincount(doc, minlength=n)
     u = textvec.mix(value)
-    have = np.flatnonzero(count)
-    first = np.concatenate([[0], np.cumsum(count[have])[:-1]]).astype(np.int64)
-    keys = np.zeros((n, TREES), np.uint64)
     h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    have = np.flatnonzero(count)
     if len(have):
+        first = np.concatenate([[0], np.cumsum(count[have])[:-1]]).astype(np.int64)
         h1[have] = np.add.reduceat(u, first)
         h2[have] = np.add.reduceat(textvec.mix(u + np.uint64(0x9E3779B97F4A7C15)), first)
-        for t in range(TREES):
-            key = np.full(len(have), np.uint64(t + 1))
-            for k in range(t * MAX_DEPTH, t * MAX_DEPTH + depth):
-                key = textvec.mix(key * np.uint64(31) + np.minimum.reduceat((u ^ _XORS[k]) * _ODDS[k], first))
-            keys[have, t] = key
-    return pd.DataFrame({"n": count, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "keys": list(keys.view(np.int64))})
+    return count, h1.view(np.int64), h2.view(np.int64), doc, value
 
 
-def _sign(depth: int):
+def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Keys of the set of each text, digits [text, tree, digit] of its labels, and the shingles."""
+    count, h1, h2, doc, value = _set_keys(texts)
+    u = textvec.mix(value)
+    have = np.flatnonzero(count)
+    first = np.concatenate([[0], np.cumsum(count[have])[:-1]]).astype(np.int64)
+    digits = np.zeros((len(texts), TREES, DEPTH), ">u2")  # bytes of labels sort as their digits
+    for k in range(TREES * DEPTH if len(have) else 0):
+        digits[have, k // DEPTH, k % DEPTH] = textvec.mix(np.minimum.reduceat((u ^ _XORS[k]) * _ODDS[k], first)) & np.uint64(0xFFFF)
+    return count, h1, h2, digits, (doc, value)
+
+
+class Sample:
+    """Sampled sets, and the exact links of other sets to them."""
+
+    def __init__(self, texts: list[bytes], threshold: float):
+        self.threshold = threshold
+        self.size, self.h1, _, self.digits, (doc, value) = signatures(texts)
+        order = np.argsort(value, kind="stable")
+        self.value, self.doc = value[order], doc[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.value & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def links(self, count, h1, digits, doc, value) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, sampled set, digits shared in the best tree) of all links between different sets."""
+        maybe = np.flatnonzero(self.seen[(value & np.uint64(0xFFFFF)).astype(np.int64)])
+        low, high = np.searchsorted(self.value, value[maybe]), np.searchsorted(self.value, value[maybe], side="right")
+        size = high - low
+        k = np.repeat(low - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+        pair, both = np.unique(np.repeat(doc[maybe], size) * len(self.size) + self.doc[k], return_counts=True)
+        a, b = pair // len(self.size), pair % len(self.size)
+        near = (both >= self.threshold * (count[a] + self.size[b] - both) - 1e-6) & (h1[a] != self.h1[b])
+        a, b = a[near], b[near]
+        return a, b, np.cumprod(digits[a] == self.digits[b], axis=2).sum(2).max(1, initial=0)
+
+
+def _sign(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = textvec.encoded(b["text"])
             for i, j in textvec.chunks(texts):
-                out = signatures(texts[i:j], depth)
-                out.insert(0, "doc_id", b["doc_id"].iloc[i:j].array)
-                yield out
+                count, h1, h2, digits, sets = signatures(texts[i:j])
+                a, k, depth = shared.value.links(count, h1, digits, *sets)
+                hits = np.split((k * 16 + depth).astype(np.int32), np.searchsorted(a, np.arange(1, j - i)))
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n": count, "h1": h1, "h2": h2, "labels": [x.tobytes() for x in digits], "hits": hits})
 
     return run
 
 
+def sample_texts(plain: DataFrame) -> list[bytes]:
+    """At most SAMPLE texts of at most SAMPLE_BYTES, those with the least hashed ids."""
+    fits = plain.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("doc_id").isNotNull())
+    ids = fits.select("doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h")).distinct().orderBy("h").limit(SAMPLE).select("doc_id")
+    return textvec.encoded([r["text"] for r in fits.join(F.broadcast(ids), "doc_id").select("text").limit(SAMPLE).collect()])
+
+
 def block_links(doc: np.ndarray, value: np.ndarray, n: int, weight: np.ndarray, across: np.ndarray, threshold: float, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Verify all pairs of n sets exactly: for each, the weight of its partners and the label of its component.
 
@@ -120,11 +177,14 @@ def block_links(doc: np.ndarray, value: np.ndarray, n: int, weight: np.ndarray,
 
 def _verify(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["component", "doc_id"]).reset_index(drop=True)
+        frame = frame.sort_values(["component", "sid", "n"]).reset_index(drop=True)
+        # rows that share the id of a set's document may have other texts
+        count, h1, h2, *_ = _set_keys(textvec.encoded(frame["text"]))
+        frame = frame[(count == frame["n"].to_numpy()) & (h1 == frame["h1"].to_numpy()) & (h2 == frame["h2"].to_numpy())].drop_duplicates("sid").reset_index(drop=True)
         doc, value = shingles(textvec.encoded(frame["text"]))
         at = np.searchsorted(doc, np.arange(len(frame) + 1))
-        heads = np.flatnonzero(np.r_[True, np.diff(frame["component"].to_numpy()) != 0])
-        ids, copies = frame["doc_id"].to_numpy(), frame["copies"].to_numpy()
+        heads = np.flatnonzero(np.r_[True, np.diff(frame["component"].to_numpy()) != 0]) if len(frame) else np.zeros(0, int)
+        ids, copies = frame["sid"].to_numpy(), frame["copies"].to_numpy()
         side = (frame["own"] != frame["low"]).to_numpy()
         cross = (frame["low"] != frame["high"]).to_numpy()
         out = []
@@ -134,59 +194,70 @@ def _verify(threshold: float):
             if cross[i] and across.all() | (~across).all():
                 continue
             links, label = block_links(doc[s] - i, value[s], j - i, copies[i:j], across, threshold)
-            out.append(pd.DataFrame({"doc_id": ids[i:j], "links": links.astype(np.int64), "least": ids[i:j][label]}))
-        out = pd.concat(out) if out else pd.DataFrame({"doc_id": [], "links": [], "least": []})
+            out.append(pd.DataFrame({"sid": ids[i:j], "links": links.astype(np.int64), "least": ids[i:j][label]}))
+        out = pd.concat(out) if out else pd.DataFrame({"sid": [], "links": [], "least": []})
         return out[out["links"] > 0]
 
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", recall: float = RECALL) -> DataFrame:
     """(id_col, copy_of, class_id, n_links) of every row: near-duplicate classes by shingles of five words.
 
     Texts with equal shingle sets are copies of the least id among them (copy_of) and are
-    compared once. Documents that match in a prefix trie of the LSH forest are candidates; every
-    pair of a connected set of candidates is verified exactly, in blocks of BLOCK documents whose
-    sizes can fit, so that pairs are counted and never emitted. n_links: other documents with at
-    least this Jaccard similarity, copies included; class_id: the least id that links lead to.
-    Texts without words, and rows with a null id, have no links and their own id as class.
-    Rows that share an id are separate documents of one class if their texts are alike.
+    compared once. Sets that share a prefix in a tree of the forest are candidates; every pair of
+    a connected set of candidates is verified exactly (on 44-bit hashes of shingles), in blocks
+    of BLOCK sets whose sizes can fit, so that pairs are counted and never emitted. n_links: other
+    rows with at least this Jaccard similarity, copies included; class_id: the least id that links
+    lead to. Texts without words, and rows with a null id, have no links and their own id as class.
+    Rows that share an id are separate documents. A recall that the trees can't reach is an error.
     """
-    depth = prefix_depth(threshold)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpoint(plain.where("doc_id is not null").mapInPandas(_sign(depth), "doc_id long, n long, h1 long, h2 long, keys array<long>"))
+    shared = docs.sparkSession.sparkContext.broadcast(Sample(sample_texts(plain), threshold))
+    schema = "doc_id long, n long, h1 long, h2 long, labels binary, hits array<int>"
+    signed = checkpoint(plain.where("doc_id is not null").mapInPandas(_sign(shared), schema))
+    found = {}
+    for hit, k in signed.select(F.explode("hits").alias("hit")).groupBy("hit").count().collect():  # SAMPLE * (DEPTH + 1) rows at most
+        found.setdefault(hit // 16, [0] * (DEPTH + 1))[hit % 16] = k
+    depth = prefix_depth(found, threshold, recall)
     sets = ["n", "h1", "h2"]
-    same = checkpoint(signed.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
-    entries = same.select("rep", F.posexplode("keys").alias("tree", "key"))
-    nodes = checkpoint(entries.groupBy("tree", "key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most"))
-    member = connected_components(entries.join(nodes, ["tree", "key"]).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    reps = same.select(F.col("rep").alias("node"), "copies", "n")
+    same = signed.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    same = checkpoint(same.withColumn("sid", F.monotonically_increasing_id()))
+    # the tries: labels of all trees in sorted ranges, in which those with a common prefix lie together
+    label = F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, 2 * DEPTH)
+    trees = same.select("sid", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "sid")
+    trees = checkpoint(trees.repartitionByRange("tree", "label", "sid").sortWithinPartitions("tree", "label"))
+    entries = trees.select("tree", F.substring("label", 1, 2 * depth).alias("prefix"), "sid")
+    nodes = checkpoint(entries.groupBy("tree", "prefix").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").drop("most"))
+    member = connected_components(entries.join(nodes, ["tree", "prefix"]).where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
+    member = member.join(same.drop("labels"), member["node"] == same["sid"]).drop("node")
     # sizes differ by less than the factor 1/threshold in a link: only neighbouring size classes meet
-    member = checkpoint(member.join(reps, "node").withColumn("z", F.floor(F.ln("n") / float(-np.log(threshold)) + 1e-9).cast("int")))
+    member = checkpoint(member.withColumn("z", F.floor(F.ln("n") / float(-np.log(threshold)) + 1e-9).cast("int")))
     classes = member.groupBy("component", "z").agg(F.count("*").alias("m")).withColumn("subs", F.ceil(F.col("m") / BLOCK).cast("int"))
     sizes = classes.groupBy("component").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("z", "subs"))).alias("subs"))
-    member = member.join(checkpoint(sizes), "component")
     total = member.count()
+    member = member.join(checkpoint(sizes), "component")
     groups = max(1, -(-total // BLOCK))
-    own = F.col("z") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("subs")[F.col("z")])
+    own = F.col("z") * 1_000_000 + F.pmod(F.xxhash64("sid"), F.col("subs")[F.col("z")])
     in_class = lambda z: F.filter(F.sequence(F.lit(0), F.coalesce(F.col("subs")[z], F.lit(0))), lambda s: s > 0)
     near = F.flatten(F.transform(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1), lambda z: F.transform(in_class(z), lambda s: (z * 1_000_000 + s - 1).cast("long"))))
     small = F.col("all") <= BLOCK
     member = member.withColumn("own", F.when(small, 0).otherwise(own).cast("long")).withColumn("near", F.when(small, F.array(F.lit(0).cast("long"))).otherwise(near))
-    placed = member.select("node", "component", "copies", "own", "all", F.explode("near").alias("other"))
-    placed = placed.select(
-        F.col("node").alias("doc_id"), "component", "copies", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+    kept = ["rep", "sid", *sets, "component", "copies", "own", "all"]
+    placed = member.select(*kept, F.explode("near").alias("other")).select(
+        *kept[:-1], F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         F.when(F.col("all") <= BLOCK, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))).alias("group"),
         (F.col("all") <= BLOCK).alias("packed"),
     )
-    texts = plain.join(checkpoint(placed), "doc_id")
-    links = texts.groupBy("packed", "group").applyInPandas(_verify(threshold), "doc_id long, links long, least long")
-    links = checkpoint(links)
-    count = links.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "rep")
-    joined = connected_components(links.select(F.col("doc_id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("rep"), "component")
-    found = same.select(*sets, "rep", "copies").join(count, "rep", "left").join(joined, "rep", "left")
-    found = checkpoint(found.select(*sets, F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = signed.select("doc_id", *sets).join(found, sets, "left").select(
+    placed = checkpoint(placed)
+    texts = plain.join(placed, plain["doc_id"] == placed["rep"]).drop("doc_id")
+    links = checkpoint(texts.groupBy("packed", "group").applyInPandas(_verify(threshold), "sid long, links long, least long"))
+    count = links.groupBy("sid").agg(F.sum("links").alias("links"))
+    linked = connected_components(links.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), "component")
+    known = checkpoint(same.drop("labels").join(count, "sid", "left").join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+    first = checkpoint(known.groupBy("component").agg(F.min("rep").alias("class_id")))
+    known = known.join(first, "component").select(*sets, F.col("rep").alias("copy_of"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("doc_id", *sets).join(checkpoint(known), sets, "left").select(
         F.col("doc_id").alias(id_col), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
     nothing = plain.where("doc_id is null").select(F.col("doc_id").alias(id_col), F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
