@@ -23,32 +23,24 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Rows that share an id count as one document. Rows with a null id keep all their lines and
     count for no key. Lines keep their order; equal lines in the keeping document all stay.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    ids = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array_compact(_keys(lines, min_chars)))).alias("k")
-    )
-    seen = ids.select("id", "k.h1", "k.h2")
-    # distinct first (rows may share an id), then counts that are pre-aggregated before the shuffle
-    frequent = checkpoint(
-        seen.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    )
-    drops = (
-        seen.join(frequent, ["h1", "h2"]).where("id <> keeper")
-        .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
-    )
-    kept_name = "__lines"
-    out = docs.join(drops.withColumnRenamed("id", id_col), id_col, "left")
-    out = out.withColumn(kept_name, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    hit = F.transform(_keys(F.col(kept_name), min_chars), lambda k: F.coalesce(F.array_contains(F.col("__drop"), k), F.lit(False)))
-    flagged = F.arrays_zip(F.col(kept_name).alias("line"), hit.alias("hit"))
-    kept = F.transform(F.filter(flagged, lambda x: ~x["hit"]), lambda x: x["line"])
-    kept = F.when(F.col("__drop").isNull(), F.col(kept_name)).otherwise(kept)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # one pass over the texts: the place and hash of every line that counts; rows that share an id are told by their texts
+    each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(_keys(F.split(text, "\n"), min_chars)).alias("pos", "k"))
+    seen = checkpoint(each.where("k is not null").select("id", "t", "pos", "k.h1", "k.h2"))
+    # distinct first, then counts that are pre-aggregated before the shuffle
+    counts = seen.select("id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+    frequent = checkpoint(counts.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
+    # both sides are written tables, so that Spark can split the join at a very common line
+    drops = seen.join(frequent, ["h1", "h2"]).where("id <> keeper").groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__drop"))
+    out = docs.withColumn("__u", F.xxhash64(text)).join(drops, (F.col(id_col) == F.col("__id")) & (F.col("__u") == F.col("__t")), "left")
+    out = out.withColumn("__lines", F.split(text, "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.transform(places, lambda i: F.get(F.col("__lines"), i)))
     # one row from a one-element array: filters on what follows can't be moved below and repeat the work above
     out = out.select("*", F.explode(F.array(kept)).alias("__kept"))
     out = (
-        out.withColumn("n_lines", F.size(kept_name).cast("long"))
-        .withColumn("n_dropped", (F.size(kept_name) - F.size("__kept")).cast("long"))
+        out.withColumn("n_lines", F.size("__lines").cast("long"))
+        .withColumn("n_dropped", (F.size("__lines") - F.size("__kept")).cast("long"))
         .withColumn(text_col, F.array_join("__kept", "\n"))
     )
     return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
