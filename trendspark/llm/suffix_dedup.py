@@ -7,11 +7,15 @@ All substrings of reach + 1 symbols of such a context stand for one string of `s
 
 Texts lie in batches by hashed id and stay there: anchors (as sorted blocks of hash remainders),
 flags, distinct contexts and verdicts travel, each grouped by the anchor's hash. A passage in
-very many documents sends one context a batch.
+very many documents sends one context a batch. Anchors at a passage's ends have as many contexts
+as there are documents: where an anchor has more than HOT, its contexts are not compared in one
+place, but each of their windows goes by its own hash.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +29,7 @@ BATCH_BYTES = 2_000_000
 LEAST_BATCH_BYTES = 250_000
 PART_ANCHORS = 1_000_000
 SLICE = 30_000
+HOT = 30_000  # contexts of an anchor over which its windows are dealt out singly
 REPLY = "batch long, kind int, part int, doc long, blob binary"
 _MAX = np.iinfo(np.int64).max
 
@@ -190,12 +195,20 @@ def _part(gram: np.ndarray, parts: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def _by_part(part: np.ndarray):
+    """(part, rows) of each part."""
+    order = np.argsort(part, kind="stable")
+    for i in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(i):
+            yield int(part[i[0]]), i
+
+
 def _skip(replies: pd.DataFrame) -> np.ndarray:
     return replies.loc[replies["kind"] == 0, "doc"].to_numpy(np.int64)
 
 
 def _anchor_blocks(batch: Batch, parts: int):
-    """(part, sorted remainders, whether two documents of the batch have it) of the distinct anchors."""
+    """(part, sorted remainders, whether two documents of the batch have it, times) of the distinct anchors."""
     key = (_part(batch.gram, parts) << 32) | (batch.gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
     order = np.lexsort((batch.doc, key))
     key, doc = key[order], batch.doc[order]
@@ -205,12 +218,54 @@ def _anchor_blocks(batch: Batch, parts: int):
     more[1:] = ~head[1:] & (doc[1:] != doc[:-1])
     at = np.flatnonzero(head)
     several = np.logical_or.reduceat(more, at) if len(at) else more
+    times = np.minimum(np.diff(np.append(at, len(key))), 65_535).astype(np.uint16)
     key = key[at]
     part = key >> 32
     cut = np.flatnonzero(np.diff(part)) + 1
-    for k, s in zip(np.split(key, cut), np.split(several, cut)):
+    for k, s, t in zip(np.split(key, cut), np.split(several, cut), np.split(times, cut)):
         if len(k):
-            yield int(k[0] >> 32), (k & 0xFFFFFFFF).astype(np.uint32), s
+            yield int(k[0] >> 32), (k & 0xFFFFFFFF).astype(np.uint32), s, t
+
+
+def _pack_block(keys: np.ndarray, several: np.ndarray, times: np.ndarray) -> bytes:
+    """Anchors that occur once take a bit for that instead of their times."""
+    often = times > 1
+    return np.uint32(len(keys)).tobytes() + keys.tobytes() + np.packbits(several).tobytes() + np.packbits(often).tobytes() + times[often].tobytes()
+
+
+def _open_block(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    m = -(-n // 8)
+    bits = [np.unpackbits(np.frombuffer(blob, np.uint8, m, 4 + 4 * n + i * m), count=n).astype(bool) for i in (0, 1)]
+    times = np.ones(n, np.int64)
+    times[bits[1]] = np.frombuffer(blob, np.uint16, offset=4 + 4 * n + 2 * m)
+    return np.frombuffer(blob, np.uint32, n, 4), bits[0], times
+
+
+_WINDOW = np.dtype([("window", "u8"), ("doc", "i8"), ("key", "u8"), ("start", "u1")])
+
+
+def _windows(keys: np.ndarray, x: "Batch") -> np.ndarray:
+    """All windows of contexts, each with its hash."""
+    a, b = x.lengths()
+    size = a + b - x.reach + 1  # windows that lie in the text
+    row = np.repeat(np.arange(len(keys)), np.maximum(size, 0))
+    start = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.maximum(size, 0)) + (x.reach - a)[row]
+    out = np.empty(len(row), _WINDOW)
+    begin = x.at[row] - x.reach + start
+    out["window"] = textvec.mix(textvec.span_hash(x.hashes, begin, begin + x.reach + GRAM) + start.astype(np.uint64))
+    out["doc"], out["key"], out["start"] = x.doc[row], keys[row], start
+    return out
+
+
+def _window_verdicts(rows: np.ndarray) -> np.ndarray:
+    """Whether a smaller document than the row's has the same window."""
+    order = np.lexsort((rows["doc"], rows["window"]))
+    window, doc = rows["window"][order], rows["doc"][order]
+    head = np.r_[True, window[1:] != window[:-1]]
+    out = np.empty(len(rows), bool)
+    out[order] = doc > doc[head][np.cumsum(head) - 1]
+    return out
 
 
 def _record(reach: int) -> np.dtype:
@@ -280,24 +335,23 @@ def repeated_spans(docs: DataFrame, size: int = 50, text_col: str = "text", id_c
         if not len(frame):
             return _reply([], 1)
         b = int(frame["batch"].iloc[0])
-        return _reply([(b, 1, p, 0, k.tobytes() + np.packbits(s).tobytes()) for p, k, s in _anchor_blocks(Batch(frame, _skip(replies), size), parts)], 1)
+        return _reply([(b, 1, p, 0, _pack_block(k, s, t)) for p, k, s, t in _anchor_blocks(Batch(frame, _skip(replies), size), parts)], 1)
 
     def flag(frame: pd.DataFrame) -> pd.DataFrame:
-        """An anchor that two documents have is flagged in every batch's block."""
-        sizes = [(8 * len(x)) // 33 for x in frame["blob"]]
-        sizes = [next(m for m in (n - 1, n, n + 1) if m >= 0 and 4 * m + -(-m // 8) == len(x)) for n, x in zip(sizes, frame["blob"])]
-        key = np.concatenate([np.frombuffer(x, np.uint32, n) for n, x in zip(sizes, frame["blob"])])
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * n), count=n) for n, x in zip(sizes, frame["blob"])]).astype(bool)
+        """An anchor that two documents have is flagged in every batch's block, and one with very many contexts once more."""
+        opened = [_open_block(x) for x in frame["blob"]]
+        key, several, times = (np.concatenate(x) for x in zip(*opened))
         order = np.argsort(key, kind="stable")
         k = key[order]
         head = np.ones(len(k), bool)
         head[1:] = k[1:] != k[:-1]
         at = np.flatnonzero(head)
         hit = (np.diff(np.append(at, len(k))) > 1) | np.logical_or.reduceat(several[order], at)
-        flags = np.empty(len(k), bool)
-        flags[order] = hit[np.cumsum(head) - 1]
-        each = np.split(flags, np.cumsum(sizes)[:-1])
-        return _reply([(b, 1, p, 0, np.packbits(f).tobytes()) for b, p, f in zip(frame["batch"], frame["part"], each) if f.any()], 1)
+        flags = np.empty((2, len(k)), bool)
+        flags[0, order] = hit[np.cumsum(head) - 1]
+        flags[1, order] = (np.add.reduceat(times[order], at) > HOT)[np.cumsum(head) - 1]
+        each = np.split(flags, np.cumsum([len(x[0]) for x in opened])[:-1], axis=1)
+        return _reply([(b, 1, p, 0, np.packbits(f, axis=1).tobytes()) for b, p, f in zip(frame["batch"], frame["part"], each) if f[0].any()], 1)
 
     def contexts(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         """Distinct contexts of the flagged anchors, each with its least document in the batch."""
@@ -305,27 +359,44 @@ def repeated_spans(docs: DataFrame, size: int = 50, text_col: str = "text", id_c
         if not len(frame) or not bits:
             return _reply([], 2)
         x = Batch(frame, _skip(replies), size)
-        known = [(p << 32 | k.astype(np.int64))[np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(k)).astype(bool)] for p, k, _ in _anchor_blocks(x, parts) if p in bits]
-        x.only(np.isin((_part(x.gram, parts) << 32) | (x.gram & np.uint64(0xFFFFFFFF)).astype(np.int64), np.concatenate(known)))
+        known, hot = [], []
+        for p, k, *_ in _anchor_blocks(x, parts):
+            if p in bits:
+                flags = np.unpackbits(np.frombuffer(bits[p], np.uint8).reshape(2, -1), axis=1, count=len(k)).astype(bool)
+                known.append(p << 32 | k.astype(np.int64)[flags[0]])
+                hot.append(flags[1][flags[0]])
+        known, hot = np.concatenate(known), np.concatenate(hot)
+        anchor = lambda: (_part(x.gram, parts) << 32) | (x.gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        x.only(np.isin(anchor(), known))
         key = x.keys()
         order = np.lexsort((x.doc, key))
         head = np.ones(len(key), bool)
         head[1:] = key[order][1:] != key[order][:-1]
         x.only(order[head])
-        out = np.empty(len(x.at), _record(reach))
-        out["key"], out["gram"], out["doc"] = key[order[head]], x.gram, x.doc
-        out["a"], out["b"] = x.lengths()
-        out["left"], out["right"] = x.contexts()
-        part = _part(x.gram, parts)
-        order = np.argsort(part, kind="stable")
-        cut = np.flatnonzero(np.diff(part[order])) + 1
-        b = int(frame["batch"].iloc[0])
-        return _reply([(b, 2, int(part[i[0]]), 0, out[i].tobytes()) for i in np.split(order, cut) if len(i)], 2)
+        key, b = key[order[head]], int(frame["batch"].iloc[0])
+        out, single = [], np.isin(anchor(), known[hot])
+        if single.any():
+            rows = _windows(key[single], copy.copy(x).only(single))
+            out += [(b, 3, p, 0, rows[i].tobytes()) for p, i in _by_part(_part(rows["window"], parts))]
+            key = key[~single]
+            x.only(~single)
+        rows = np.empty(len(x.at), _record(reach))
+        rows["key"], rows["gram"], rows["doc"] = key, x.gram, x.doc
+        rows["a"], rows["b"] = x.lengths()
+        rows["left"], rows["right"] = x.contexts()
+        return _reply(out + [(b, 2, p, 0, rows[i].tobytes()) for p, i in _by_part(_part(x.gram, parts))], 2)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if frame["kind"].iloc[0] == 3:
+            rows = [np.frombuffer(x, _WINDOW) for x in frame["blob"]]
+            hits = np.split(_window_verdicts(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
+            for b, r, x in zip(frame["batch"], rows, hits):
+                if x.any():
+                    out.append((b, 2, 0, 0, r["key"][x].tobytes() + (np.uint32(1) << r["start"][x].astype(np.uint32)).tobytes()))
+            return _reply(out, 2)
         rows = [np.frombuffer(x, _record(reach)) for x in frame["blob"]]
         bits = _verdicts(np.concatenate(rows), reach)
-        out = []
         for b, r, x in zip(frame["batch"], rows, np.split(bits, np.cumsum([len(r) for r in rows])[:-1])):
             if x.any():
                 out.append((b, 2, 0, 0, r["key"][x > 0].tobytes() + x[x > 0].tobytes()))
@@ -338,10 +409,12 @@ def repeated_spans(docs: DataFrame, size: int = 50, text_col: str = "text", id_c
         said = [(np.frombuffer(y, np.uint64, len(y) // 12), np.frombuffer(y, np.uint32, offset=len(y) // 12 * 8)) for y in replies.loc[replies["kind"] == 2, "blob"]]
         key = x.keys()
         bits = np.zeros(len(key), np.int64)
-        if said:
+        if sum(len(y[0]) for y in said):
             known, mask = np.concatenate([s[0] for s in said]), np.concatenate([s[1] for s in said])
             order = np.argsort(known)
             known, mask = known[order], mask[order].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, known[1:] != known[:-1]]) if len(known) else np.zeros(0, int)
+            known, mask = known[first], np.bitwise_or.reduceat(mask, first) if len(first) else mask
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             bits = np.where(known[at] == key, mask[at], 0)
         order = np.lexsort((x.doc, key))
@@ -375,7 +448,7 @@ def repeated_spans(docs: DataFrame, size: int = 50, text_col: str = "text", id_c
     blocks = cogroup(copies, anchors, REPLY)
     flags = blocks.groupBy("part").applyInPandas(flag, REPLY)
     found = cogroup(flags.unionByName(copies), contexts, REPLY)
-    verdicts = found.groupBy("part").applyInPandas(compare, REPLY)
+    verdicts = found.groupBy("kind", "part").applyInPandas(compare, REPLY)
     out = cogroup(verdicts.unionByName(copies), remove, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     return out.withColumnRenamed("doc_id", id_col)
 
