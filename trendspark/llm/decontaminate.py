@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspark.llm import textvec
-from trendspark.llm.common import table
+from trendspark.llm.common import checkpoint, table
 
 Q = 10
-WINDOW = 120  # longer items are searched by windows of this many characters, half overlapping
+WINDOW, STRIDE = 80, 20  # longer items are searched by windows of so many characters: a copied part of WINDOW + STRIDE - 1 always holds one
 ERRORS = 0.06
 LEAST = 40  # shorter windows are searched for without errors
 BLOCK = 64  # positions over which shared q-grams are first counted
-BENCHMARK_CHARS = 20_000_000  # of the benchmark that one pass over the documents takes; more takes more passes
+BENCHMARK_CHARS = 500_000  # of the benchmark that one pass over the documents takes (an index of some 40 MB); more takes more passes
 _MASK = (1 << 22) - 1
 _FACTOR = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -48,11 +48,11 @@ class Index:
     """Windows of benchmark items with their q-grams, budgets and thresholds."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.codes = [], []
+        self.item, self.codes = [], []  # an item's windows are parts of one array
         for item, text in items:
             codes = normalise(text or "")
             last = len(codes) - WINDOW
-            for s in [*range(0, last, WINDOW // 2), last] if last > 0 else [0] if len(codes) >= Q else []:
+            for s in [*range(0, last, STRIDE), last] if last > 0 else [0] if len(codes) >= Q else []:
                 self.item.append(item)
                 self.codes.append(codes[s : s + WINDOW])
         n = np.array([len(c) for c in self.codes], np.int64)
@@ -69,8 +69,8 @@ class Index:
         gram = np.concatenate(each) if each else np.zeros(0, np.uint64)
         order = np.argsort(gram, kind="stable")
         self.gram = gram[order]
-        self.window = np.repeat(np.arange(len(n)), grams)[order]
-        self.pos = (np.concatenate([np.arange(k) for k in grams]) if len(n) else np.zeros(0, np.int64))[order]
+        self.window = np.repeat(np.arange(len(n), dtype=np.int32), grams)[order]
+        self.pos = (np.concatenate([np.arange(k, dtype=np.int16) for k in grams]) if len(n) else np.zeros(0, np.int16))[order]
         self.seen = np.zeros(_MASK + 1, bool)
         self.seen[(self.gram & np.uint64(_MASK)).astype(np.int64)] = True
 
@@ -94,7 +94,7 @@ class Index:
         low, high = np.searchsorted(self.gram, gram[where]), np.searchsorted(self.gram, gram[where], side="right")
         size = high - low
         k = np.repeat(low - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-        window = self.window[k]
+        window = self.window[k].astype(np.int64)
         diagonal = np.repeat(where, size) - self.pos[k] + WINDOW
         width = self.errors[window] + 1
         band = diagonal // width
@@ -164,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
     passes = max(1, -(-total // BENCHMARK_CHARS))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for k in range(passes):
+    for k in range(passes):  # one index at a time, on the driver and in the tasks
         rows = sizes.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select("item_id", "text").collect()
         index = Index([(r["item_id"], r["text"]) for r in rows if r["item_id"] is not None])
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -182,6 +182,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
                 yield frame
 
         part = plain.mapInPandas(run, "doc_id long, item_id long, n_windows int, distance int")
+        if passes > 1:
+            part = checkpoint(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("doc_id", id_col)
 
