@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,14 +17,25 @@ from trendspark.llm.common import table
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
-#: Default of the key parameter; a real run gives its own secret.
-KEY = b"pseudonym key of the tests"
+#: Key of the registered query only; who has it can undo the pseudonyms. A real run gives its own secret.
+QUERY_KEY = b"pseudonym key of the tests"
 
 _CLASSES = [
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7),
 ]
 _CLASS_OF = {c: k for k in _CLASSES for c in k}
+
+
+@lru_cache(4096)
+def _class_of(c: str) -> str:
+    """The characters that c may become: its class above, or letters and digits of its kind in its block of 256 code points."""
+    if c in _CLASS_OF or not c.isalnum():
+        return _CLASS_OF.get(c, "")
+    kind, block = unicodedata.category(c), ord(c) & ~255
+    return "".join(x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == kind and x.isalnum() and x not in _CLASS_OF)
+
+
 _HEX = {"lower": "0123456789abcdef", "upper": "0123456789ABCDEF"}
 
 # One alternative a kind; word characters around a number are no boundary.
@@ -74,8 +86,8 @@ def permute(x: int, size: int, key: bytes, tweak: str, inverse: bool = False, al
 
 
 def permute_characters(text: str, key: bytes, tweak: str, inverse: bool = False, alphabet: str | None = None) -> str:
-    """Each character changes within its class (digits, letters by case, accented letters); others stay."""
-    classes = [alphabet or _CLASS_OF.get(c, "") for c in text]
+    """Each letter or digit changes within its class (digits, letters by case and script); others stay. One or two characters are few values: such a permutation is a short table."""
+    classes = [alphabet or _class_of(c) for c in text]
     size, x = 1, 0
     for c, k in zip(text, classes):
         if k:
@@ -192,7 +204,10 @@ def _phone(v, key, inverse):
 
 
 def _email(v, key, inverse):
+    """The domain stays; a local part without letters and digits is no value."""
     local, at, domain = v.rpartition("@")
+    if not any(map(_class_of, local)):
+        return None
     return permute_characters(local, key, "email", inverse) + at + domain
 
 
@@ -253,7 +268,7 @@ def _cached(kind: str, value: str, key: bytes, inverse: bool) -> str | None:
     return RULES[kind](value, key, inverse)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, inverse: bool = False, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False, text_col: str = "text") -> DataFrame:
     """All columns of docs with values in the text replaced, and n_<kind> for each kind (columns of docs with such names are replaced).
 
     Card numbers must pass Luhn's check, account numbers theirs, dates and network addresses must
@@ -277,4 +292,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, inverse: bool = False, text_
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
