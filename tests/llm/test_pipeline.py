@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trendspark.llm import decontaminate, ngram_join, quality_rules
+from trendspark.llm import decontaminate, mixing, ngram_join, quality_rules
 from trendspark.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,6 +17,7 @@ def test_stages_step_by_step(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         new = spark.read.parquet(str(tmp_path / name))
         assert new.columns[:5] == corpus_pipeline.COLUMNS and (len(new.columns) == 5) == (k < 4)
+        before_mixing = docs.count()
         ids, before = {r.doc_id for r in new.collect()}, {r.doc_id for r in docs.collect()}
         assert ids <= before and new.count() == len(ids)
         if name == "quality_rules":
@@ -30,6 +31,7 @@ def test_stages_step_by_step(spark, tmp_path):
             assert before - ids == {r.doc_id for r in decontaminate.find_leaks(docs, table(spark, SMALL, "benchmark")).collect()}
         docs = new
     assert docs.where("rate <= 0").count() == 0
+    assert docs.count() == before_mixing
 
 
 def test_run_keeps_clean_documents(spark):
@@ -39,9 +41,17 @@ def test_run_keeps_clean_documents(spark):
     assert labels[labels.doc_id.isin(out.doc_id)].quality.mean() > labels.quality.mean()
 
 
+def test_mix_meets_its_targets(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 200")
+    labels = mixing.label_domains(table(spark, "/root/testdata/sf0.01", "labels"))
+    out = mixing.mixing_rates(docs, labels, {"good": 0.7, "poor": 0.1, "toxic": 0.2}).toPandas()  # far from the shares of the table
+    got = [(out.n_tokens * out.rate * out[f"p_{k}"]).sum() / out.n_tokens.sum() for k in ("good", "poor", "toxic")]
+    assert abs(got[0] - 0.7) < 0.005 and abs(got[1] - 0.1) < 0.005 and abs(got[2] - 0.2) < 0.005
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (3, "one two", "en", "a", 7), (3, "one two", "en", "a", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("rate", F.lit("x")).withColumn("kept", F.lit(1))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SMALL).columns == corpus_pipeline.COLUMNS
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).columns == corpus_pipeline.COLUMNS + ["rate"] * (name == "mixing")
         assert stage(spark, docs.limit(0), SMALL).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ TARGETS = {"good": 0.86, "poor": 0.05, "toxic": 0.09}
 PER_DOMAIN = 2000
 WORD_WEIGHT = 4.0  # of the words against the statistics
 STAY = 1e-3  # weight of the distance of the rates from 1, which makes them unique
-ITERATIONS = 50
+ITERATIONS = 60
+KEEP_EVERY = 10  # iterations after which the state of the documents is written
 TOLERANCE = 5e-4
 
 
@@ -106,16 +108,24 @@ def domain_posteriors(docs: DataFrame, model: Softmax, names: list[str]) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in cols))
 
 
-def rates_of(p: np.ndarray, history: np.ndarray, stay: float = STAY) -> tuple[np.ndarray, np.ndarray]:
-    """(rate, extrapolated rate) of documents with posteriors p after the steps whose residuals history holds.
+def momentum(steps: int) -> float:
+    """Nesterov's number after so many steps."""
+    t = 1.0
+    for _ in range(steps):
+        t = (1 + np.sqrt(1 + 4 * t * t)) / 2
+    return t
+
+
+def rates_of(p: np.ndarray, residuals: np.ndarray, stay: float = STAY, rate: np.ndarray | None = None, ahead: np.ndarray | None = None, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(rate, extrapolated rate) of documents with posteriors p after the steps with these residuals; rate, ahead: the state after the first `done` steps.
 
     A step goes against the gradient sum_k p_k e_k + stay * (r - 1), is cut off at 0 and
     extrapolated with Nesterov's factor. The step size is the reciprocal of a bound of the
     curvature, as the token-weighted squares of posteriors sum to 1 at most.
     """
-    rate = np.ones(len(p))
-    ahead, t = rate, 1.0
-    for e in history:
+    rate = np.ones(len(p)) if rate is None else rate
+    ahead, t = rate if ahead is None else ahead, momentum(done)
+    for e in residuals:
         new = np.maximum(0, ahead - (p @ e + stay * (ahead - 1)) / (1 + stay))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t_new * (new - rate)
@@ -128,39 +138,51 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], stay: float = ST
 
     The target shares are taken of all tokens of the input. The least squares problem is solved
     by distributed projected gradient: an iteration sums the expected tokens of the domains over
-    all documents (a few numbers a partition) and sends the residuals back; each document finds
-    its rate from the residuals so far. It ends when every share is met to the tolerance, or
-    after `iterations` (targets of domains that no document has can't be met).
+    all documents (a few numbers a partition) and sends the residuals back; each document makes
+    the steps since its state was last written. It ends when every share is met to the tolerance,
+    or after `iterations` with a warning that gives the shares (targets of domains that no
+    document has can't be met).
     """
     names = list(targets)
     cols = [f"p_{d}" for d in names]
     total = posteriors.agg(F.sum("n_tokens")).first()[0] or 0
     share = sum(targets.values())
     want = np.array([targets[d] / share for d in names])
-    data = posteriors.select("n_tokens", *cols)
-    history = np.zeros((0, len(names)))
-    while total and len(history) < iterations:
-        past = history
+    state = posteriors.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
+    fields = posteriors.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",rate:double"
+    done, recent, met = 0, np.zeros((0, len(names))), not total
+
+    def stepped(b: pd.DataFrame, residuals: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        return rates_of(b[cols].to_numpy(), residuals, stay, b["rate"].to_numpy(), b["ahead"].to_numpy(), first)
+
+    def written(residuals: np.ndarray, first: int) -> DataFrame:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rate, ahead = stepped(b, residuals, first)
+                yield b.assign(rate=rate, ahead=ahead)
 
-        def part(batches: Iterator[pd.DataFrame], past=past) -> Iterator[pd.DataFrame]:
+        return state.mapInPandas(add, fields + ",ahead:double")
+
+    while not met:
+        def part(batches: Iterator[pd.DataFrame], residuals=recent, first=done) -> Iterator[pd.DataFrame]:
             sums = np.zeros((2, len(cols)))
             for b in batches:
-                p = b[cols].to_numpy()
-                for k, r in enumerate(rates_of(p, past, stay)):
-                    sums[k] += (b["n_tokens"].to_numpy(float) * r) @ p
+                for k, r in enumerate(stepped(b, residuals, first)):
+                    sums[k] += (b["n_tokens"].to_numpy(float) * r) @ b[cols].to_numpy()
             yield pd.DataFrame([sums.ravel()], columns=[f"s{k}" for k in range(sums.size)])
 
-        row = data.mapInPandas(part, ", ".join(f"s{k} double" for k in range(2 * len(cols)))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * len(cols))]).first()
-        sums = np.array(row, float).reshape(2, -1) / total
-        if len(history) and np.abs(sums[0] - want).max() < tolerance:
+        row = state.select("n_tokens", *cols, "rate", "ahead").mapInPandas(part, ", ".join(f"s{k} double" for k in range(2 * len(cols)))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * len(cols))]).first()
+        now, ahead = np.array(row, float).reshape(2, -1) / total
+        met = np.abs(now - want).max() < tolerance and done + len(recent) > 0
+        if not met and done + len(recent) >= iterations:
+            warnings.warn(f"shares {dict(zip(names, now.round(4).tolist()))} instead of {dict(zip(names, want.round(4).tolist()))} after {iterations} iterations", stacklevel=2)
             break
-        history = np.vstack([history, sums[1] - want])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(rate=rates_of(b[cols].to_numpy(), history, stay)[0])
-
-    return posteriors.mapInPandas(add, posteriors.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",rate:double")
+        if not met:
+            recent = np.vstack([recent, ahead - want])
+        if len(recent) == KEEP_EVERY and not met:
+            state = checkpoint(written(recent, done))
+            done, recent = done + KEEP_EVERY, recent[:0]
+    return written(recent, done).drop("ahead")
 
 
 def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, stay: float = STAY) -> DataFrame:
