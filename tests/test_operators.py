@@ -5,6 +5,7 @@ import difflib
 import html
 import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trendspark.functions import text, urls
@@ -167,6 +168,41 @@ def test_stream_chunks_equal_batch(spark, tmp_path):
     docs = spark.createDataFrame([(str(i), "k", "s", "u", "t", f"k text number {i} " * 40) for i in range(5)], "_id string, keyword string, source string, url string, title string, content string")
     q = jobs.clean_and_chunk(stream_of(spark, tmp_path, docs), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
+    got = jobs.latest_chunks(spark, str(tmp_path / "out"))
     want = chunks.process_documents(docs)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_replaces_older_versions(spark, tmp_path):
+    schema = "_id string, keyword string, source string, url string, title string, content string, crawled_at bigint"
+    row = lambda i, text, at: (str(i), "cafe\u0301", "s", "u", "t", f"café {text} {i} " * 40 if text else "", at)
+    batches = [[row(1, "old", 1), row(2, "two", 1)], [row(1, "new", 3), row(1, "late", 2), row(3, "three", 2)], [row(2, "", 4)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = jobs.clean_and_chunk(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    want = chunks.process_documents(spark.createDataFrame([row(1, "new", 3), row(3, "three", 2)], schema))
+    got = jobs.latest_chunks(spark, str(tmp_path / "out"))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert want.where("is_relevant").count() == want.count() > 0  # composed and decomposed forms are one
+
+
+def test_near_duplicate_recall(spark):
+    """Against all pairs of windows of a keyword, and of texts with random edits."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 6 = 2").select("doc_id", "text")
+    texts = sorted({r.chunk.strip() for r in chunks.chunk_windows(docs, "text").collect()})[:150]
+    rng = np.random.default_rng(3)
+    for t in texts[:60]:
+        c = list(t)
+        for _ in range(int(rng.integers(0, max(1, len(c) // 60)))):
+            at = int(rng.integers(0, len(c)))
+            c[at : at + int(rng.integers(0, 10))] = list("qzx"[: int(rng.integers(0, 3))])
+        texts.append("".join(c).strip())
+    texts = list(dict.fromkeys(texts))
+    want = {(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if dedup.may_be_similar(b, a, 0.8) and difflib.SequenceMatcher(None, b, a).ratio() >= 0.8}
+    df = spark.createDataFrame([("k", i, i, t) for i, t in enumerate(texts)], "keyword string, seq bigint, parent_id bigint, text string")
+    got = {(r.earlier, r.later) for r in dedup.similar_pairs(df).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 20
+    some = rng.integers(0, len(texts), (300, 2))
+    assert all(dedup.may_be_similar(texts[i], texts[j], 0.8) for i, j in some if difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() >= 0.8)

@@ -1,15 +1,17 @@
-"""Checkpoints in the folder that the cluster shares."""
-
-from __future__ import annotations
+"""Cutting the lineage of iterative jobs."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in spark.checkpoint.dir; a folder of our own is set only where there is none, as in tests."""
+    """Write df to the folder of spark.checkpoint.dir; without one, only jobs in one process (tests) get a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

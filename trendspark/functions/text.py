@@ -33,6 +33,7 @@ PROFANITY = (
     "창녀", "매춘부",
 )
 MASK = "[욕설]"
+# The slur's contexts, thresholds, markers and patterns.
 SLUR = r"""한남(?=말투|충|들|남|녀|[\s~.,!?"'()·]|$)"""
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 REPEAT_LIMIT = 3
@@ -66,10 +67,19 @@ def unescape_common(c: Column) -> Column:
     return c
 
 
-def clean_text(c: Column, all_entities: bool = False) -> Column:
-    """Entities, tags, links, addresses, phone numbers, repeats, site phrases and blanks, in this order; null is ''."""
+def unescape_all(c: Column) -> Column:
+    """All HTML entities; only texts with others than the common ones go through Python."""
+    other = F.rlike(c, F.lit(r"&(?!(?:nbsp|lt|gt|quot|#39|amp);)[A-Za-z#]"))
+    return F.coalesce(unescape(F.when(other, c)), unescape_common(c))
+
+
+def clean_text(c: Column, all_entities: bool = True) -> Column:
+    """Entities, tags, links, addresses, phone numbers, repeats, site phrases and blanks, in this order; null is ''.
+
+    all_entities=False stays with built-in functions and decodes the common entities only.
+    """
     c = F.coalesce(c, F.lit(""))
-    c = unescape(c) if all_entities else unescape_common(c)
+    c = unescape_all(c) if all_entities else unescape_common(c)
     c = F.replace(F.regexp_replace(c, "<[^>]+>", " "), F.lit(" "), F.lit(" "))
     c = F.regexp_replace(c, URL, "")
     c = F.regexp_replace(F.regexp_replace(c, EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
@@ -98,12 +108,17 @@ def normalize_gate(c: Column) -> Column:
 
 def match_keyword(keyword: Column, title: Column, body: Column, nfc: bool = True) -> Column:
     """Struct (matched, position, count) of a keyword: in the title, early or late in the body, or none."""
-    k, t, b = (normalize(c, nfc) for c in (keyword, title, body))
-    times = lambda x: ((F.length(x) - F.length(F.replace(x, k, F.lit("")))) / F.greatest(F.length(k), F.lit(1))).cast("int")
-    at = F.position(k, b)
-    none = (k == "") | ~(F.contains(t, k) | F.contains(b, k))
-    position = F.when(none, "none").when(F.contains(t, k), "title").when(at - 1 < EARLY_CHARS, "early").otherwise("late")
-    return F.struct((~none).alias("matched"), position.alias("position"), F.when(none, 0).otherwise(times(t) + times(b)).alias("count"))
+    texts = F.struct(*[normalize(c, nfc).alias(n) for n, c in (("k", keyword), ("t", title), ("b", body))])
+
+    def match(x: Column) -> Column:
+        k, t, b = x["k"], x["t"], x["b"]
+        times = lambda y: ((F.length(y) - F.length(F.replace(y, k, F.lit("")))) / F.greatest(F.length(k), F.lit(1))).cast("int")
+        none = (k == "") | ~(F.contains(t, k) | F.contains(b, k))
+        position = F.when(none, "none").when(F.contains(t, k), "title").when(F.position(k, b) - 1 < EARLY_CHARS, "early").otherwise("late")
+        return F.struct((~none).alias("matched"), position.alias("position"), F.when(none, 0).otherwise(times(t) + times(b)).alias("count"))
+
+    # through an array of one element, so that the normal forms are made once and not wherever they are used
+    return F.get(F.transform(F.array(texts), match), F.lit(0))
 
 
 def hangul_ratio(c: Column) -> Column:
@@ -189,6 +204,7 @@ def link_citations(c: Column, n: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.coalesce(F.get(links, k), F.lit("")))), "")
 
 
+# Headings of an answer and ends of its sentences.
 TREND_HEAD = r"(?m)^(?:#{1,6}[ \t]*)?(?:\*\*)?5[.)][ \t]*(?:\*\*)?트렌드[ \t]*맥락(?:\*\*)?[ \t]*[:：]?[ \t]*(?:\n|$)?"
 SECTION_HEAD = r"(?m)^(?:#{1,6}\s*)?(?:\*\*)?([1-4])[.)]\s*(?:\*\*)?(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)(?:\*\*)?\s*[:：]?[ \t]*\n?"
 SENTENCE_END = r"""[.!?다요죠음함됨임][ \n\t*`"'’”)\]]*$"""

@@ -66,8 +66,9 @@ def method_summary(queries: DataFrame) -> DataFrame:
 def method_overlap(ranked: DataFrame) -> DataFrame:
     """(a, b, overlap): mean Jaccard of two methods' results over the queries that either has."""
     ids = ranked.groupBy(*BY).agg(F.collect_set("chunk_id").alias("ids"))
-    a, b = ids.alias("a"), ids.alias("b")
-    both = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.method") < F.col("b.method")))
+    # a query's methods are few: their pairs are made in its own row, without a join
+    methods = ids.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("method", "ids"))).alias("m"))
+    both = methods.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
     share = F.size(F.array_intersect("a.ids", "b.ids")) / F.greatest(F.size(F.array_union("a.ids", "b.ids")), F.lit(1))
     return both.groupBy(F.col("a.method").alias("a"), F.col("b.method").alias("b")).agg(F.avg(share).alias("overlap"))
 

@@ -39,6 +39,12 @@ def parse_post_date(raw: Column, now: Column) -> Column:
     )
 
 
+def dated(posts: DataFrame, raw: str, out: str, now: Column, dropping: tuple[str, ...] = (), source: str = "source") -> DataFrame:
+    """Add the parsed date; posts without one go where their source is a dropping one, and stay with null elsewhere."""
+    parsed = posts.withColumn(out, parse_post_date(F.col(raw), now))
+    return parsed.where(F.col(out).isNotNull() | ~F.coalesce(F.col(source).isin(*dropping), F.lit(False))) if dropping else parsed
+
+
 def fetchable(url: Column) -> Column:
     return F.rlike(url, F.lit(r"^(?i:https?)://"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from trendspark.functions import urls
 
 RRF = 60
 FACETS = ("meaning", "why_popular", "usage", "who")
+QUERY_BLOCK, CHUNK_PART = 2048, 20_000  # vectors that meet in one cell of the dense search
 MAX_SOURCES, MAX_SOURCE_CHARS, MAX_CHARS = 6, 1800, 8000
 
 
@@ -22,22 +24,53 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None = "keyword") -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine (to nine decimals), within the query's keyword or, with within=None, among all chunks.
 
-
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine within the query's keyword. Lengths are computed once a vector."""
-    q = queries.select("query_id", "keyword", F.col("vec").alias("qv"), F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("qn"))
-    c = chunks.select("chunk_id", "keyword", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("cn"))
-    both = c.join(q, "keyword").where("qn > 0 and cn > 0")
-    return _ranked(both.select("query_id", "chunk_id", (dot(F.col("qv"), F.col("vec")) / (F.col("qn") * F.col("cn"))).alias("score")), k)
-
-
-def sparse_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """By the product of token weights. queries: (query_id, keyword, token, weight); postings: (chunk_id, keyword, token, weight)."""
-    q = queries.select("query_id", "keyword", "token", F.col("weight").alias("qw"))
-    hit = postings.join(q, ["keyword", "token"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    A grid: queries in blocks of QUERY_BLOCK and chunks in parts of CHUNK_PART meet once each, and
+    every cell sends its own k best of a query only. Vectors of length 0, and null ones, match nothing.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-chunks.count() // CHUNK_PART))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    key = F.col(within).cast("string") if within else F.lit("")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    types = {n: t for n, t in [*queries.dtypes, *chunks.dtypes]}
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    q = queries.where("vec is not null").select(F.lit(True).alias("asks"), "query_id", F.lit(0).cast(types["chunk_id"]).alias("chunk_id"), key.alias("key"), vec, own("query_id", blocks).alias("block"), all_of(parts).alias("part"))
+    c = chunks.where("vec is not null").select(F.lit(False).alias("asks"), F.lit(0).cast(types["query_id"]).alias("query_id"), "chunk_id", key.alias("key"), vec, all_of(blocks).alias("block"), own("chunk_id", parts).alias("part"))
+
+    def unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        v = np.vstack(vectors.to_numpy())
+        length = np.sqrt((v * v).sum(1))
+        return v / np.where(length > 0, length, 1)[:, None], length > 0
+
+    def cell(frame: pd.DataFrame) -> pd.DataFrame:
+        wanted, rows = frame[frame["asks"]], frame[~frame["asks"]]
+        found = [pd.DataFrame({"query_id": wanted["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "score": np.zeros(0)})]
+        if len(wanted) and len(rows):
+            rows = rows.sort_values("chunk_id")
+            (a, a_ok), (b, b_ok) = unit(wanted["vec"]), unit(rows["vec"])
+            ids, keys = rows["chunk_id"].to_numpy(), rows["key"].to_numpy()
+            for i in np.flatnonzero(a_ok):
+                fits = np.flatnonzero(b_ok & (keys == wanted["key"].iat[i]))
+                score = np.round(b[fits] @ a[i], 9)
+                if len(score) > k:
+                    least = np.partition(score, -k)[-k]
+                    fits, score = fits[score >= least], score[score >= least]
+                best = np.argsort(-score, kind="stable")[:k]  # ties by chunk_id
+                found.append(pd.DataFrame({"query_id": wanted["query_id"].iat[i], "chunk_id": ids[fits[best]], "score": score[best]}))
+        return pd.concat(found)
+
+    best = q.unionByName(c).groupBy("block", "part").applyInPandas(cell, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
+    return _ranked(best, k)
+
+
+def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, within: str | None = "keyword") -> DataFrame:
+    """By the product of token weights. queries: (query_id, keyword, token, weight); postings: (chunk_id, keyword, token, weight); within as in dense_topk."""
+    on = [within, "token"] if within else ["token"]
+    q = queries.select("query_id", *on, F.col("weight").alias("qw"))
+    hit = postings.join(q, on).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
     return _ranked(hit, k)
 
 
@@ -67,11 +100,11 @@ def topk_with_cap(hits: DataFrame, k: int, cap: int | None, by: str = "query_id"
     return out.drop("__n", "__over")
 
 
-def hybrid_search(queries: DataFrame, sparse_queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, valid: Column, over_fetch: int = 3, cap: int | None = None, least_dense: float = 0.0) -> DataFrame:
+def hybrid_search(queries: DataFrame, sparse_queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, valid: Column, over_fetch: int = 3, cap: int | None = None, least_dense: float = 0.0, within: str | None = "keyword") -> DataFrame:
     """Both lists with 2 * raw candidates, fused to raw = k * over_fetch, floor, validity, source cap."""
     raw = k * over_fetch
-    dense = dense_topk(queries, chunks, 2 * raw)
-    fused = rrf_fuse([dense, sparse_topk(sparse_queries, postings, 2 * raw)], raw)
+    dense = dense_topk(queries, chunks, 2 * raw, within)
+    fused = rrf_fuse([dense, sparse_topk(sparse_queries, postings, 2 * raw, within)], raw)
     if least_dense:
         fused = min_dense_score(fused, dense, least_dense)
     good = fused.join(chunks.drop("vec"), "chunk_id").where(valid)

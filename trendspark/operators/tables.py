@@ -113,14 +113,27 @@ def keyword_set_change(keywords: DataFrame, add: DataFrame, remove: DataFrame) -
     return keywords.select("keyword").union(add.select("keyword")).distinct().join(remove.select("keyword"), "keyword", "left_anti")
 
 
+LISTED, LISTED_CHARS = 2_000, 200_000  # of a keyword list that is broadcast
+
+
 def cross_df(docs: DataFrame, keywords: DataFrame, text: str = "norm", demote: float = 0.1) -> DataFrame:
     """For each keyword, the share of other keywords' documents that hold it; frequent ones are to be demoted.
 
-    docs: (keyword, norm); keywords: (keyword, norm), a list that is broadcast as one array: the
-    documents are scanned once, and only counts are shuffled.
+    docs: (keyword, norm); keywords: (keyword, norm). A list of at most LISTED keywords and LISTED_CHARS
+    characters is broadcast as one array: the documents are scanned once, and only counts are
+    shuffled. A longer one is joined by its keywords' first two characters with those pairs that
+    each document has.
     """
-    listed = keywords.agg(F.collect_set(F.struct("keyword", F.col("norm").alias("k"))).alias("ks"))
-    pairs = docs.join(F.broadcast(listed)).select(F.col("keyword").alias("own"), F.explode(F.filter("ks", lambda x: (x["k"] != "") & F.contains(F.col(text), x["k"]))["keyword"]).alias("keyword"))
+    rows, chars = keywords.agg(F.count("*"), F.coalesce(F.sum(F.length("norm") + F.length("keyword")), F.lit(0))).first()
+    if rows <= LISTED and chars <= LISTED_CHARS:
+        listed = keywords.agg(F.collect_set(F.struct("keyword", F.col("norm").alias("k"))).alias("ks"))
+        pairs = docs.join(F.broadcast(listed)).select(F.col("keyword").alias("own"), F.explode(F.filter("ks", lambda x: (x["k"] != "") & F.contains(F.col(text), x["k"]))["keyword"]).alias("keyword"))
+    else:
+        named = keywords.where("norm <> ''").distinct().select(F.col("keyword").alias("other"), F.col("norm").alias("k"), F.substring("norm", 1, 2).alias("piece"))
+        at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        pieces = F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col(text), i, F.lit(1)), F.substring(F.col(text), i, F.lit(2)))))
+        each = docs.select("keyword", F.col(text).alias("__t"), F.explode(F.array_distinct(pieces)).alias("piece"))
+        pairs = each.join(named, "piece").where(F.contains("__t", F.col("k"))).select(F.col("keyword").alias("own"), F.col("other").alias("keyword"))
     hits = pairs.where("own <> keyword").groupBy("keyword").agg(F.count("*").alias("cross_match"))
     size = docs.groupBy("keyword").agg(F.count("*").alias("own_docs"))
     total = size.agg(F.sum("own_docs").alias("total"))

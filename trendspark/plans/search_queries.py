@@ -66,7 +66,7 @@ def m12(spark, d):
 @query("d02_drop_near_duplicates")
 def d02(spark, d):
     k = F.element_at(F.array(*map(F.lit, KEYWORDS)), (F.col("doc_id") % 6 + 1).cast("int"))
-    c = windows(spark, d).select(k.alias("keyword"), (F.col("doc_id") * 1000 + F.col("piece_index")).alias("seq"), F.col("doc_id").alias("parent_id"), F.col("chunk").alias("text"))
+    c = windows(spark, d).select(k.alias("keyword"), (F.col("doc_id") * 1_000_000 + F.col("piece_index")).alias("seq"), F.col("doc_id").alias("parent_id"), F.col("chunk").alias("text"))
     bench = table(spark, d, "benchmark").select(F.col("item_id"), F.col("text"))
     old = bench.select(F.element_at(F.array(*map(F.lit, KEYWORDS)), (F.col("item_id") % 6 + 1).cast("int")).alias("keyword"), (-F.col("item_id") - 1).alias("parent_id"), "text")
     return dedup.drop_near_duplicates(c, old).select("keyword", "seq", "parent_id")
@@ -76,12 +76,12 @@ def d02(spark, d):
 
 BASE = """ch as (select vec_id as chunk_id, 'label' || e.label as keyword, embedding::double[] as vec, d.source, split_part(d.text, chr(10), 1) as title, 'https://' || d.source || '.example/' || (vec_id // 2) as url, d.text
   from embeddings e join documents d on d.doc_id = e.vec_id),
-q as (select 'q_' || keyword as query_id, keyword, arg_min(vec, chunk_id) as vec, arg_min(text, chunk_id) as text from ch group by keyword),
+q as (select 'q_' || chunk_id as query_id, keyword, vec, text from ch where chunk_id % 50 = 0),
 post as (select chunk_id, keyword, token, count(*)::double as weight from (select chunk_id, keyword, unnest(string_split(lower(replace(text, chr(10), ' ')), ' ')) as token from ch) where length(token) >= 4 group by all),
-qs as (select 'q_' || p.keyword as query_id, p.keyword, token, weight from post p join (select keyword, min(chunk_id) as chunk_id from ch group by 1) using (keyword, chunk_id)),
-ds as (select query_id, chunk_id, list_dot_product(q.vec, ch.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(ch.vec, ch.vec))) as score from q join ch using (keyword)),
+qs as (select 'q_' || chunk_id as query_id, keyword, token, weight from post where chunk_id % 50 = 0),
+ds as (select query_id, chunk_id, list_dot_product(q.vec, ch.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(ch.vec, ch.vec))) as score from q, ch),
 dense as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from ds) where rank <= 30),
-ss as (select query_id, chunk_id, sum(qs.weight * post.weight) as score from qs join post using (keyword, token) group by all),
+ss as (select query_id, chunk_id, sum(qs.weight * post.weight) as score from qs join post using (token) group by all),
 sparse as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ss) where rank <= 30),
 fs as (select query_id, chunk_id, sum(1 / (60 + rank)) as score from (select query_id, chunk_id, rank from dense union all select query_id, chunk_id, rank from sparse) group by all),
 fused as (select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, chunk_id) as rank from fs) where rank <= 15),
@@ -91,33 +91,42 @@ hybrid as (select * from (select *, row_number() over (partition by query_id ord
 
 
 def base(spark, d):
-    """(chunks, queries, postings, sparse queries): vectors with the text of the document of the same id, one query a label."""
+    """(chunks, queries, postings, sparse queries): vectors with the text of the document of the same id; every one with an id divisible by 50 is a query."""
     e, doc = table(spark, d, "embeddings"), table(spark, d, "documents")
     c = e.join(doc, e.vec_id == doc.doc_id).select(
         F.col("vec_id").alias("chunk_id"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("keyword"), F.col("embedding").cast("array<double>").alias("vec"), "source",
         F.substring_index("text", "\n", 1).alias("title"), F.concat(F.lit("https://"), "source", F.lit(".example/"), F.floor(F.col("vec_id") / 2).cast("string")).alias("url"), "text",
     )
-    first = c.groupBy("keyword").agg(F.min("chunk_id").alias("chunk_id"))
-    q = c.join(first, ["keyword", "chunk_id"]).select(F.concat(F.lit("q_"), "keyword").alias("query_id"), "keyword", "vec", "text")
+    name = F.concat(F.lit("q_"), F.col("chunk_id").cast("string")).alias("query_id")
+    q = c.where("chunk_id % 50 = 0").select(name, "keyword", "vec", "text")
     tokens = c.select("chunk_id", "keyword", F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("token"))
     p = tokens.where(F.length("token") >= 4).groupBy("chunk_id", "keyword", "token").agg(F.count("*").cast("double").alias("weight"))
-    qs = p.join(first, ["keyword", "chunk_id"]).select(F.concat(F.lit("q_"), "keyword").alias("query_id"), "keyword", "token", "weight")
-    return c, q, p, qs
+    return c, q, p, p.where("chunk_id % 50 = 0").select(name, "keyword", "token", "weight")
 
 
-def dense(spark, d, k=30):
+def dense(spark, d, k=30, within=None):
     c, q, _, _ = base(spark, d)
-    return retrieval.dense_topk(q, c, k)
+    return retrieval.dense_topk(q, c, k, within)
 
 
-def sparse(spark, d, k=30):
+def sparse(spark, d, k=30, within=None):
     _, _, p, qs = base(spark, d)
-    return retrieval.sparse_topk(qs, p, k)
+    return retrieval.sparse_topk(qs, p, k, within)
 
 
 def hybrid(spark, d, cap=1):
     c, q, p, qs = base(spark, d)
-    return retrieval.hybrid_search(q, qs, c, p, K, F.length(F.trim("text")) >= 30, cap=cap)
+    return retrieval.hybrid_search(q, qs, c, p, K, F.length(F.trim("text")) >= 30, cap=cap, within=None)
+
+
+@query("r01_dense_within_keyword", f"with {BASE}, kd as (select query_id, chunk_id, list_dot_product(q.vec, ch.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(ch.vec, ch.vec))) as score from q join ch using (keyword)), kr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from kd) select query_id, chunk_id, round(score, 6) as score, rank::int as rank from kr where rank <= 30")
+def r01k(spark, d):
+    return dense(spark, d, within="keyword").select("query_id", "chunk_id", r6("score"), "rank")
+
+
+@query("r02_sparse_within_keyword", f"with {BASE}, ks as (select query_id, chunk_id, sum(qs.weight * post.weight) as score from qs join post using (keyword, token) group by all), kr as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ks) select query_id, chunk_id, score, rank::int as rank from kr where rank <= 30")
+def r02k(spark, d):
+    return sparse(spark, d, within="keyword")
 
 
 @query("r01_dense_topk", f"with {BASE} select query_id, chunk_id, round(score, 6) as score, rank::int as rank from dense")
@@ -153,15 +162,15 @@ def w03(spark, d):
     return retrieval.topk_with_cap(good, 8, 2).select("query_id", "chunk_id", "place")
 
 
-FACET_SQL = f"""{BASE}, fq as (select q.*, i - 1 as facet_no, f.facet from q, (values (1, 'meaning'), (2, 'why_popular'), (3, 'usage'), (4, 'who')) f(i, facet)),
+FACET_SQL = f"""{BASE}, fq as (select kq.*, i - 1 as facet_no, f.facet from (select distinct keyword from ch) kq, (values (1, 'meaning'), (2, 'why_popular'), (3, 'usage'), (4, 'who')) f(i, facet)),
 fsr as (select fq.keyword, facet_no, facet, chunk_id, ch.source, ch.title, ch.url, ch.text, row_number() over (partition by fq.keyword, facet_no order by md5(facet || chunk_id)) as rank from fq join ch using (keyword)),
 hits as (select * from fsr where rank <= 5)"""
 
 
 def facet_hits(spark, d):
-    """Five hits for each facet of each query, in an order that differs by facet."""
-    c, q, _, _ = base(spark, d)
-    f = retrieval.facet_queries(q.select("query_id", "keyword"))
+    """Five hits for each facet of each keyword, in an order that differs by facet."""
+    c, _, _, _ = base(spark, d)
+    f = retrieval.facet_queries(c.select(F.concat(F.lit("q_"), "keyword").alias("query_id"), "keyword").distinct())
     scored = f.join(c.drop("vec"), "keyword").withColumn("o", F.md5(F.concat("facet", F.col("chunk_id").cast("string"))))
     from pyspark.sql import Window
 
@@ -223,7 +232,7 @@ def r10(spark, d):
     ev = _evidence(spark, d)
     due = tables.needs_evidence(ev, ["query_id"], 7900, 500).where("due")
     web = table(spark, d, "pages").select(
-        F.concat(F.lit("q_label"), (F.col("page_id") % 10).cast("string")).alias("query_id"), F.lit("the").alias("keyword"), (F.col("page_id") % 100 / 100).alias("score"), F.col("page_id").alias("rank"), "url", F.lit("").alias("title"), F.regexp_replace("html", "<[^>]+>", " ").alias("text"))
+        F.concat(F.lit("q_"), (F.col("page_id") % 10 * 50).cast("string")).alias("query_id"), F.lit("the").alias("keyword"), (F.col("page_id") % 100 / 100).alias("score"), F.col("page_id").alias("rank"), "url", F.lit("").alias("title"), F.regexp_replace("html", "<[^>]+>", " ").alias("text"))
     return retrieval.supplement_evidence(ev, web, due).select("query_id", "place", "url", F.length("text").alias("n_chars"))
 
 

@@ -44,19 +44,19 @@ _phrases = "c5"
 for _p in text.BOILERPLATE:
     _phrases = f"replace({_phrases}, '{_p}', ' ')"
 ORACLE_CLEAN = rf"""
-c1 as (select doc_id, replace(regexp_replace(replace(replace(replace(replace(replace(replace(coalesce(body, ''), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '<[^>]+>', ' ', 'g'), chr(160), ' ') as c from raw),
+c1 as (select doc_id, replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(body, ''), '&eacute;', 'é'), '&#9733;', '★'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '<[^>]+>', ' ', 'g'), chr(160), ' ') as c from raw),
 c4 as (select doc_id, regexp_replace(regexp_replace(regexp_replace(c, '{text.URL}', '', 'g'), '{text.EMAIL}', '[EMAIL]', 'g'), '{text.PHONE}', '[PHONE]', 'g') as c from c1),
 ch as (select doc_id, unnest(string_split(c, '')) as x, generate_subscripts(string_split(c, ''), 1) as i from c4),
 lg as (select *, lag(x, 1) over w as a, lag(x, 2) over w as b, lag(x, 3) over w as e from ch window w as (partition by doc_id order by i)),
 sq as (select doc_id, string_agg(x, '' order by i) as c5 from lg where not coalesce(x = a and x = b and x = e and x <> chr(10), false) group by doc_id),
 c6 as (select doc_id, regexp_replace(regexp_replace({_phrases}, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') as c from c4 left join sq using (doc_id)),
 cleaned as (select doc_id, trim(array_to_string(list_transform(string_split(coalesce(c, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), chr(10)), {BLANK}) as clean_content from c6)"""
-RAW = "raw as (select doc_id, case doc_id % 4 when 0 then '<p>' || text || '&amp;&nbsp;x</p> https://a.example/b?c=d soooooo' when 1 then text || ' user.name+tag@mail.example.org 이웃추가 010-1234-5678!!!!!!' else text end as body from documents)"
+RAW = "raw as (select doc_id, case doc_id % 4 when 0 then '<p>' || text || '&amp;&nbsp;x&eacute;&#9733;&amp;lt;</p> https://a.example/b?c=d soooooo' when 1 then text || ' user.name+tag@mail.example.org 이웃추가 010-1234-5678!!!!!!' else text end as body from documents)"
 
 
 def _raw(spark, d):
     t = F.col("text")
-    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<p>"), t, F.lit("&amp;&nbsp;x</p> https://a.example/b?c=d soooooo"))).when(F.col("doc_id") % 4 == 1, F.concat(t, F.lit(" user.name+tag@mail.example.org 이웃추가 010-1234-5678!!!!!!"))).otherwise(t)
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<p>"), t, F.lit("&amp;&nbsp;x&eacute;&#9733;&amp;lt;</p> https://a.example/b?c=d soooooo"))).when(F.col("doc_id") % 4 == 1, F.concat(t, F.lit(" user.name+tag@mail.example.org 이웃추가 010-1234-5678!!!!!!"))).otherwise(t)
     return docs(spark, d).select("doc_id", body.alias("body"))
 
 
@@ -70,11 +70,11 @@ def t02(spark, d):
     return docs(spark, d).select("doc_id", text.normalize(F.col("text")).alias("normal"))
 
 
-SIGNAL_TEXT = "sg as (select doc_id, source, case when doc_id % 5 = 0 then text || ' 대출 ★☆ 사/고-자 카톡 구독하기 최신순' when doc_id % 7 = 0 then '한글 본문 ' || left(text, 60) else left(text, 40 * (doc_id % 9)::int) end as t from documents)"
+SIGNAL_TEXT = "sg as (select doc_id, source, case when doc_id % 5 = 0 then text || ' 대출 ★☆ 사/고-자 카톡 구독하기 최신순' when doc_id % 7 = 0 then '한글 본문 ' || text else text end as t from documents)"
 
 
 def _signal_text(spark, d):
-    t = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" 대출 ★☆ 사/고-자 카톡 구독하기 최신순"))).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("한글 본문 "), F.substring("text", 1, 60))).otherwise(F.substring("text", F.lit(1), (40 * (F.col("doc_id") % 9)).cast("int")))
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" 대출 ★☆ 사/고-자 카톡 구독하기 최신순"))).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("한글 본문 "), "text")).otherwise(F.col("text"))
     return docs(spark, d).select("doc_id", "source", t.alias("t"))
 
 
@@ -121,11 +121,11 @@ def t05(spark, d):
     return text.split_sections(docs(spark, d).select("doc_id", F.replace("text", F.lit("\n"), mark).alias("t")), "t").select("doc_id", "section_index", "section_title", "section_text")
 
 
-@query("t06_split_comments", """with x as (select doc_id, case when doc_id % 3 = 0 then text || chr(10) || chr(10) || '[댓글]' || chr(10) || left(text, 50) || chr(10) || chr(10) || '[댓글]' || chr(10) || 'more' else text end as t from documents),
+@query("t06_split_comments", """with x as (select doc_id, case when doc_id % 3 = 0 then text || chr(10) || chr(10) || '[댓글]' || chr(10) || text || chr(10) || chr(10) || '[댓글]' || chr(10) || 'more' else text end as t from documents),
 y as (select *, strpos(t, chr(10) || chr(10) || '[댓글]' || chr(10)) as pos from x)
 select doc_id, 'body' as content_type, case when pos > 0 then left(t, pos - 1) else t end as part from y union all select doc_id, 'comment', substr(t, pos + 7) from y where pos > 0""")
 def t06(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(text.COMMENTS), F.substring("text", 1, 50), F.lit(text.COMMENTS + "more"))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(text.COMMENTS), "text", F.lit(text.COMMENTS + "more"))).otherwise(F.col("text"))
     return text.split_comments(docs(spark, d).select("doc_id", t.alias("t")), "t").select("doc_id", "content_type", "part")
 
 
@@ -134,62 +134,80 @@ def t09(spark, d):
     return docs(spark, d).select("doc_id", text.encoding_text(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text")).alias("encoding_text"))
 
 
-@query("t10_search_query", "select doc_id, concat_ws(' ', nullif(trim(lang), ''), case when doc_id % 3 > 0 then nullif(trim(left(text, 20)), '') end) as q from documents")
+@query("t10_search_query", "select doc_id, concat_ws(' ', nullif(trim(lang), ''), case when doc_id % 3 > 0 then nullif(trim(text), '') end) as q from documents")
 def t10(spark, d):
-    return docs(spark, d).select("doc_id", text.search_query(F.col("lang"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 20)).otherwise(" ")).alias("q"))
+    return docs(spark, d).select("doc_id", text.search_query(F.col("lang"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).otherwise(" ")).alias("q"))
 
 
-@query("t13_soften_profanity", f"""with x as (select doc_id, left(text, 80) || case doc_id % 3 when 0 then ' 개새끼 병신아' when 1 then ' 좆같은' else '' end as t from documents)
+@query("t13_soften_profanity", f"""with x as (select doc_id, text || case doc_id % 3 when 0 then ' 개새끼 병신아' when 1 then ' 좆같은' else '' end as t from documents)
 select doc_id, regexp_replace(t, '{"|".join(sorted(text.PROFANITY, key=len, reverse=True))}', '[욕설]', 'g') as masked from x""")
 def t13(spark, d):
     k = F.col("doc_id") % 3
-    t = F.concat(F.substring("text", 1, 80), F.when(k == 0, " 개새끼 병신아").when(k == 1, " 좆같은").otherwise(""))
+    t = F.concat("text", F.when(k == 0, " 개새끼 병신아").when(k == 1, " 좆같은").otherwise(""))
     return docs(spark, d).select("doc_id", text.soften_profanity(t, lookahead=False).alias("masked"))
 
 
-CITED = "cx as (select doc_id, left(text, 60) || case doc_id % 4 when 0 then ' [자료 1] and [자료 3].' when 1 then ' [자료 9]' when 2 then ' [자료2].' else '' end as t from documents)"
+CITED = "cx as (select doc_id, text || case doc_id % 4 when 0 then ' [자료 1] and [자료 3].' when 1 then ' [자료 9]' when 2 then ' [자료2].' else '' end as t from documents)"
 
 
 def _cited(spark, d):
     k = F.col("doc_id") % 4
-    t = F.concat(F.substring("text", 1, 60), F.when(k == 0, " [자료 1] and [자료 3].").when(k == 1, " [자료 9]").when(k == 2, " [자료2].").otherwise(""))
+    t = F.concat("text", F.when(k == 0, " [자료 1] and [자료 3].").when(k == 1, " [자료 9]").when(k == 2, " [자료2].").otherwise(""))
     return docs(spark, d).select("doc_id", t.alias("t"))
 
 
 @query("t14_citation_audit", rf"""with {CITED}, y as (select doc_id, t, list_transform(regexp_extract_all(t, '\[자료\s*(\d+)\]', 1), lambda x: x::int) as ids from cx)
 select doc_id, len(ids) = 0 or len(list_filter(ids, lambda i: i < 1 or i > 3)) > 0 as warning,
-  case doc_id % 4 when 0 then replace(replace(t, '[자료 1]', '[자료 1](#source-1)'), '[자료 3]', '[자료 3](#source-3)') when 1 then replace(t, '[자료 9]', '[출처 확인 필요]') when 2 then replace(t, '[자료2]', '[자료 2](#source-2)') else t end as linked from y""")
+  regexp_replace(regexp_replace(t, '\[자료\s*(?:0|[4-9]|[1-9]\d+)\]', '[출처 확인 필요]', 'g'), '\[자료\s*([1-3])\]', '[자료 \1](#source-\1)', 'g') as linked from y""")
 def t14(spark, d):
     return _cited(spark, d).select("doc_id", text.citation_warning(F.col("t"), F.lit(3)).alias("warning"), text.link_citations(F.col("t"), F.lit(3)).alias("linked"))
 
 
 def _answers(spark, d):
-    first = F.regexp_replace(F.substring("text", 1, 40), "[.!?\n]", " ")
+    whole = F.regexp_replace("text", "[.!?\n]", " ")
     cut = F.col("doc_id") % 5
     return docs(spark, d).select("doc_id", "n_chars", F.concat(
-        F.lit("### 1. 의미\n"), first, F.lit("다.\n## 2. 유행 이유\n"), first, F.when(cut == 1, "and").otherwise("요. [자료 1]"), F.when(cut == 2, "").otherwise("\n**3. 사용법**\n좋음.\n4) 확인된 사용 맥락\n있음"),
+        F.lit("### 1. 의미\n"), whole, F.lit("다.\n## 2. 유행 이유\n"), whole, F.when(cut == 1, "and").otherwise("요. [자료 1]"), F.when(cut == 2, "").otherwise("\n**3. 사용법**\n좋음.\n4) 확인된 사용 맥락\n있음"),
         F.when(cut == 3, "\n5. 트렌드 맥락\n2024-01-30 기준 hot, z=1.25 이다.").when(cut == 4, "\n5. 트렌드 맥락\n2024년 1월 29일 flat z 3.1 and").otherwise(""),
     ).alias("t"))
 
 
-@query("t15_audit_answer", "select doc_id, case doc_id % 5 when 1 then 'cut_off' when 2 then 'headings' when 4 then 'trend_cut_off' else 'ok' end as audit from documents")
+# The answers as text, split again at their headings: parts, sentence ends, dates and scores are read from them.
+ANSWERS = r"""an as (select doc_id, n_chars, '### 1. 의미' || chr(10) || w || '다.' || chr(10) || '## 2. 유행 이유' || chr(10) || w || case when doc_id % 5 = 1 then 'and' else '요. [자료 1]' end
+    || case when doc_id % 5 = 2 then '' else chr(10) || '**3. 사용법**' || chr(10) || '좋음.' || chr(10) || '4) 확인된 사용 맥락' || chr(10) || '있음' end
+    || case doc_id % 5 when 3 then chr(10) || '5. 트렌드 맥락' || chr(10) || '2024-01-30 기준 hot, z=1.25 이다.' when 4 then chr(10) || '5. 트렌드 맥락' || chr(10) || '2024년 1월 29일 flat z 3.1 and' else '' end as t
+  from (select doc_id, n_chars, regexp_replace(text, '[.!?
+]', ' ', 'g') as w from documents)),
+pt as (select doc_id, n_chars, regexp_split_to_array(t, '(?m)^5[.)][ \t]*트렌드[ \t]*맥락[ \t]*
+') as p from an)"""
+
+
+@query("t15_audit_answer", rf"""with {ANSWERS}, hs as (select doc_id, p[2] as extra, regexp_extract_all(p[1], '(?m)^(?:#+\s*)?(?:\*\*)?([1-4])[.)]\s*(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)', 1) as heads,
+  regexp_split_to_array(trim(p[1], chr(10) || ' '), '(?m)^(?:#+\s*)?(?:\*\*)?[1-4][.)]\s*(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)(?:\*\*)?[ 	]*
+')[2:] as bodies from pt)
+select doc_id, case when array_to_string(heads, ',') <> '1,2,3,4' then 'headings'
+  when len(list_filter(bodies, lambda b: not regexp_matches(regexp_replace(b, '\[자료\s*\d+\]', '', 'g'), '[.!?다요죠음함됨임]\s*$'))) > 0 then 'cut_off'
+  when extra is not null and not regexp_matches(extra, '[.!?다요죠음함됨임]\s*$') then 'trend_cut_off' else 'ok' end as audit from hs""")
 def t15(spark, d):
     return _answers(spark, d).select("doc_id", text.audit_answer(F.col("t")).alias("audit"))
 
 
-@query("t16_audit_trend_claims", "select doc_id, case doc_id % 5 when 3 then case when n_chars % 2 = 0 then 'ok' else 'score' end when 4 then 'date' else 'missing' end as audit from documents")
+@query("t16_audit_trend_claims", rf"""with {ANSWERS}, cl as (select doc_id, n_chars, coalesce(p[2], '') as e from pt),
+v as (select doc_id, n_chars, e, list_transform(regexp_extract_all(e, '(\d+\D+\d+\D+\d+)'), lambda x: list_transform(regexp_split_to_array(x, '\D+'), lambda n: n::int)) as days, list_transform(regexp_extract_all(e, 'z[ =]*(\d+\.\d+)', 1), lambda x: x::double) as z from cl)
+select doc_id, case when trim(e) = '' then 'missing' when not list_contains(days, [2024, 1, 30]) then 'date' when not contains(e, 'hot') then 'status'
+  when len(list_filter(z, lambda x: abs(x - case when n_chars % 2 = 0 then 1.2512 else 1.9 end) > 0.005 and abs(x + 0.4) > 0.05)) > 0 then 'score' else 'ok' end as audit from v""")
 def t16(spark, d):
     scores = F.array(F.when(F.col("n_chars") % 2 == 0, 1.2512).otherwise(1.9), F.lit(-0.4))
     return _answers(spark, d).select("doc_id", text.audit_trend_claims(F.col("t"), F.lit("2024-01-30").cast("date"), F.lit("hot"), scores).alias("audit"))
 
 
-@query("t17_parse_grade", r"""with x as (select doc_id, case doc_id % 4 when 0 then '점수: ' || (doc_id % 3) || chr(10) || '인용: ' || left(replace(text, chr(10), ' '), 20) || chr(10) || '이유: ok' when 1 then 'grade ' || (doc_id % 3) when 2 then 'none' else '점수: 7' end as t from documents)
+@query("t17_parse_grade", r"""with x as (select doc_id, case doc_id % 4 when 0 then '점수: ' || (doc_id % 3) || chr(10) || '인용: ' || replace(text, chr(10), ' ') || chr(10) || '이유: ok' when 1 then 'grade ' || (doc_id % 3) when 2 then 'none' else '점수: 7' end as t from documents)
 select doc_id, case when regexp_matches(t, '점수\s*:\s*[012]') then regexp_extract(t, '점수\s*:\s*([012])', 1)::int when regexp_matches(t, '[012]') then regexp_extract(t, '([012])', 1)::int end as score,
   case when regexp_matches(t, '점수\s*:\s*[012]') then trim(regexp_extract(t, '인용\s*:\s*([^\n]+)', 1)) when regexp_matches(t, '[012]') then '' end as quote,
   case when regexp_matches(t, '점수\s*:\s*[012]') then trim(regexp_extract(t, '이유\s*:\s*([^\n]+)', 1)) when regexp_matches(t, '[012]') then '' end as reason from x""")
 def t17(spark, d):
     k, n = F.col("doc_id") % 4, (F.col("doc_id") % 3).cast("string")
-    t = F.when(k == 0, F.concat(F.lit("점수: "), n, F.lit("\n인용: "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 20), F.lit("\n이유: ok"))).when(k == 1, F.concat(F.lit("grade "), n)).when(k == 2, "none").otherwise("점수: 7")
+    t = F.when(k == 0, F.concat(F.lit("점수: "), n, F.lit("\n인용: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n이유: ok"))).when(k == 1, F.concat(F.lit("grade "), n)).when(k == 2, "none").otherwise("점수: 7")
     return docs(spark, d).select("doc_id", text.parse_grade(t).alias("g")).select("doc_id", "g.score", "g.quote", "g.reason")
 
 
@@ -252,11 +270,13 @@ def f03(spark, d):
     return table(spark, d, "events").where(gates.recent(F.col("ts"), F.lit("2027-01-15 00:00:00").cast("timestamp_ntz"))).select("event_id")
 
 
-@query("f04_parse_post_date", """select event_id, case event_id % 5 when 0 then date_trunc('minute', ts) when 1 then date_trunc('day', ts) when 2 then date_trunc('minute', ts) when 3 then timestamp '2024-01-30 12:00:00' end as posted from events""")
+@query("f04_parse_post_date", """select event_id, case event_id % 5 when 0 then date_trunc('minute', ts) when 1 then date_trunc('day', ts) when 2 then date_trunc('minute', ts) when 3 then timestamp '2024-01-30 12:00:00' end as posted from events where event_id % 10 <> 9""")
 def f04(spark, d):
     k = F.col("event_id") % 5
     raw = F.when(k == 0, F.date_format("ts", "yyyy.MM.dd HH:mm")).when(k == 1, F.date_format("ts", " yy.MM.dd")).when(k == 2, F.date_format("ts", "yy/MM/dd HH:mm")).when(k == 3, F.date_format("ts", "HH:mm")).otherwise("yesterday")
-    return table(spark, d, "events").select("event_id", gates.parse_post_date(raw, F.lit("2024-01-30 12:00:00").cast("timestamp")).cast("timestamp_ntz").alias("posted"))
+    rows = table(spark, d, "events").select("event_id", raw.alias("raw"), F.when(F.col("event_id") % 10 == 9, "drops").otherwise("keeps").alias("source"))
+    out = gates.dated(rows, "raw", "posted", F.lit("2024-01-30 12:00:00").cast("timestamp"), dropping=("drops",))
+    return out.select("event_id", F.col("posted").cast("timestamp_ntz").alias("posted"))
 
 
 @query("f05_gate_score", "select event_id from events where value / 100 >= 0.3")
@@ -276,17 +296,17 @@ def f07(spark, d):
     return _pages(spark, d).select("page_id", urls.is_content(u).alias("content"))
 
 
-@query("f08_keyword_shape", r"""with x as (select doc_id, trim(left(split_part(text, chr(10), 1), (doc_id % 40)::int + 1)) as k from documents), y as (select doc_id, len(list_filter(regexp_split_to_array(k, '[\s\p{Z}]+'), lambda w: w <> ''))::int as n from x)
+@query("f08_keyword_shape", r"""with x as (select doc_id, trim(case when doc_id % 3 = 0 then source else split_part(text, chr(10), 1) end) as k from documents), y as (select doc_id, len(list_filter(regexp_split_to_array(k, '[\s\p{Z}]+'), lambda w: w <> ''))::int as n from x)
 select doc_id, n <= 3 as accepted, n as n_words, case when n > 3 then 'sentence_like' end as reason from y""")
 def f08(spark, d):
-    k = F.substring(F.substring_index("text", "\n", 1), F.lit(1), (F.col("doc_id") % 40 + 1).cast("int"))
+    k = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.substring_index("text", "\n", 1))
     return docs(spark, d).select("doc_id", gates.keyword_shape(k).alias("s")).select("doc_id", "s.accepted", "s.n_words", "s.reason")
 
 
-@query("f09_keyword_error", """with x as (select doc_id, trim(left(text, (doc_id % 70)::int)) as k from documents)
+@query("f09_keyword_error", """with x as (select doc_id, trim(case doc_id % 4 when 0 then source when 1 then '' else text end) as k from documents)
 select doc_id, case when k = '' then 'empty' when length(k) > 50 then 'too_long' when regexp_matches(k, '[\\x00-\\x1f]') then 'control_character' end as error from x""".replace("\\\\", "\\"))
 def f09(spark, d):
-    return docs(spark, d).select("doc_id", gates.keyword_error(F.substring("text", F.lit(1), (F.col("doc_id") % 70).cast("int"))).alias("error"))
+    return docs(spark, d).select("doc_id", gates.keyword_error(F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 1, "").otherwise(F.col("text"))).alias("error"))
 
 
 MATCH = f"""{POSTS}, nm as (select doc_id, {norm('keyword')} as k, {norm('title')} as t, {norm('body')} as b from posts),
@@ -345,11 +365,11 @@ def f14(spark, d):
     return gates.exclude_homonyms(p, h).select("doc_id")
 
 
-@query("f15_flag_blocked", f"""with x as (select page_id, case page_id % 6 when 0 then 403 when 1 then 503 else 200 end as status, case when page_id % 5 = 0 then left(html, 2000) || ' Access Denied ' else html end as body from pages)
+@query("f15_flag_blocked", f"""with x as (select page_id, case page_id % 6 when 0 then 403 when 1 then 503 else 200 end as status, case when page_id % 5 = 0 then html || ' Access Denied ' else html end as body from pages)
 select page_id, status in (403, 429, 503) or (length(body) <= 3000 and regexp_matches(body, '{"|".join(gates.BLOCK_SIGNALS)}')) as blocked from x""")
 def f15(spark, d):
     k = F.col("page_id") % 6
-    body = F.when(F.col("page_id") % 5 == 0, F.concat(F.substring("html", 1, 2000), F.lit(" Access Denied "))).otherwise(F.col("html"))
+    body = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit(" Access Denied "))).otherwise(F.col("html"))
     return table(spark, d, "pages").select("page_id", gates.blocked(F.when(k == 0, 403).when(k == 1, 503).otherwise(200), body).alias("blocked"))
 
 

@@ -12,15 +12,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trendspark.operators import chunks
 
 
-def clean_and_chunk(stream: DataFrame, out: str, checkpoint: str, recursive: bool = True):
-    """Chunks of newly arrived documents, once for each id: a repeated micro-batch replaces its own folder."""
+def clean_and_chunk(stream: DataFrame, out: str, checkpoint: str, recursive: bool = True, nfc: bool = True):
+    """Chunks of newly arrived documents; the newest version of an id replaces its older ones.
+
+    A micro-batch writes its own folder (a repeated one replaces it), also an empty row for a
+    document that has no chunks left. latest_chunks reads the folders: of each id, the chunks of
+    its last micro-batch. Within one, the last content by crawled_at counts where there is such a column.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        chunks.process_documents(batch.dropDuplicates(["_id"]), recursive, nfc=False).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        order = F.col("crawled_at") if "crawled_at" in batch.columns else F.lit(0)
+        cols = [c for c in batch.columns if c != "_id"]
+        last = batch.groupBy("_id").agg(F.max_by(F.struct(*cols), F.struct(order, F.xxhash64(*cols))).alias("r")).select("_id", "r.*")
+        pieces = chunks.process_documents(last, recursive, nfc)
+        whole = last.select(F.col("_id").alias("parent_id")).join(pieces, "parent_id", "left")
+        whole.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def latest_chunks(spark, out: str) -> DataFrame:
+    """Of each document, the chunks of the last micro-batch that had it."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("parent_id").agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, ["parent_id", "epoch"], "left_semi").where("chunk is not null").drop("epoch")
+
+
 def first_of_id(stream: DataFrame, ts: str = "ts", delay: str = "2 days", key: str = "_id") -> DataFrame:
     """The first row of each id within the delay; a batch has no watermark, so there it is the first of all."""
     if not stream.isStreaming:
