@@ -318,7 +318,7 @@ def stratified_sample(docs: DataFrame, n: int, suspects: list[str], order: Colum
 
 
 def queue_positions(queue: DataFrame) -> DataFrame:
-    """Place and estimated wait in minutes of the queued requests, oldest first (no time first)."""
+    """Place and estimated wait in minutes of the queued requests, oldest first (no time first); one task sorts the queue."""
     q = queue.where("status = 'queued'")
     return q.withColumn("position", F.row_number().over(Window.orderBy(F.col("requested_at").asc_nulls_first(), "_id"))).withColumns({"wait_least": F.col("position") * 20, "wait_most": F.col("position") * 40})
 

@@ -206,7 +206,7 @@ def latest_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 def rank_leaderboard(scores: DataFrame) -> DataFrame:
     """Add rank: scored rows by falling score, then those without a score, both by keyword on ties.
 
-    Ranks are counted over all rows, so it is meant for one row a keyword: the scores are range-partitioned by the sort first.
+    Ranks are counted over all rows in one task, so it is meant for a table of one row a keyword.
     """
     z = usable_z(scores)
     return z.withColumn("rank", F.row_number().over(Window.orderBy(F.col("usable_z").isNull(), F.desc("usable_z"), "keyword")))
