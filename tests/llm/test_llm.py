@@ -1,7 +1,9 @@
 """Training-data operators against brute force, held-out accuracy and edge cases."""
 
 import hashlib
+import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -67,6 +69,19 @@ def test_line_dedup_odd_texts_and_names(spark):
     assert out.count() == len(ODD) and out.where("n_dropped > 0").count() == 0
 
 
+def test_line_dedup_is_linear_in_dropped_lines(spark):
+    def seconds(n):
+        lines = [f"a common line with the number {i} in it" for i in range(n)]
+        df = docs(spark, ["\n".join(lines), "\n".join(reversed(lines)), "\n".join(lines + ["own"])])
+        began = time.time()
+        out = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.line_dedup(df).collect()}
+        assert [out[i][0] for i in range(3)] == [n, n, 0] and out[0][1] == "" and out[2][1].endswith("own")
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(20_000) < 4 * seconds(5_000) + 1
+
+
 def test_line_dedup_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
@@ -125,6 +140,16 @@ def test_suffix_dedup_brute(spark):
     assert spans(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_spans(rows)
 
 
+def test_suffix_dedup_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)  # nearly all anchors of a passage
+    monkeypatch.setattr(suffix_dedup, "LEAST_BATCH_BYTES", 700)
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join("".join(rng.choice(list("abcde"), 6)) for _ in range(n))
+    line, ends = word(6), [word(3) for _ in range(4)]
+    rows = [(int(i * 5 % 83), word(8) + str(rng.choice(ends)) + line[: rng.integers(33, 42)] + str(rng.choice(ends)) + word(8)) for i in range(80)]
+    assert spans(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_spans(rows)
+
+
 def test_suffix_dedup_on_the_table(spark):
     rows = [(r.doc_id, r.text) for r in common.table(spark, DATA, "documents").collect()]
     got = sorted(tuple(r) for r in suffix_dedup.query(spark, DATA).collect())
@@ -233,37 +258,83 @@ def test_quality_counts_brute(spark):
     assert got == {d: brute_counts(t) for d, t in rows}
 
 
-def brute_mcd(x, floors, subset, steps):
-    p = x.shape[1]
-    eye = np.diag(np.square(floors))
-    q = lambda v, a: np.sort(v)[max(int(np.ceil(a * len(v))), 1) - 1]
-    m = np.array([q(c, 0.5) for c in x.T])
-    s = np.diag([((q(c, 0.75) - q(c, 0.25)) / 1.349) ** 2 for c in x.T]) + eye
-    dist = lambda: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(s), x - m)
-    chi = quality_rules.chi2_quantile
-    for _ in range(steps):
-        d = dist()
-        near = x[d <= q(d, subset)]
-        m, s = near.mean(0), np.cov(near.T, bias=True) * subset / quality_rules.chi2_cdf(chi(subset, p), p + 2) + eye
-    near = x[dist() <= chi(0.975, p)]
-    m, s = near.mean(0), np.cov(near.T, bias=True) * 0.975 / quality_rules.chi2_cdf(chi(0.975, p), p + 2) + eye
-    return dist()
-
-
-def test_mcd_brute(spark):
+def regular(points, floors, n, factor):
+    """Covariance as the operator defines it: least variances, and correlations that shrink by n / (n + p)."""
+    c = np.cov(points.T, bias=True) * factor
+    out = c * n / (n + len(c))
+    np.fill_diagonal(out, np.maximum(np.diag(c), floors))
+    return out
+
+
+def consistent(share, p):
+    share = 0.5 + np.floor((share - 0.5) * 200 + 0.5) / 200
+    return 1.0 if share >= 1 else share / quality_rules.chi2_cdf(quality_rules.chi2_quantile(share, p), p + 2)
+
+
+def subset_rows(n, p):
+    half = min((n + p + 1) // 2, n)
+    return int(2 * half - n + 2 * (n - half) * quality_rules.SUBSET)
+
+
+def brute_mcd(x):
+    """Enumerate all subsets, take the one of least determinant, reweight once: (log determinant in units of the scales, distances)."""
+    n, p = x.shape
+    h = subset_rows(n, p)
+    q = lambda c, a: (np.floor(np.sort(c)[int(np.ceil(a * n)) - 1] * 1024) + 0.5) / 1024
+    med, scale = np.array([q(c, 0.5) for c in x.T]), np.array([max((q(c, 0.75) - q(c, 0.25)) / 1.349, 1e-4) for c in x.T])
+    u, floors = (x - med) / scale, 1e-8 / scale**2
+    best = min(itertools.combinations(range(n), h), key=lambda s: np.linalg.slogdet(regular(u[list(s)], floors, n, consistent(h / n, p)))[1])
+    m, s = u[list(best)].mean(0), regular(u[list(best)], floors, n, consistent(h / n, p))
+    least = np.linalg.slogdet(s)[1]
+    dist = lambda: np.einsum("ij,ij->i", (u - m) @ np.linalg.inv(s), u - m)
+    near = u[dist() <= quality_rules.chi2_quantile(0.975, p)]
+    m, s = near.mean(0), regular(near, floors, n, 0.975 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.975, p), p + 2))
+    return least, dist()
+
+
+def mcd_rows(spark, rows, min_group):
+    """(lang, source, statistics) rows -> model and d2 by row number."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n bigint, lang string, source string, " + ", ".join(f"{c} double" for c in quality_rules.FLOORS))
+    model = quality_rules.fit_mcd(df, ["lang", "source"], min_group=min_group)
+    return model, {r.n: r.d2 for r in quality_rules.mcd_distances(df, model, ["lang", "source"]).collect()}
+
+
+def test_mcd_finds_the_least_determinant(spark):
+    rng = np.random.default_rng(6)
+    p, rows = len(quality_rules.FLOORS), []
+    for g in range(4):
+        x = rng.normal(size=(18, p)) @ rng.normal(size=(p, p)) + 5
+        x[:2] += 60  # far outliers
+        rows += [("en", f"s{g}", *map(float, v)) for v in x]
+    model, got = mcd_rows(spark, rows, min_group=10)
+    least = {r.g_1: r.mcd_logdet for r in model.collect()}
+    for g in range(4):
+        want, d2 = brute_mcd(np.array([r[2:] for r in rows[18 * g : 18 * g + 18]]))
+        assert least[f"s{g}"] == pytest.approx(want, abs=0.02)
+        np.testing.assert_allclose([got[i] for i in range(18 * g, 18 * g + 18)], d2, rtol=0.02)
+        assert min(got[18 * g], got[18 * g + 1]) > 40
+
+
+def test_mcd_pools_and_judges_every_row(spark):
     rng = np.random.default_rng(6)
-    dims = list(quality_rules.FLOORS)
     rows = []
     for lang, source, n in (("en", "a", 300), ("en", "b", 130), ("de", "a", 30), ("de", None, 40), ("de", "c", 50), (None, "c", 5)):
-        rows += [(lang, source, *map(float, v)) for v in rng.normal(size=(n, len(dims))) * (1 + (rng.random((n, 1)) < 0.1) * 8)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id bigint, lang string, source string, " + ", ".join(f"{c} double" for c in dims))
-    got = {r.id: r.d2 for r in quality_rules.mcd_distances(df, ["lang", "source"]).collect()}
-    group = np.array([("en-a" if s == "a" else "en-b") if lang == "en" else "de" if lang == "de" else "" for lang, s, *_ in rows])
-    x = np.array([r[2:] for r in rows])
-    for g in ("en-a", "en-b", "de"):
-        want = brute_mcd(x[group == g], list(quality_rules.FLOORS.values()), quality_rules.SUBSET, quality_rules.STEPS)
-        np.testing.assert_allclose([got[i] for i in np.flatnonzero(group == g)], want, rtol=1e-6)
-    assert all(got[i] is None for i in np.flatnonzero(group == ""))
+        rows += [(lang, source, *map(float, v)) for v in rng.normal(size=(n, len(quality_rules.FLOORS))) * (1 + (rng.random((n, 1)) < 0.1) * 8)]
+    model, got = mcd_rows(spark, rows, min_group=100)
+    key = {(r.g_0, r.g_1): r["__key"] for r in model.collect()}
+    assert key["de", "a"] == key["de", None] == key["de", "c"] and len(set(key.values())) == 4
+    assert all(got[i] is not None for i in range(len(rows)))
+    out = np.array([got[i] for i in range(300)])
+    big = np.abs(np.array([r[2:] for r in rows[:300]])).max(1) > 7
+    assert out[big].min() > 40 and np.median(out[~big]) < 8
+
+
+def test_mcd_survives_a_masking_cluster(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(400, len(quality_rules.FLOORS)))
+    x[:80] = 6 + rng.normal(size=(80, x.shape[1])) * 0.05  # a tight cluster that plain covariances hide
+    _, got = mcd_rows(spark, [("en", "a", *map(float, v)) for v in x], min_group=100)
+    assert min(got[i] for i in range(80)) > 60 and np.median([got[i] for i in range(80, 400)]) < 8
 
 
 def test_quality_rules_keep_the_clean(spark):
@@ -279,10 +350,11 @@ def test_mcd_floors_change_no_larger_variance(spark):
     x[:, 2] = 0  # constant but for one row
     x[0, 2] = 0.05
     df = spark.createDataFrame([(i, "en", "a", *map(float, v)) for i, v in enumerate(x)], "id bigint, lang string, source string, " + ", ".join(f"{c} double" for c in dims))
-    got = {r.id: r.d2 for r in quality_rules.mcd_distances(df, ["lang", "source"], noise={c: F.lit(0.01) for c in dims}).collect()}
-    rest = np.delete(np.arange(len(dims)), 2)
-    want = brute_mcd(x[:, rest], np.zeros(5), quality_rules.SUBSET, quality_rules.STEPS)
-    assert np.median([got[i] for i in range(1, 300)]) == pytest.approx(np.median(want[1:]), rel=0.1)  # not held down by a constant
+    model = quality_rules.fit_mcd(df, ["lang", "source"], noise={c: F.lit(0.01) for c in dims})
+    got = {r.id: r.d2 for r in quality_rules.mcd_distances(df, model, ["lang", "source"]).collect()}
+    rest = np.delete(x, 2, 1)
+    plain = np.einsum("ij,ij->i", (rest - rest.mean(0)) @ np.linalg.inv(np.cov(rest.T)), rest - rest.mean(0))
+    assert np.median([got[i] for i in range(1, 300)]) == pytest.approx(np.median(plain[1:]), rel=0.15)  # not held down by a constant
     assert got[0] > 24  # five times the noise
 
 
@@ -305,8 +377,13 @@ def test_quality_rules_kept_poor_and_dropped_good(spark):
 
 
 def test_quality_rules_edges(spark):
-    out = quality_rules.judge(clash(docs(spark, ODD)).withColumn("lang", F.lit(None).cast("string")))
-    assert out.count() == len(ODD) and not any(r.kept for r in out.where("n_words < 20").collect())
+    odd = clash(docs(spark, ODD)).withColumn("lang", F.lit(None).cast("string")).withColumns({"g_0": F.lit(1), "q_0": F.lit("z"), "u_0": F.lit(2), "n": F.lit(3)})
+    out = {r.doc_id: r for r in quality_rules.judge(odd).collect()}
+    assert len(out) == len(ODD) and [out[i].n_words for i in (0, 1, 2, 5)] == [0, 0, 0, 7] and not any(r.kept for r in out.values() if r.n_words < 20)
+    assert out[8].base_failed and out[8].d2 is None and out[0].q_0 == "z"
+    good = " ".join(f"word{i}" for i in range(40))
+    same = {r.doc_id: r.kept for r in quality_rules.judge(docs(spark, [good, good, good])).collect()}  # fewer rows than statistics, all equal
+    assert same == {0: True, 1: True, 2: True}
     assert quality_rules.judge(docs(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -367,15 +444,57 @@ def test_join_brute(spark, monkeypatch, block):
     assert joined(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_join(rows)
 
 
+def brute_rows(rows, threshold=0.8):
+    """As brute_join, for rows that may share ids: (id, class, links) of each row."""
+    found = {i: (root, n) for i, root, n in brute_join(list(enumerate(t for _, t in rows)), threshold)}
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        first[found[i][0]] = min(first.get(found[i][0], d), d)
+    return sorted((d, first[found[i][0]], found[i][1]) for i, (d, _) in enumerate(rows))
+
+
+def test_join_shared_ids_and_ties(spark):
+    a = near_copies(9, 21)
+    b, c = near_copies(6, 22), near_copies(4, 23)
+    rows = [(1, a[0][1]), (1, b[0][1]), (2, a[1][1]), (3, b[1][1]), (4, c[0][1])]
+    rows += [(1, c[1][1]), (1, c[2][1]), (5, c[3][1]), (5, c[3][1]), (2, a[2][1]), (2, a[2][1]), (6, a[3][1]), (6, b[2][1]), (7, a[3][1]), (8, "one two"), (8, "one two"), (9, "one two")]
+    got = joined(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got == brute_rows(rows) and any(n for _, _, n in got)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_join_recall_on_the_table(spark, threshold):
+    rows = [(r.doc_id, r.text) for r in common.table(spark, DATA, "documents").collect()] + near_copies(60, 31)
+    rows += [(10_000 + 10 * k + i, " ".join(f"z{k}_{j}" for j in range(i * step, i * step + 80))) for k, step in enumerate(range(1, 14)) for i in range(3)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = {d: n for d, _, n in brute_join(rows, threshold)}
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold).collect()}
+    assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[d] <= want[d] for d in want)
+
+
 def test_join_edges(spark):
-    assert ngram_join.jaccard_join(clash(docs(spark, ODD, [5, 5, None, 1, 2, 3, 4, 6, 7]))).count() == len(ODD)
+    out = ngram_join.jaccard_join(clash(docs(spark, ODD, [5, 5, None, 1, 2, 3, 4, 6, 7]))).collect()
+    assert sorted(((r.doc_id, r.copy_of, r.class_id, r.n_links) for r in out), key=str) == sorted(
+        [(5, 5, 5, 0), (5, 5, 5, 0), (None, None, None, 0), (1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 0), (4, 4, 4, 0), (6, 6, 6, 0), (7, 7, 7, 0)], key=str)
     assert ngram_join.jaccard_join(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_prefix_depth():
-    d = ngram_join.prefix_depth(0.8)
-    recall = lambda k: 1 - (1 - 0.8**k) ** ngram_join.TREES
-    assert recall(d) >= ngram_join.RECALL > recall(d + 1)
+def test_prefix_is_shortened_to_the_measured_recall():
+    depth, all_at = ngram_join.prefix_depth, lambda k: {i: [0] * k + [5] + [0] * (ngram_join.DEPTH - k) for i in range(30)}
+    assert depth(all_at(8), 0.8) == 8 and depth(all_at(5), 0.8) == 5 and depth(all_at(0) | {0: [0, 9] + [0] * 7}, 0.8, 0.0) == 8
+    assert ngram_join.expected_recall(0.8, depth({}, 0.8)) >= ngram_join.RECALL > ngram_join.expected_recall(0.8, depth({}, 0.8) + 1)
+    with pytest.raises(ValueError):
+        depth({}, 0.1)
+
+
+def test_sampled_links_are_exact():
+    texts = [t.encode() for _, t in near_copies(40, 5)] + [b"", b"one two", b"one two"]
+    sample = ngram_join.Sample(texts[:12], 0.8)
+    *keys, (doc, value) = ngram_join.signatures(texts)
+    a, k, depth = sample.links(keys[0], keys[1], keys[3], doc, value)
+    sets = [shingle_set(t.decode()) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(12) if sets[i] and sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert set(zip(a.tolist(), k.tolist())) == want and 0 <= depth.min() and depth.max() <= ngram_join.DEPTH
 
 
 # ------------------------------------------------------------------ decontamination

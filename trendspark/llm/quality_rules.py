@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspark.llm.common import SPACE, SPACE_CHARS, checkpoint, table, words
@@ -13,8 +14,11 @@ WINDOW = 8
 # statistic -> least standard deviation that an estimate may have where no noise is given; keeps constant statistics regular
 FLOORS = {"x_words": 1e-4, "x_length": 1e-4, "x_symbols": 1e-4, "x_upper": 1e-4, "x_lines": 1e-4, "x_repeats": 1e-4}
 SUBSET = 0.75
-STEPS = 4
+START_STEPS = 2
+MAX_STEPS, TOLERANCE = 12, 0.01  # steps of the best start, and the fall of the log determinant that ends them
+FINE_GROUP = 4096
 MIN_GROUP = 100
+BROADCAST_GROUPS = 20_000  # rows of some 50 numbers, four to a group at most
 TAIL = 1e-5
 
 
@@ -107,84 +111,192 @@ def unit_noise() -> dict:
     }
 
 
-def _distance(data: DataFrame, params: DataFrame, dims: list[str]) -> DataFrame:
-    """Squared Mahalanobis distance d2 by forward substitution in the Cholesky factor that params hold."""
-    out = data.join(params, "__key")
-    for i, c in enumerate(dims):
-        rest = sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
-        out = out.withColumn(f"y_{i}", (F.col(c) - F.col(f"m_{i}") - rest) / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(dims))), F.lit(0.0))
-    return out.select(*data.columns, d2.alias("d2"))
-
-
-def _cholesky(moments: DataFrame, dims: list[str]) -> DataFrame:
-    """Columns m_i and s_i_j (covariance, j <= i) -> m_i and the lower factor l_i_j."""
-    out = moments
-    for i in range(len(dims)):
-        for j in range(i + 1):
-            rest = sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            value = F.col(f"s_{i}_{j}") - rest
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
-    p = len(dims)
-    return out.select("__key", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
-
-
-def _moments(data: DataFrame, dims: list[str], factor: float, floors: DataFrame) -> DataFrame:
-    """Means m_i and covariances s_i_j times factor; a variance is at least the group's f_i."""
-    p = len(dims)
-    aggs = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(dims)]
-    aggs += [F.covar_pop(dims[i], dims[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    value = lambda i, j: F.greatest(F.col(f"c_{i}_{j}") * factor, F.col(f"f_{i}")) if i == j else F.col(f"c_{i}_{j}") * factor
-    return data.groupBy("__key").agg(*aggs).join(floors, "__key").select(
-        "__key", *[f"m_{i}" for i in range(p)],
-        *[value(i, j).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
-    )
+# The estimates are wide selects; as SQL text each is one call to the JVM instead of hundreds.
+
+
+def _each(text: str, p: int) -> list[str]:
+    """text with {i} for each of p statistics."""
+    return [text.format(i=i) for i in range(p)]
+
+
+def _both(text: str, p: int) -> list[str]:
+    """text with {i} and {j} for each pair j <= i."""
+    return [text.format(i=i, j=j) for i in range(p) for j in range(i + 1)]
+
+
+def subset_size(p: int, share: float = SUBSET) -> str:
+    """Rows of the subset of n: the share of large groups, between (n + p + 1) / 2 and all rows of small ones."""
+    half = f"least((n + {p + 1}) div 2, n)"
+    return f"cast(floor(2 * {half} - n + 2 * (n - {half}) * {share}) as bigint)"
 
 
-def mcd_distances(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, steps: int = STEPS, min_group: int = MIN_GROUP, noise: dict | None = None) -> DataFrame:
-    """Add d2, the squared robust Mahalanobis distance of each row to its group (null for groups that stay too small).
+def _consistent(share: str, p: int) -> str:
+    """Factor that makes the covariance of the nearest share of normal rows that of all."""
+    factors = [k / 1000 / chi2_cdf(chi2_quantile(k / 1000, p), p + 2) for k in range(500, 1000, 5)]
+    return f"get(array({', '.join(f'{x}D' for x in [*factors, 1.0])}), cast(greatest(floor(({share} - 0.5) * 200 + 0.5), 0) as int))"
 
-    Groups are all of group_cols; rows of groups under min_group are pooled by the first of
-    them, and what is still too small by none. Start: medians and quartile ranges; then
-    concentration steps, each keeping the share `subset` of the nearest rows, then one
-    reweighting. noise: statistic -> column with a row's standard deviation of measurement; the
-    group's mean of its square (at least the square in FLOORS) is the least variance of an
-    estimate, and changes no larger one. Sums and quantile sketches are pre-aggregated, so a hot group is no bottleneck.
+
+def _fitted(moments: DataFrame, p: int) -> DataFrame:
+    """Covariances c_i_j -> inverse w_i_j and log determinant, by sweeping one row after the other.
+
+    A variance is at least the group's f_i; covariances shrink by p / (n + p), which keeps the
+    matrix regular and matters in small groups only.
     """
-    dims = list(FLOORS)
-    p = len(dims)
-    full = F.concat_ws("\x1f", F.lit("2"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in group_cols])
-    first = F.concat_ws("\x1f", F.lit("1"), F.coalesce(F.col(group_cols[0]).cast("string"), F.lit("\x00")))
-    data = stats
-    for i, key in enumerate((full, first, F.lit("0"))):
-        if i == 0:
-            data = data.withColumn("__key", key)
-        else:
-            # a table of its own, so that the join can be split at a hot key, or be a broadcast where it is small
-            small = checkpoint(data.groupBy("__key").agg(F.count("*").alias("__n")).where(F.col("__n") < min_group).select("__key", F.lit(True).alias("__small")))
-            data = data.join(small, "__key", "left").withColumn("__key", F.when(F.col("__small"), key).otherwise(F.col("__key"))).drop("__small")
-    data = checkpoint(data)
-    noise = noise or {}
-    least = lambda i, c: F.greatest(F.avg(noise[c] * noise[c]) if c in noise else F.lit(0.0), F.lit(FLOORS[c] ** 2)).alias(f"f_{i}")
-    median = data.groupBy("__key").agg(F.count("*").alias("n"), *[least(i, c) for i, c in enumerate(dims)], *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, c in enumerate(dims)])
-    median = checkpoint(median.where(F.col("n") >= min_group))
-    floors = median.select("__key", *[f"f_{i}" for i in range(p)])
-    start = median.select(
-        "__key", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)],
-        *[(F.greatest(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)), F.col(f"f_{i}")) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
+    cell = lambda i, j: f"greatest(c_{i}_{i}, f_{i})" if i == j else f"c_{max(i, j)}_{min(i, j)} * n / (n + {p})"
+    matrix = ", ".join(f"array({', '.join(cell(i, j) for j in range(p))})" for i in range(p))
+    swept = """aggregate(sequence(0, {last}), named_struct('a', array({matrix}), 'ld', 0D), (s, k) -> named_struct(
+      'a', transform(s.a, (r, i) -> transform(r, (x, j) -> case when i = k and j = k then -1 / s.a[k][k] when i = k or j = k then x / s.a[k][k]
+        else x - s.a[i][k] * s.a[k][j] / s.a[k][k] end)), 'ld', s.ld + ln(s.a[k][k]))) as s""".format(last=p - 1, matrix=matrix)
+    kept = ["__key", "start", "n", "h", "before", *_each("f_{i}", p), *_each("m_{i}", p)]
+    return moments.selectExpr(*kept, swept).selectExpr(*kept, "s.ld as logdet", *_both("-s.a[{i}][{j}] as w_{i}_{j}", p))
+
+
+def _distance(p: int, prefix: str = "") -> str:
+    """Squared Mahalanobis distance of the columns z_i under the inverse w_i_j."""
+    return " + ".join(f"{prefix}w_{i}_{j} * {prefix}z_{i} * {prefix}z_{j} * {1 if i == j else 2}D" for i in range(p) for j in range(i + 1))
+
+
+def _near(points: DataFrame, params: DataFrame, p: int) -> DataFrame:
+    """Each point under each of its group's estimates, with d2."""
+    near = points.join(params, "__key").selectExpr("__key", "start", "n", *_each("u_{i}", p), *_each("u_{i} - m_{i} as z_{i}", p), *_both("w_{i}_{j}", p))
+    return near.selectExpr("__key", "start", "n", *_each("u_{i}", p), f"{_distance(p)} as d2")
+
+
+def _sums(near: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Count k, sums a_i and sums of products b_i_j of the points."""
+    return near.groupBy(*keys).agg(*[F.expr(x) for x in ("count(*) as k", *_each("sum(u_{i}) as a_{i}", p), *_both("sum(u_{i} * u_{j}) as b_{i}_{j}", p))])
+
+
+def _estimate(sums: DataFrame, known: DataFrame, p: int, factor: str) -> DataFrame:
+    """Sums k, a_i, b_i_j of a subset by group and start -> the estimate; factor: SQL that may use k and n."""
+    means = sums.join(known, ["__key", "start"]).selectExpr("__key", "start", "n", "h", "logdet as before", *_each("f_{i}", p), *_each("a_{i} / k as m_{i}", p), *_both("b_{i}_{j} / k as b_{i}_{j}", p), f"{factor} as factor")
+    covariances = _both("(b_{i}_{j} - m_{i} * m_{j}) * factor as c_{i}_{j}", p)
+    return _fitted(means.selectExpr("__key", "start", "n", "h", "before", *_each("f_{i}", p), *_each("m_{i}", p), *covariances), p)
+
+
+def concentrate(points: DataFrame, params: DataFrame, p: int, hint) -> DataFrame:
+    """One step: the h nearest points of each estimate give the next one, whose determinant is no larger.
+
+    Points are summed by logarithmic bins of their distance (a quarter of a percent wide, or four
+    percent in groups over FINE_GROUP rows), and the nearest bins that hold h points are taken.
+    """
+    near = _near(points, hint(params), p).selectExpr("*", f"cast(floor(log2(greatest(d2, 1e-9D)) * if(n <= {FINE_GROUP}, 256, 16)) as int) as bin")
+    known = hint(params.select("__key", "start", "n", "h", "logdet", *_each("f_{i}", p)))
+    bins = _sums(near, ["__key", "start", "bin"], p).join(hint(params.select("__key", "start", "h")), ["__key", "start"])
+    upto = F.sum("k").over(Window.partitionBy("__key", "start").orderBy("bin"))
+    nearest = bins.withColumn("upto", upto).where("upto - k < h").groupBy("__key", "start")
+    nearest = nearest.agg(*[F.sum(c).alias(c) for c in ("k", *_each("a_{i}", p), *_both("b_{i}_{j}", p))])
+    return checkpoint(_estimate(nearest, known, p, _consistent("k / n", p)))
+
+
+def _starts(points: DataFrame, frame: DataFrame, p: int, hint) -> DataFrame:
+    """Deterministic starts: unit scales, correlations of bounded values and of directions, and the plain covariance."""
+    norm = f"sqrt({' + '.join(_each('u_{i} * u_{i}', p))} + 1e-12)"
+    variants = {"bounded": "tanh(u_{i})", "directions": "u_{i} / " + norm, "plain": "u_{i}"}
+    made = ", ".join(f"named_struct('start', '{k}', {', '.join(f'{chr(39)}u_{i}{chr(39)}, {v.format(i=i)}' for i in range(p))})" for k, v in variants.items())
+    made = points.selectExpr("__key", f"explode(array({made})) as v").select("__key", "v.*")
+    known = frame.selectExpr("__key", "n", "h", *_each("f_{i}", p), "cast(null as double) as before")
+    # directions are taken about the centre
+    centred = _sums(made, ["__key", "start"], p).join(hint(known), "__key").selectExpr(
+        "__key", "start", "n", "h", "before", *_each("f_{i}", p), *_each("if(start = 'plain', a_{i} / k, 0D) as m_{i}", p), *_both("b_{i}_{j} / k - if(start = 'directions', 0D, a_{i} / k * a_{j} / k) as v_{i}_{j}", p)
     )
-    params = checkpoint(_cholesky(start, dims))
-    consistent = subset / chi2_cdf(chi2_quantile(subset, p), p + 2)
-    for _ in range(steps):
-        near = _distance(data, params, dims)
-        cut = near.groupBy("__key").agg(F.percentile_approx("d2", subset, 2000).alias("cut"))
-        params = checkpoint(_cholesky(_moments(near.join(checkpoint(cut), "__key").where("d2 <= cut"), dims, consistent, floors), dims))
-    inside = _distance(data, params, dims).where(F.col("d2") <= chi2_quantile(0.975, p))
-    params = checkpoint(_cholesky(_moments(inside, dims, 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2), floors), dims))
-    known = params.select("__key").withColumn("__known", F.lit(True))
-    near = _distance(data, params, dims)
-    rest = data.join(known, "__key", "left").where("__known is null").select(*data.columns, F.lit(None).cast("double").alias("d2"))
-    return near.unionByName(rest).drop("__key")
+    covariance = [f"if(start = 'plain', v_{i}_{j}, {'1D' if i == j else f'v_{i}_{j} / sqrt(greatest(v_{i}_{i}, 1e-12D) * greatest(v_{j}_{j}, 1e-12D))'}) as c_{i}_{j}" for i in range(p) for j in range(i + 1)]
+    kept = ["__key", "start", "n", "h", "before", *_each("f_{i}", p), *_each("m_{i}", p)]
+    unit = known.selectExpr("*", "'scales' as start", *_each("0D as m_{i}", p), *[f"{int(i == j)}D as c_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return checkpoint(_fitted(centred.selectExpr(*kept, *covariance).unionByName(unit), p))
+
+
+def _groups(rows: DataFrame, groups: list[str], min_group: int) -> DataFrame:
+    """(groups, __key): the pool that each group belongs to, from the counts of the groups."""
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("__n"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    first = F.concat_ws("\x1f", F.lit("1"), text(groups[0]))
+    for key in (F.concat_ws("\x1f", F.lit("2"), *map(text, groups)), first, F.lit("0")):
+        if "__key" not in sizes.columns:
+            sizes = sizes.withColumn("__key", key)
+        else:
+            sizes = sizes.withColumn("__key", F.when(F.sum("__n").over(Window.partitionBy("__key")) < min_group, key).otherwise(F.col("__key")))
+    return checkpoint(sizes.drop("__n"))
+
+
+def _frame(keyed: DataFrame, floors: list[float], share: float, hint) -> DataFrame:
+    """(__key, n, h, q_i, r_i, f_i): size, subset size, medians, scales, and least variances in units of the scales.
+
+    Quartiles are read from counts of bins of 1/1024.
+    """
+    p = len(floors)
+    each = F.expr("explode(array(" + ", ".join(_each("named_struct('i', {i}, 'bin', floor(x_{i} * 1024))", p)) + ")) as v")
+    counts = keyed.select("__key", each).groupBy("__key", "v.i", "v.bin").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("__key", "i")
+    counts = counts.withColumns({"upto": F.sum("k").over(w.orderBy("bin")), "n": F.sum("k").over(w)})
+    quartiles = [f"min(if(i = {i} and upto >= {q} * n, (bin + 0.5D) / 1024, null)) as q{k}_{i}" for i in range(p) for k, q in enumerate((0.25, 0.5, 0.75))]
+    quartiles = counts.groupBy("__key").agg(F.max("n").alias("n"), *map(F.expr, quartiles))
+    least = keyed.groupBy("__key").agg(*[F.expr(f"greatest(avg(e_{i}), {x**2}D) as f_{i}") for i, x in enumerate(floors)])
+    scaled = quartiles.join(hint(least), "__key").selectExpr("__key", "n", *_each("q1_{i} as q_{i}", p), *_each("greatest((q2_{i} - q0_{i}) / 1.349D, sqrt(f_{i})) as r_{i}", p), *_each("f_{i}", p))
+    return checkpoint(scaled.selectExpr("__key", "n", f"{subset_size(p, share)} as h", *_each("q_{i}", p), *_each("r_{i}", p), *_each("f_{i} / r_{i} / r_{i} as f_{i}", p)))
+
+
+@contextmanager
+def _planned_once(spark: SparkSession, when: bool):
+    """No adaptive planning: for sums of a few thousand rows, planning each stage anew takes the driver more time and memory than it saves."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false" if when else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fit_mcd(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, min_group: int = MIN_GROUP, noise: dict | None = None) -> DataFrame:
+    """One row a group of stats with its robust centre and inverse covariance: the subset of least determinant, then one reweighting.
+
+    Groups are all of group_cols; those under min_group rows are pooled by the first of them, and
+    pools that stay too small become one, which gets its estimate however small it is. Values are
+    standardised by medians and quartile ranges. From four starts two concentration steps are
+    taken; the start with the least determinant goes on until no group's determinant gets smaller
+    (or MAX_STEPS). noise: statistic -> column with a row's standard deviation of measurement; the
+    group's mean of its square (at least the square in FLOORS) is the least variance of an estimate,
+    and changes no larger one. All sums and counts are pre-aggregated, so a hot group is no
+    bottleneck; estimates of up to BROADCAST_GROUPS groups are broadcast, more are joined.
+    """
+    noise, p = noise or {}, len(FLOORS)
+    groups = [f"g_{i}" for i in range(len(group_cols))]
+    values = [F.col(c).alias(f"x_{i}") for i, c in enumerate(FLOORS)]
+    noises = [(noise[c] * noise[c] if c in noise else F.lit(0.0)).alias(f"e_{i}") for i, c in enumerate(FLOORS)]
+    rows = stats.select(*[F.col(c).alias(g) for g, c in zip(groups, group_cols)], *values, *noises)
+    pools = _groups(rows, groups, min_group)
+    hint = F.broadcast if pools.count() <= BROADCAST_GROUPS else lambda df: df
+    named = hint(pools.select(*[F.col(g).alias(f"__{g}") for g in groups], "__key"))
+    keyed = rows.join(named, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]).drop(*[f"__{g}" for g in groups])
+    frame = _frame(keyed, list(FLOORS.values()), subset, hint)
+    scales = frame.select("__key", *_each("q_{i}", p), *_each("r_{i}", p))
+    points = checkpoint(keyed.join(hint(scales), "__key").selectExpr("__key", *_each("(x_{i} - q_{i}) / r_{i} as u_{i}", p)))
+    with _planned_once(stats.sparkSession, hint is F.broadcast):
+        params = _starts(points, frame, p, hint)
+        for _ in range(START_STEPS):
+            params = concentrate(points, params, p, hint)
+        rank = F.row_number().over(Window.partitionBy("__key").orderBy("logdet", "start"))
+        params = checkpoint(params.withColumn("__r", rank).where("__r = 1").drop("__r"))
+        for _ in range(MAX_STEPS):
+            params = concentrate(points, params, p, hint)
+            if (params.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0) < TOLERANCE:
+                break
+        inside = _near(points, hint(params), p).where(F.col("d2") <= chi2_quantile(0.975, p))
+        last = _estimate(_sums(inside, ["__key", "start"], p), hint(params), p, f"{0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2)}D")
+        last = last.withColumnRenamed("before", "mcd_logdet").drop("start", *_each("f_{i}", p))
+        return checkpoint(pools.join(hint(last), "__key").join(hint(scales), "__key"))
+
+
+def mcd_distances(stats: DataFrame, model: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Add d2, the squared robust Mahalanobis distance of each row to its group (null where the model lacks the group)."""
+    p = len(FLOORS)
+    hint = F.broadcast if model.count() <= BROADCAST_GROUPS else lambda df: df
+    named = hint(model.selectExpr(*[f"{c} as __{c}" for c in model.columns if not c.startswith("__")]))
+    near = stats.join(named, [F.col(c).eqNullSafe(F.col(f"__g_{i}")) for i, c in enumerate(group_cols)], "left")
+    z = [F.expr(f"({c} - __q_{i}) / __r_{i} - __m_{i}").alias(f"__z_{i}") for i, c in enumerate(FLOORS)]
+    near = near.select(*stats.columns, *z, *_both("__w_{i}_{j}", p))
+    return near.select(*stats.columns, F.expr(_distance(p, "__")).alias("d2"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", group_cols=("lang", "source"), tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
@@ -193,18 +305,17 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols=("lang", "source")
     base_failed: under 20 words, or over 30 % of the words in repeated windows of 8. kept is
     false for those and for rows whose distance passes the chi-square quantile at 1 - tail.
     The estimates use the rows that pass the base rules; a statistic that hardly varies in a
-    group is judged by what one unit does to a text (unit_noise). Null texts have no words and fail; a
-    null language or source is a group of its own; repeated rows are judged each; an empty
-    table stays empty.
+    group is judged by what one unit does to a text (unit_noise). Every row that passes the base
+    rules gets a verdict. Null texts have no words and fail; a null language or source is a group
+    of its own; repeated rows are judged each; an empty table stays empty.
     """
     cols = [c for c in docs.columns if c not in (text_col, *STAT_COLS)]
-    stats = checkpoint(statistic_vector(text_counts(docs.select(*cols, text_col), text_col)).drop(text_col))
+    stats = statistic_vector(text_counts(docs.select(*cols, text_col), text_col)).drop(text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    passed = mcd_distances(stats.where(~F.col("base_failed")), list(group_cols), min_group=min_group, noise=unit_noise())
-    out = passed.unionByName(stats.where("base_failed").withColumn("d2", F.lit(None).cast("double")))
-    cutoff = chi2_quantile(1 - tail, len(FLOORS))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff)))
+    stats = checkpoint(stats.withColumn("base_failed", failed))
+    model = fit_mcd(stats.where(~F.col("base_failed")), list(group_cols), min_group=min_group, noise=unit_noise())
+    out = mcd_distances(stats, model, list(group_cols)).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(1 - tail, len(FLOORS)), F.lit(False)))
 
 
 STAT_COLS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", *FLOORS)
