@@ -86,11 +86,14 @@ def fit_domains(docs: DataFrame, domains: DataFrame, names: list[str], per_domai
                 at = np.searchsorted(d, np.arange(1, j - i))
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "y": b["y"].iloc[i:j].array, "f": [a.astype(np.int32) for a in np.split(f, at)], "x": np.split(x, at)})
 
-    rows = sample.mapInPandas(extract, "doc_id long, y int, f array<int>, x array<float>").toPandas().sort_values(["doc_id", "y"])
+    rows = sample.mapInPandas(extract, "doc_id long, y int, f array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     if not len(rows):
         return Softmax(len(names))
-    size = [len(x) for x in rows["f"]]
-    return Softmax(len(names)).fit(np.repeat(np.arange(len(rows)), size), np.concatenate(rows["f"].to_list()).astype(np.int64), np.concatenate(rows["x"].to_list()).astype(np.float32), rows["y"].to_numpy(int))
+    # flat arrays, not an object for each document
+    f, x = (rows[c].combine_chunks() for c in "fx")
+    size = np.diff(f.offsets.to_numpy())
+    flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+    return Softmax(len(names)).fit(np.repeat(np.arange(len(rows)), size), flat(f), flat(x), rows["y"].to_numpy().astype(int))
 
 
 def domain_posteriors(docs: DataFrame, model: Softmax, names: list[str]) -> DataFrame:
