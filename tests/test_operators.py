@@ -206,3 +206,47 @@ def test_near_duplicate_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want) > 20
     some = rng.integers(0, len(texts), (300, 2))
     assert all(dedup.may_be_similar(texts[i], texts[j], 0.8) for i, j in some if difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() >= 0.8)
+
+
+def test_cross_df_of_a_long_list_is_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "xx kw1 yy"), ("b", "kw1kw2"), ("b", "k"), ("c", ""), ("c", "가나다 kw2")], "keyword string, norm string")
+    words = spark.createDataFrame([("a", "kw1"), ("b", "kw2"), ("c", "k"), ("d", "가나"), ("e", "")], "keyword string, norm string")
+    short = sorted(map(str, tables.cross_df(docs, words).collect()))
+    monkeypatch.setattr(tables, "LISTED", 0)
+    assert sorted(map(str, tables.cross_df(docs, words).collect())) == short
+
+
+def test_dates_by_source(spark):
+    df = spark.createDataFrame([(1, "2024.1.5 10:20", "x"), (2, "soon", "x"), (3, "soon", "y"), (4, "soon", None), (5, "24/01/05", "x")], "i bigint, raw string, source string")
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    assert sorted(r.i for r in gates.dated(df, "raw", "at", now, dropping=("x",)).collect()) == [1, 3, 4, 5]
+    assert gates.dated(df, "raw", "at", now).count() == 5
+
+
+def test_entities(spark):
+    raw = "&amp;lt; &eacute; &#9733; &copy &nbsp;|&quot;&#39;&gt;"
+    assert value(spark, text.unescape_all(F.col("t")), t=raw) == html.unescape(raw)
+    assert value(spark, text.unescape_all(F.col("t")), t="a &lt;b&gt; &amp; c") == "a <b> & c"
+
+
+def test_dense_topk_grid(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4)).round(1)
+    v[7] = 0
+    v[9] = v[8]
+    chunks_ = spark.createDataFrame([(i, f"k{i % 3}", v[i].tolist()) for i in range(60)] + [(60, "k0", None)], "chunk_id bigint, keyword string, vec array<double>")
+    asked = chunks_.where("chunk_id % 10 = 7 or chunk_id = 8").select(F.col("chunk_id").cast("string").alias("query_id"), "keyword", "vec")
+    plain = {}
+    for q in (8, 17, 27, 37, 47, 57):
+        for within in (None, "keyword"):
+            ids = [i for i in range(60) if i != 7 and (not within or i % 3 == q % 3)]
+            cos = {i: round(float(v[i] @ v[q] / np.linalg.norm(v[i]) / np.linalg.norm(v[q])), 9) for i in ids}
+            plain[q, within] = sorted(ids, key=lambda i: (-cos[i], i))[:5]
+    for block, part in ((2048, 20_000), (2, 7)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "CHUNK_PART", part)
+        for within in (None, "keyword"):
+            got = {}
+            for r in sorted(retrieval.dense_topk(asked, chunks_, 5, within).collect(), key=lambda r: r["rank"]):
+                got.setdefault((int(r.query_id), within), []).append(r.chunk_id)
+            assert got == {k: x for k, x in plain.items() if k[1] == within}
