@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from trendspark.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from trendspark.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, token_shards, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_toxicity": toxicity.query,
+    "op13_token_shards": token_shards.query,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
