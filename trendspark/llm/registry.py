@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from trendspark.llm import conversations, decontaminate, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, token_shards, toxicity, url_filter
+from trendspark.llm import conversations, decontaminate, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, token_shards, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -13,11 +13,13 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_toxicity": toxicity.query,
+    "op11_whitening": whitening.query,
     "op12_conversation_repair": conversations.query,
     "op13_token_shards": token_shards.query,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op11_whitening": whitening.query,
     "op12_conversation_repair": conversations.ORACLE,
 }
