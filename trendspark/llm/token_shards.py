@@ -26,12 +26,34 @@ from trendspark.llm.wavelet import WaveletMatrix
 SHARD_IDS = 1 << 21
 #: White space of the split pattern of byte-level tokenizers (\s of Unicode): fixed values.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
-#: Entries that a worker remembers at most.
-PIECES, WORDS = 200_000, 600_000
+#: ASCII marks: a run of them between letters and white space is one entry of the split pattern. Not the apostrophe, which may begin one with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Entries that a worker remembers at most, in two generations each.
+PIECES, WORDS = 1_200_000, 400_000
 
 _encoders: dict[str, Encoder] = {}
 
 
+class _Memory(dict):
+    """A dict of bounded size: when it holds half of `most`, the entries before the last half go, but for those used since."""
+
+    def __init__(self, most: int):
+        self.half, self.older = max(1, most // 2), {}
+
+    def seek(self, key: str) -> bytes | None:
+        """The value of a key that this dict doesn't have itself."""
+        got = self.older.get(key)
+        if got is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def _byte_letters() -> list[str]:
     """The letter that a byte-level vocabulary writes for each byte: itself where it is printable, else the next from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -64,45 +86,49 @@ class Encoder:
             and bpe.get("type") == "BPE" and not bpe.get("dropout")
             and not any(WHITE & set(x["content"]) or x["single_word"] or x["lstrip"] or x["rstrip"] for x in kind.get("added_tokens") or [])
         )
+        # added tokens that letters and marks alone might hold
+        self.added_marks = any(not x.rstrip(MARKS) or x.rstrip(MARKS).isalpha() for x in self.added)
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = _Memory(PIECES), _Memory(WORDS)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters_only(self, word: str) -> bytes:
-        """A space and letters: one entry of the split pattern, so that the model's merges are all there is to do."""
-        got = self.words.get(word)
+    def _word(self, word: str) -> bytes:
+        """Letters, or a space and letters: one entry of the split pattern, so that the model's merges are all there is to do."""
+        got = self.words.get(word) or self.words.seek(word)
         if got is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            spelled = (" " + word).encode().decode("latin-1").translate(self.letters)
-            got = self.words[word] = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+            got = array("I", [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            self.words.keep(word, got)
         return got
 
+    def _mark(self, mark: str) -> bytes:
+        """An ASCII mark between letters and white space, or a line feed between others: an entry of its own."""
+        got = self.words.get(mark) or self.words.seek(mark)
+        if got is None:
+            got = self._whole(mark)
+            self.words.keep(mark, got)
+        return got
+
+    def _apart(self, space: str, piece: str) -> bytes:
+        """The ids of a space (or none) and a piece."""
+        word = piece.rstrip(MARKS)
+        if not word.isalpha() or self.added_marks:
+            return self._whole(space + piece)
+        return self._word(space + word) + (self._mark(piece[len(word) :]) if len(word) < len(piece) else b"")
+
     def _piece(self, piece: str) -> bytes | None:
         """The ids of a piece with the space before it (a piece at a line's start has its line feed instead); None where it can't be cut off."""
+        got = self.pieces.seek(piece)
+        if got is not None:
+            return got
         if not piece or piece[-1] in WHITE:
             return None
-        if any(x in piece for x in self.added):
-            got = self._whole(piece if piece[0] == "\n" else " " + piece)
-        elif piece.isalpha():
-            got = self._letters_only(piece)
-        elif piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            got = self._letters_only(piece[:-1]) + self._piece_mark(piece[-1])
+        if piece[0] != "\n":
+            got = self._apart(" ", piece)
         else:
-            got = self._whole(piece if piece[0] == "\n" else " " + piece)
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        self.pieces[piece] = got
-        return got
-
-    def _piece_mark(self, mark: str) -> bytes:
-        """A mark of ASCII right after letters."""
-        got = self.words.get("\n" + mark)
-        if got is None:
-            got = self.words["\n" + mark] = self._whole(mark)
+            got = self._whole(piece) if piece[1] in WHITE else self._mark("\n") + self._apart("", piece[1:])
+        self.pieces.keep(piece, got)
         return got
 
     def __call__(self, text: str) -> bytes:
@@ -116,7 +142,7 @@ class Encoder:
             found = [self._piece(p) if v is None else v for p, v in zip(rest, found)]
         if (rest and (not first or first[-1] in WHITE)) or None in found:
             return self._whole(text)
-        return b"".join([self._whole(first), *found])
+        return b"".join([self._apart("", first), *found])
 
 
 def encoder(path: str) -> Encoder:

@@ -42,9 +42,6 @@ class Plane:
             self._open = {block: got}  # the last one only: a scan of positions stays in it
         return got
 
-    def all_bits(self) -> np.ndarray:
-        return np.concatenate([self.bits(b) for b in range(len(self.ends))]) if self.n else np.zeros(0, np.uint8)
-
     def rank1(self, i: int) -> int:
         """Ones before position i."""
         block, rest = divmod(i, BLOCK)
@@ -83,23 +80,25 @@ class WaveletMatrix:
         tables, blocks = [], []
         for level in reversed(range(levels)):
             bit = (codes & (1 << level)).astype(bool)
-            before, ends, at = [], [], 0
-            ones = 0
-            packed = np.packbits(bit)
+            zeros = len(ids) - int(np.count_nonzero(bit))
+            below = np.empty_like(codes)
+            before, ends, at, ones = [], [], 0, 0
             for start in range(0, len(ids), BLOCK):
-                part = packed[start // 8 : (start + BLOCK) // 8].tobytes()
-                have = int(np.count_nonzero(bit[start : start + BLOCK]))
-                share = have / min(BLOCK, len(ids) - start)
-                if min(share, 1 - share) < SPARSE:
+                own, code = bit[start : start + BLOCK], codes[start : start + BLOCK]
+                one = np.flatnonzero(own)  # taking by places is several times as fast as by masks
+                part = np.packbits(own).tobytes()
+                if min(len(one), len(own) - len(one)) < SPARSE * len(own):
                     small = zlib.compress(part, 1)
                     part = small if len(small) < len(part) else part
                 at += len(part)
                 before.append(ones)
                 ends.append(at)
                 blocks.append(part)
-                ones += have
-            tables.append(struct.pack("<Q", len(ids) - ones) + np.array(before, "<u4").tobytes() + np.array(ends, "<u4").tobytes())
-            codes = codes.take(np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)]))  # several times as fast as masks
+                below[start - ones : start - ones + len(own) - len(one)] = code[np.flatnonzero(~own)]
+                below[zeros + ones : zeros + ones + len(one)] = code[one]
+                ones += len(one)
+            tables.append(struct.pack("<Q", zeros) + np.array(before, "<u4").tobytes() + np.array(ends, "<u4").tobytes())
+            codes = below
         return b"".join([_HEAD.pack(MAGIC, len(ids), len(symbols), levels), symbols.astype("<u4").tobytes(), *tables, *blocks])
 
     @classmethod
@@ -127,10 +126,12 @@ class WaveletMatrix:
         """All ids, from the lowest plane up: each plane says which of its two halves a symbol came from."""
         codes = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, plane in enumerate(reversed(self.planes)):
-            bit = plane.all_bits().view(bool)
             up = np.empty_like(codes)
-            up[np.flatnonzero(~bit)] = codes[: plane.zeros]
-            up[np.flatnonzero(bit)] = codes[plane.zeros :] | codes.dtype.type(1 << level)
+            for block, ones in enumerate(plane.before.tolist()):
+                own, start = plane.bits(block).view(bool), block * BLOCK
+                into, one, zero = up[start : start + BLOCK], np.flatnonzero(own), np.flatnonzero(~own)
+                into[zero] = codes[start - ones : start - ones + len(zero)]
+                into[one] = codes[plane.zeros + ones : plane.zeros + ones + len(one)] | codes.dtype.type(1 << level)
             codes = up
         return self.symbols[codes] if self.n else np.zeros(0, np.uint32)
 
