@@ -5,11 +5,12 @@ import difflib
 import html
 import unicodedata
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from trendspark.functions import text, urls
-from trendspark.operators import chunks, dedup, evaluation, gates, retrieval, tables
+from trendspark.operators import candidates, chunks, dedup, evaluation, gates, retrieval, tables
 from trendspark.sources import io
 from trendspark.streaming import jobs
 
@@ -188,24 +189,90 @@ def test_stream_replaces_older_versions(spark, tmp_path):
     assert want.where("is_relevant").count() == want.count() > 0  # composed and decomposed forms are one
 
 
-def test_near_duplicate_recall(spark):
-    """Against all pairs of windows of a keyword, and of texts with random edits."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 6 = 2").select("doc_id", "text")
-    texts = sorted({r.chunk.strip() for r in chunks.chunk_windows(docs, "text").collect()})[:150]
+def _edited(rng, text: str, every: int) -> str:
+    """A replacement, insertion or deletion at every so many characters."""
+    out = []
+    for k, c in enumerate(text):
+        kind = rng.integers(3) if k and k % every == 0 else -1
+        out.append({-1: c, 0: "#", 1: c + "qzx"[k % 3], 2: ""}[int(kind)])
+    return "".join(out).strip()
+
+
+def _similar(new: str, old: str, threshold: float = 0.8) -> bool:
+    return difflib.SequenceMatcher(None, new, old).ratio() >= threshold
+
+
+def _many_texts():
+    """Windows of a keyword's documents and short texts, edits spread over them evenly and locally, letters of a large alphabet."""
     rng = np.random.default_rng(3)
-    for t in texts[:60]:
-        c = list(t)
-        for _ in range(int(rng.integers(0, max(1, len(c) // 60)))):
-            at = int(rng.integers(0, len(c)))
-            c[at : at + int(rng.integers(0, 10))] = list("qzx"[: int(rng.integers(0, 3))])
-        texts.append("".join(c).strip())
-    texts = list(dict.fromkeys(texts))
-    want = {(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if dedup.may_be_similar(b, a, 0.8) and difflib.SequenceMatcher(None, b, a).ratio() >= 0.8}
-    df = spark.createDataFrame([("k", i, i, t) for i, t in enumerate(texts)], "keyword string, seq bigint, parent_id bigint, text string")
-    got = {(r.earlier, r.later) for r in dedup.similar_pairs(df).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) > 20
+    con = duckdb.connect()
+    found = [t for (t,) in con.sql("select text from '/root/testdata/sf0.001/documents.parquet' where doc_id % 6 = 2 order by doc_id").fetchall() if t]
+    texts = [t[i : i + n].strip() for t in found for i, n in ((0, 500), (450, 500), (100, 250), (30, 120), (10, 45))][:60]
+    hangul = ["".join(chr(0xAC00 + int(x)) for x in rng.integers(0, 900, n)) for n in (500, 480, 190, 60)]
+    base = [*texts[:26], *hangul, "ab" * 250, "a" * 300, "abc " * 30]
+    texts += hangul + [_edited(rng, t, every) for t in base for every in (3, 6, 7, 30) if len(t) > 20]
+    for t in base:
+        at, size = int(rng.integers(0, max(1, len(t) - 9))), int(rng.integers(0, len(t) // 4 + 1))
+        texts += [(t[:at] + "qz" + t[at + size :]).strip(), (t[:at] + t[: size + 2] + t[at:]).strip()]
+    return list(dict.fromkeys(t for t in texts if t))
+
+
+def test_near_duplicates_lose_no_pair(spark, monkeypatch):
+    """Against all pairs of a keyword, of many lengths; in one block a class and in many."""
+    texts = _many_texts()
+    want = {(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if _similar(b, a)}
+    spread = {(i, j) for i, j in want if len(texts[i]) > 250 and len(dedup_grams(texts[i], 6) & dedup_grams(texts[j], 6)) < 100}
+    assert len(want) > 150 and len(spread) > 5
+    df = spark.createDataFrame([("k", i, i, t) for i, t in enumerate(texts)] + [("other", len(texts), 0, texts[0]), ("k", -1, 0, None), ("k", -2, 0, "")], "keyword string, seq bigint, parent_id bigint, text string")
+    assert {(r.earlier, r.later) for r in dedup.similar_pairs(df).collect()} == want
+    tried = candidates.candidate_pairs(df.withColumn("known", F.lit(False)), 0.8).count()
+    assert len(want) <= tried <= 20 * len(want)
+    monkeypatch.setattr(candidates, "BLOCK", 7)
+    assert {(r.earlier, r.later) for r in dedup.similar_pairs(df).collect()} == want
+    low = {(i, j) for j, b in enumerate(texts[:80]) for i, a in enumerate(texts[:j]) if _similar(b, a, 0.5)}
+    assert {(r.earlier, r.later) for r in dedup.similar_pairs(df.where("seq < 80"), 0.5).collect()} == low
+
+
+def dedup_grams(t: str, q: int) -> set[str]:
+    return {t[i : i + q] for i in range(len(t) - q + 1)}
+
+
+def test_near_duplicates_with_existing_are_greedy(spark):
+    """Kept rows are those of the rule in order, also against existing texts, but for those of the same parent."""
+    texts = _many_texts()[::2]
+    order = np.random.default_rng(9).permutation(len(texts))
+    old = [(int(k) % 9, texts[k]) for k in order[:40]]
+    new = [(n, int(k) % 9, texts[k]) for n, k in enumerate(order[20:])]
+    kept = []
+    for n, parent, t in new:
+        if not any(p != parent and _similar(t, o) for p, o in old) and not any(_similar(t, o) for _, o in kept):
+            kept.append((n, t))
+    chunk_rows = spark.createDataFrame([("k", n, p, f" {t}\n") for n, p, t in new], "keyword string, seq int, parent_id int, text string")
+    existing = spark.createDataFrame([("k", p, t) for p, t in old] + [("z", 77, new[0][2])], "keyword string, parent_id int, text string").repartition(3)
+    assert {r.seq for r in dedup.drop_near_duplicates(chunk_rows, existing).collect()} == {n for n, _ in kept}
+    assert dedup.drop_near_duplicates(chunk_rows.limit(0), existing).count() == 0
+    assert dedup.drop_near_duplicates(chunk_rows, existing.limit(0)).count() == dedup.drop_near_duplicates(chunk_rows).count()
+
+
+def test_bounds_of_candidates():
+    """May-be checks never turn down a pair that reaches the threshold; common subsequences are those of the table."""
+    texts = _many_texts()
+    rng = np.random.default_rng(4)
     some = rng.integers(0, len(texts), (300, 2))
-    assert all(dedup.may_be_similar(texts[i], texts[j], 0.8) for i, j in some if difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() >= 0.8)
+    assert all(dedup.may_be_similar(texts[i], texts[j], 0.8) for i, j in some if _similar(texts[i], texts[j]))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    a, b = [t for t in texts if len(t) < 290][:25], [t for t in texts if len(t) < 250][-25:]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(a)), range(len(b))))
+    assert candidates.common_subsequences(a, b, i, j).tolist() == [lcs(a[x], b[y]) for x, y in zip(i, j)]
 
 
 def test_cross_df_of_a_long_list_is_the_same(spark, monkeypatch):
