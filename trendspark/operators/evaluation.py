@@ -39,14 +39,19 @@ def ideal_dcg(grades: DataFrame, k: int, exponential: bool = False) -> DataFrame
     return grades.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("query_id").agg(dcg_at_k(k, exponential).alias("ideal"))
 
 
+def _normalised(dcg: Column, ideal: Column) -> Column:
+    return F.when(ideal > 0, dcg / ideal).otherwise(0.0)
+
+
 def ndcg_at_k(graded: DataFrame, grades: DataFrame, k: int, exponential: bool = False) -> DataFrame:
     d = graded.groupBy(*BY).agg(dcg_at_k(k, exponential).alias("dcg"))
-    return d.join(ideal_dcg(grades, k, exponential), "query_id", "left").select(*BY, F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+    return d.join(ideal_dcg(grades, k, exponential), "query_id", "left").select(*BY, _normalised(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
 
 def per_query(graded: DataFrame, grades: DataFrame, k: int, threshold: int = 2) -> DataFrame:
-    m = graded.groupBy(*BY).agg(precision_at_k(k, threshold).alias("precision"), mean_relevance_at_k(k).alias("mean_rel"), mrr(threshold).alias("mrr"))
-    return m.join(ndcg_at_k(graded, grades, k), BY)
+    """All metrics of a query and method, in one pass over the graded results."""
+    m = graded.groupBy(*BY).agg(precision_at_k(k, threshold).alias("precision"), mean_relevance_at_k(k).alias("mean_rel"), mrr(threshold).alias("mrr"), dcg_at_k(k).alias("dcg"))
+    return m.join(ideal_dcg(grades, k), "query_id", "left").select(*BY, "precision", "mean_rel", "mrr", _normalised(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
 
 def nearest_rank(values: Column, q: float) -> Column:
@@ -74,10 +79,13 @@ def method_overlap(ranked: DataFrame) -> DataFrame:
 
 
 def sensitivity(graded: DataFrame, grades: DataFrame, k: int) -> DataFrame:
-    """(method, metric, setting, value) for thresholds 1 and 2 and both gains, of one pass over the results."""
-    per = graded.groupBy(*BY).agg(*[f(t).alias(f"{n}_{t}") for t in (1, 2) for n, f in (("precision", lambda t: precision_at_k(k, t)), ("mrr", mrr))])
-    lin, exp = (ndcg_at_k(graded, grades, k, e).withColumnRenamed("ndcg", n) for n, e in (("ndcg_linear", False), ("ndcg_exp", True)))
-    m = per.join(lin, BY).join(exp, BY).groupBy("method").agg(*[F.avg(c).alias(c) for c in ("precision_1", "precision_2", "mrr_1", "mrr_2", "ndcg_linear", "ndcg_exp")])
+    """(method, metric, setting, value) for thresholds 1 and 2 and both gains, of one pass over the results and one over the grades."""
+    measures = [f(t).alias(f"{n}_{t}") for t in (1, 2) for n, f in (("precision", lambda t: precision_at_k(k, t)), ("mrr", mrr))]
+    per = graded.groupBy(*BY).agg(*measures, dcg_at_k(k).alias("linear"), dcg_at_k(k, True).alias("exp"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "chunk_id"))
+    ideal = grades.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("query_id").agg(dcg_at_k(k).alias("best_linear"), dcg_at_k(k, True).alias("best_exp"))
+    per = per.join(ideal, "query_id", "left").withColumns({f"ndcg_{e}": _normalised(F.col(e), F.col(f"best_{e}")) for e in ("linear", "exp")})
+    m = per.groupBy("method").agg(*[F.avg(c).alias(c) for c in ("precision_1", "precision_2", "mrr_1", "mrr_2", "ndcg_linear", "ndcg_exp")])
     pairs = [F.struct(F.lit(c.rsplit("_", 1)[0]).alias("metric"), F.lit(c.rsplit("_", 1)[1]).alias("setting"), F.col(c).alias("value")) for c in m.columns if c != "method"]
     return m.select("method", F.inline(F.array(*pairs)))
 

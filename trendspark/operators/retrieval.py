@@ -15,7 +15,8 @@ from trendspark.functions import urls
 
 RRF = 60
 FACETS = ("meaning", "why_popular", "usage", "who")
-QUERY_BLOCK, CHUNK_PART = 2048, 20_000  # vectors that meet in one cell of the dense search
+QUERY_BYTES = 16 << 20  # vectors of queries that a task of the dense search holds
+SCORED = 2048  # chunks that are scored at once
 MAX_SOURCES, MAX_SOURCE_CHARS, MAX_CHARS = 6, 1800, 8000
 
 
@@ -24,46 +25,76 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None = "keyword") -> DataFrame:
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, and which of them had a length."""
+    v = np.vstack(vectors.to_numpy()).astype(float)
+    length = np.sqrt((v * v).sum(1))
+    return v / np.where(length > 0, length, 1)[:, None], length > 0
+
+
+class _Best:
+    """The k best (query, id, score) of what was added, ties by id; queries are rows of unit vectors with keys."""
+
+    def __init__(self, vectors: np.ndarray, keys: np.ndarray, k: int):
+        self.vectors, self.keys, self.k = vectors, keys, k
+        self.least = np.full(len(vectors), -np.inf)  # the k-th best score so far
+        self.held = pd.DataFrame({"q": np.zeros(0, np.int64), "id": [], "score": np.zeros(0)})
+
+    def add(self, ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.round(self.vectors @ vectors.T, 9)
+        score[self.keys[:, None] != keys[None]] = -np.inf
+        least = self.least
+        if score.shape[1] > self.k:
+            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+        q, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        found = pd.DataFrame({"q": q, "id": ids[at], "score": score[q, at]})
+        both = pd.concat([x for x in (self.held, found) if len(x)] or [self.held]).sort_values(["q", "score", "id"], ascending=[True, False, True])
+        self.held = both[both.groupby("q").cumcount() < self.k]
+        full = self.held.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy(int)] = full["min"].to_numpy()
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None = "keyword", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine (to nine decimals), within the query's keyword or, with within=None, among all chunks.
 
-    A grid: queries in blocks of QUERY_BLOCK and chunks in parts of CHUNK_PART meet once each, and
-    every cell sends its own k best of a query only. Vectors of length 0, and null ones, match nothing.
+    The chunks' vectors stay where they are read: each task scores its batches by matrix products
+    against a block of queries that it holds, keeps the k best of every query, and sends only
+    those. A block has query_bytes of vectors at most; more queries take more blocks, each one
+    pass over the chunks. Vectors of length 0, and null ones, match nothing.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = max(1, -(-chunks.count() // CHUNK_PART))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     key = F.col(within).cast("string") if within else F.lit("")
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    types = {n: t for n, t in [*queries.dtypes, *chunks.dtypes]}
-    vec = F.col("vec").cast("array<double>").alias("vec")
-    q = queries.where("vec is not null").select(F.lit(True).alias("asks"), "query_id", F.lit(0).cast(types["chunk_id"]).alias("chunk_id"), key.alias("key"), vec, own("query_id", blocks).alias("block"), all_of(parts).alias("part"))
-    c = chunks.where("vec is not null").select(F.lit(False).alias("asks"), F.lit(0).cast(types["query_id"]).alias("query_id"), "chunk_id", key.alias("key"), vec, all_of(blocks).alias("block"), own("chunk_id", parts).alias("part"))
-
-    def unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        v = np.vstack(vectors.to_numpy())
-        length = np.sqrt((v * v).sum(1))
-        return v / np.where(length > 0, length, 1)[:, None], length > 0
-
-    def cell(frame: pd.DataFrame) -> pd.DataFrame:
-        wanted, rows = frame[frame["asks"]], frame[~frame["asks"]]
-        found = [pd.DataFrame({"query_id": wanted["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "score": np.zeros(0)})]
-        if len(wanted) and len(rows):
-            rows = rows.sort_values("chunk_id")
-            (a, a_ok), (b, b_ok) = unit(wanted["vec"]), unit(rows["vec"])
-            ids, keys = rows["chunk_id"].to_numpy(), rows["key"].to_numpy()
-            for i in np.flatnonzero(a_ok):
-                fits = np.flatnonzero(b_ok & (keys == wanted["key"].iat[i]))
-                score = np.round(b[fits] @ a[i], 9)
-                if len(score) > k:
-                    least = np.partition(score, -k)[-k]
-                    fits, score = fits[score >= least], score[score >= least]
-                best = np.argsort(-score, kind="stable")[:k]  # ties by chunk_id
-                found.append(pd.DataFrame({"query_id": wanted["query_id"].iat[i], "chunk_id": ids[fits[best]], "score": score[best]}))
-        return pd.concat(found)
-
-    best = q.unionByName(c).groupBy("block", "part").applyInPandas(cell, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
-    return _ranked(best, k)
+    q = queries.where("vec is not null").select("query_id", key.alias("key"), F.col("vec").cast("array<double>").alias("vec"))
+    c = chunks.where("vec is not null").select("chunk_id", key.alias("key"), F.col("vec").cast("array<double>").alias("vec"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    blocks = max(1, -(-(size["n"] * 8 * (size["d"] or 1)) // query_bytes))
+
+    def search(block: DataFrame) -> DataFrame:
+        asked = block.toPandas()  # query_bytes at most
+        ids, codes = asked["query_id"].to_numpy(), pd.Index(asked["key"].unique())
+        vectors, ok = _unit(asked["vec"]) if len(asked) else (np.zeros((0, 1)), np.zeros(0, bool))
+        ids, keys, vectors = ids[ok], codes.get_indexer(asked["key"])[ok], vectors[ok]
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = _Best(vectors, keys, k)
+            for b in batches:
+                for s in range(0, len(b) if len(ids) else 0, SCORED):
+                    part = b.iloc[s : s + SCORED]
+                    v, fits = _unit(part["vec"])
+                    own = codes.get_indexer(part["key"])
+                    fits &= own >= 0
+                    if fits.any():
+                        found.add(part["chunk_id"].to_numpy()[fits], own[fits], v[fits])
+            yield pd.DataFrame({"query_id": ids[found.held["q"].to_numpy(int)], "chunk_id": found.held["id"], "score": found.held["score"]})
+
+        return c.mapInPandas(best, schema)
+
+    out = None
+    for n in range(blocks):
+        one = search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else q)
+        out = one if out is None else out.unionByName(one)
+    return _ranked(out, k)
 
 
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, within: str | None = "keyword") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendspark.functions import text
+from trendspark.functions.lineage import checkpoint
 from trendspark.operators import chunks, dedup, evaluation, retrieval
 from trendspark.plans.common import channel_of, daily_sql, table
 from trendspark.plans.text_queries import KEYWORDS, NORM, ORACLE_CLEAN, POSTS, posts
@@ -254,8 +255,12 @@ pq as (select query_id, method, sum((rel >= 2)::int) / 5 as p2, sum((rel >= 1)::
 
 
 def ranked(spark, d):
+    """Results of three methods; the two searches run once, deep enough for the fused one, and their lists are written."""
     one = lambda df, m, r: df.where(F.col(r) <= K).select("query_id", F.lit(m).alias("method"), "chunk_id", F.col(r).alias("rank"))
-    return one(dense(spark, d), "dense", "rank").unionByName(one(sparse(spark, d), "sparse", "rank")).unionByName(one(hybrid(spark, d), "hybrid", "place"))
+    c, _, _, _ = base(spark, d)
+    de, sp = checkpoint(dense(spark, d)), checkpoint(sparse(spark, d))
+    good = retrieval.rrf_fuse([de, sp], 15).join(c.drop("vec"), "chunk_id").where(F.length(F.trim("text")) >= 30)
+    return checkpoint(one(de, "dense", "rank").unionByName(one(sp, "sparse", "rank")).unionByName(one(retrieval.topk_with_cap(good, K, 1), "hybrid", "place")))
 
 
 def grades(spark, d):
