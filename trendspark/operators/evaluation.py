@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.functions.order import numbered
+
 BY = ["query_id", "method"]
+HELD = 500_000  # differences that a row of the bootstrap holds
 
 
 def grade_results(ranked: DataFrame, grades: DataFrame) -> DataFrame:
@@ -90,18 +93,26 @@ def sensitivity(graded: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     return m.select("method", F.inline(F.array(*pairs)))
 
 
-def paired_bootstrap(diffs: DataFrame, draws: int = 2000, alpha: float = 0.05, seed: str = "0") -> DataFrame:
+def paired_bootstrap(diffs: DataFrame, draws: int = 2000, alpha: float = 0.05, seed: str = "0", block: int = HELD) -> DataFrame:
     """Mean, interval, wins and significance of paired differences (query_id, diff).
 
-    Draw b takes for its i-th place the difference of the position md5(seed:b:i) mod n; the
-    draws are distributed, and the positions are joined, so no draw is gathered in one task.
+    Draw b takes for its i-th place the difference of the position md5(seed:b:i) mod n. A draw is
+    one row that folds its places over the differences in order, held in blocks of bounded size; so
+    neither draws nor places are exploded or joined, and no task sorts all differences.
     """
-    ranked = diffs.withColumn("pos", F.row_number().over(Window.orderBy("query_id")) - 1)
+    ranked = numbered(diffs.select("query_id", "diff"), ["query_id"], "pos").select((F.col("pos") - 1).alias("pos"), F.col("diff").cast("double").alias("diff"))
     n = diffs.agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff"), F.count_if(F.col("diff") > 0).alias("wins"))
-    picks = diffs.sparkSession.range(draws).withColumnRenamed("id", "b").join(F.broadcast(n.select("n"))).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    means = picks.select("b", (h % F.col("n")).alias("pos")).join(ranked.select(F.col("pos").cast("long").alias("pos"), "diff"), "pos").groupBy("b").agg(F.avg("diff").alias("m"))
-    order = means.agg(F.array_sort(F.collect_list("m")).alias("ms"))  # one number a draw
+    size = ranked.count()
+    b, total = F.col("id").cast("string"), F.lit(size).cast("long")
+    place = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), b, i.cast("string"))), 1, 8), 16, 10).cast("long") % total
+    means = diffs.sparkSession.range(draws if size else 0).withColumn("s", F.lit(0.0))
+    for first in range(0, size, block):
+        part = ranked.where((F.col("pos") >= first) & (F.col("pos") < first + block))
+        values = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "diff"))), lambda x: x["diff"]).alias("values"))  # block numbers
+        start = F.lit(first)
+        fold = F.aggregate(F.sequence(F.lit(0).cast("long"), total - 1), F.col("s"), lambda s, i: s + F.coalesce(F.get("values", (place(i) - start).cast("int")), F.lit(0.0)))  # noqa: B023
+        means = means.join(F.broadcast(values)).withColumn("s", fold).drop("values")
+    order = means.agg(F.array_sort(F.collect_list(F.col("s") / total)).alias("ms"))  # one number a draw
     low, high = int(alpha / 2 * draws), min(int((1 - alpha / 2) * draws), draws - 1)
     out = n.join(F.broadcast(order)).select("n", "mean_diff", F.get("ms", F.lit(low)).alias("ci_low"), F.get("ms", F.lit(high)).alias("ci_high"), "wins")
     return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))

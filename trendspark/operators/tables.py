@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.functions.order import numbered
 from trendspark.functions.text import normalize
 
 # ------------------------------------------------------------------ identities
@@ -318,9 +319,9 @@ def stratified_sample(docs: DataFrame, n: int, suspects: list[str], order: Colum
 
 
 def queue_positions(queue: DataFrame) -> DataFrame:
-    """Place and estimated wait in minutes of the queued requests, oldest first (no time first); one task sorts the queue."""
-    q = queue.where("status = 'queued'")
-    return q.withColumn("position", F.row_number().over(Window.orderBy(F.col("requested_at").asc_nulls_first(), "_id"))).withColumns({"wait_least": F.col("position") * 20, "wait_most": F.col("position") * 40})
+    """Place and estimated wait in minutes of the queued requests, oldest first (no time first)."""
+    q = numbered(queue.where("status = 'queued'"), [F.col("requested_at").asc_nulls_first(), F.col("_id")], "position")
+    return q.withColumn("position", F.col("position").cast("int")).withColumns({"wait_least": F.col("position") * 20, "wait_most": F.col("position") * 40})
 
 
 # ------------------------------------------------------------------ keywords and jobs
@@ -387,8 +388,7 @@ def promote_keywords(counts: DataFrame, listed: DataFrame, least: int = 5, cap:
     """New keywords with enough documents join the daily list by count until it is full; the rest are marked 'cap'."""
     new = counts.where(F.col("n") >= least).join(listed.select("keyword"), "keyword", "left_anti")
     used = listed.agg(F.count("*").alias("used"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "keyword"))
-    return new.withColumn("rank", rank).join(F.broadcast(used)).select("keyword", "n", F.when(F.col("used") + F.col("rank") <= cap, "promoted").otherwise("cap").alias("outcome"))
+    return numbered(new, [F.desc("n"), F.col("keyword")], "rank").join(F.broadcast(used)).select("keyword", "n", F.when(F.col("used") + F.col("rank") <= cap, "promoted").otherwise("cap").alias("outcome"))
 
 
 def record_rejects(gated: DataFrame, now: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.functions.order import numbered
+
 # Fixed values of the scoring rules.
 MIN_POINTS = 7
 MIN_IQR = {"search": 2.0, "blog": 5.0, "cafe": 5.0, "third": 2.0}
@@ -204,12 +206,9 @@ def latest_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def rank_leaderboard(scores: DataFrame) -> DataFrame:
-    """Add rank: scored rows by falling score, then those without a score, both by keyword on ties.
-
-    Ranks are counted over all rows in one task, so it is meant for a table of one row a keyword.
-    """
+    """Add rank: scored rows by falling score, then those without a score, both by keyword on ties."""
     z = usable_z(scores)
-    return z.withColumn("rank", F.row_number().over(Window.orderBy(F.col("usable_z").isNull(), F.desc("usable_z"), "keyword")))
+    return numbered(z, [F.col("usable_z").isNull(), F.desc("usable_z"), F.col("keyword")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def leaderboard(keywords: DataFrame, scores: DataFrame, daily: DataFrame) -> DataFrame:
