@@ -1,5 +1,7 @@
 """The pipeline and its stages, each against the operator's decisions on the stage's own input."""
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ from trendspark.llm.common import table
 SMALL = "/root/testdata/sf0.001"
 
 
+def assert_targets_are_met(spark, docs):
+    """The pipeline's own targets, on what reaches its last stage; an unmet target warns, which is an error here."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        out = mixing.mixing_rates(docs, mixing.label_domains(table(spark, SMALL, "labels")), corpus_pipeline.TARGETS).toPandas()
+    for k, share in corpus_pipeline.TARGETS.items():
+        assert abs((out.n_tokens * out.rate * out[f"p_{k}"]).sum() / out.n_tokens.sum() - share) < 0.001
+    assert out.rate.min() > 0
+
+
 def test_stages_step_by_step(spark, tmp_path):
     docs = table(spark, SMALL, "documents")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -18,6 +30,8 @@ def test_stages_step_by_step(spark, tmp_path):
         new = spark.read.parquet(str(tmp_path / name))
         assert new.columns[:5] == corpus_pipeline.COLUMNS and (len(new.columns) == 5) == (k < 4)
         before_mixing = docs.count()
+        if name == "mixing":
+            assert_targets_are_met(spark, docs)
         ids, before = {r.doc_id for r in new.collect()}, {r.doc_id for r in docs.collect()}
         assert ids <= before and new.count() == len(ids)
         if name == "quality_rules":
