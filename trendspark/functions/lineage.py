@@ -1,17 +1,29 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and names for tables in the shared folder."""
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir; without one, only jobs in one process (tests) get a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without one, only jobs in one process (tests) get a temporary folder."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new name for tables in the shared folder."""
+    return f"{_shared(spark)}/tables-{uuid.uuid4().hex}"

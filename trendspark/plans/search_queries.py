@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendspark.functions import text
-from trendspark.functions.lineage import checkpoint
+from trendspark.functions.lineage import checkpoint, scratch
 from trendspark.operators import chunks, dedup, evaluation, retrieval
 from trendspark.plans.common import channel_of, daily_sql, table
 from trendspark.plans.text_queries import KEYWORDS, NORM, ORACLE_CLEAN, POSTS, posts
@@ -367,9 +367,32 @@ def st04(spark, d):
     return jobs.gate_against(e, e.where("event_type = 'error' and value > 95"), ["user_id"]).select("event_id")
 
 
-@query("st05_flag_bursts")
+@query("st05_flag_bursts", """with recursive h as (select (user_id % 20)::varchar as key, epoch_us(ts::timestamp) as hit, row_number() over (partition by user_id % 20 order by ts) as i from events),
+f as (
+  select distinct key, 0::bigint as i, null::bigint as hit, null::boolean as accepted, []::bigint[] as recent from h
+  union all
+  select key, i, hit, len(recent) < 5, case when len(recent) < 5 then list_append(recent, hit) else recent end
+  from (select h.key, h.i, h.hit, list_filter(f.recent, lambda r: r > h.hit - 3600000000) as recent from f join h on h.key = f.key and h.i = f.i + 1))
+select key, hit, accepted from f where i > 0""")
 def st05(spark, d):
-    return jobs.flag_bursts(table(spark, d, "events").select((F.col("user_id") % 20).alias("key"), "ts"), 5, 3600)
+    out = jobs.flag_bursts(table(spark, d, "events").select((F.col("user_id") % 20).alias("key"), "ts"), 5, 3600)
+    return out.select("key", F.unix_micros("ts").alias("hit"), "accepted")
+
+
+@query("st01_replayed_batches", f"""with {POSTS}, raw as (select doc_id, body from posts), {ORACLE_CLEAN},
+win as (select doc_id, i::int as i, substr(clean_content, i * 450 + 1, 500) as chunk from (select doc_id, clean_content, unnest(range(0, greatest(1, ceil((length(clean_content) - 50) / 450)::int))) as i from cleaned where length(clean_content) > 0))
+select doc_id as parent_id, row_number() over (partition by doc_id order by i)::int - 1 as chunk_index, chunk
+from win where length(trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 30 and doc_id % 5 <> 0""")
+def st01(spark, d):
+    """Two micro-batches and a compaction: the first has old texts of every document with an even id, the second the true ones of all, and none of every fifth; the second comes twice."""
+    p = posts(spark, d).select(F.col("doc_id").alias("_id"), "keyword", "source", F.lit("").alias("url"), "title", F.col("body").alias("content"))
+    out = scratch(spark)
+    jobs.commit_chunks(p.where("_id % 2 = 0").withColumn("content", F.concat(F.lit("an older version of this text: "), "content")), 0, out, False, False)
+    jobs.compact_chunks(spark, out)
+    second = p.withColumn("content", F.when(F.col("_id") % 5 == 0, "").otherwise(F.col("content")))
+    for _ in range(2):
+        jobs.commit_chunks(second, 1, out, False, False)
+    return jobs.latest_chunks(spark, out).select("parent_id", "chunk_index", "chunk")
 
 
 @query("s07_build_points")
