@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trendspark.functions import text, urls
+from trendspark.functions.order import numbered
 from trendspark.operators import candidates, chunks, dedup, evaluation, gates, retrieval, tables
 from trendspark.sources import io
 from trendspark.streaming import jobs
@@ -52,11 +53,41 @@ def test_urls(spark):
     assert tuple(i) == ("x.tistory.com", "/한", "a=1")
 
 
+def split_directly(text, size=500, overlap=50, separators=("\n\n", "\n", ". ", " ", "")):
+    """The splitting rule as lists of pieces, one text at a time."""
+    level = next(i for i, x in enumerate(separators) if x == "" or x in text)
+    sep, finer = separators[level], separators[level + 1 :]
+    parts = text.split(sep) if sep else list(text)
+    out, held = [], []
+    for piece in [p for p in [parts[0], *[sep + p for p in parts[1:]]] if p]:
+        if len(piece) >= size and finer:
+            out += ["".join(held).strip(), *split_directly(piece, size, overlap, finer)]
+            held = []
+            continue
+        if held and len("".join(held)) + len(piece) > size:
+            out.append("".join(held).strip())
+            while held and (len("".join(held)) > overlap or len("".join(held)) + len(piece) > size):
+                held.pop(0)
+        held.append(piece)
+    return [x for x in [*out, "".join(held).strip()] if x]
+
+
+def test_recursive_chunks_are_those_of_the_rule(spark):
+    rng = np.random.default_rng(5)
+    bits = ["a", "bb ", "ccc. ", "dd\n", "\n\n", "é漢 ", "😀", "x" * 30, "  ", ". ", "\u3000", "y" * 70, "\x1c", "word "]
+    texts = ["".join(bits[int(i)] for i in rng.integers(0, len(bits), int(n))) for n in rng.integers(0, 60, 150)] + ["x" * 1300, "word " * 700, "a" * 500, "a" * 501, ("s. " * 300 + "\n\n") * 3, "q" * 499 + " " + "z" * 500, None]
+    for size, overlap in ((500, 50), (40, 10)):
+        got = chunks.chunk_recursive(spark.createDataFrame(list(enumerate(texts)), "i int, part string"), "part", size, overlap).orderBy("piece_index").collect()
+        for i, t in enumerate(texts):
+            assert [r.chunk for r in got if r.i == i] == (split_directly(t, size, overlap) if t else [])
+
+
 def test_chunks(spark):
     t = ("word " * 30 + ". ") * 30
-    pieces = chunks.split_text(t)
-    assert all(len(p) <= 500 for p in pieces) and all(p in t for p in pieces)
-    assert chunks.split_text("x" * 1200)[0] == "x" * 500
+    split = lambda *texts: [r.chunk for r in chunks.chunk_recursive(spark.createDataFrame([(x,) for x in texts], "part string")).orderBy("piece_index").collect()]
+    pieces = split(t)
+    assert pieces == split_directly(t) and all(len(p) <= 500 for p in pieces) and all(p in t for p in pieces)
+    assert split("x" * 1200)[0] == "x" * 500 and split(None, "", " \n ") == []
     docs = spark.createDataFrame([("d", "k", "s", "u", "t", "body k " * 20 + "\n\n[댓글]\n" + "대출 급전 사채 카톡 " * 5)], "_id string, keyword string, source string, url string, title string, content string")
     rows = chunks.process_documents(docs).collect()
     assert [r.content_type for r in rows] == ["body"] and rows[0].chunk_index == 0 and rows[0].is_relevant
@@ -122,7 +153,7 @@ def test_fixture_round_trip(spark, tmp_path):
 
 def test_runs_are_appended(spark, tmp_path):
     for i in (1, 2):
-        io.append_run(spark.createDataFrame([(i, "c")], "run int, config string"), str(tmp_path / "runs"))
+        io.append_run(spark.createDataFrame([(i, "c")], "run int, config string"), str(tmp_path / "runs"), f"run {i}")
     assert io.read_runs(spark, str(tmp_path / "runs"), "run int, config string").count() == 2
     io.write_metrics(spark.createDataFrame([("q", 0.5)], "query string, p double"), str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).columns == ["query", "p"]
@@ -317,3 +348,134 @@ def test_dense_topk_grid(spark, monkeypatch):
             for r in sorted(retrieval.dense_topk(asked, chunks_, 5, within).collect(), key=lambda r: r["rank"]):
                 got.setdefault((int(r.query_id), within), []).append(r.chunk_id)
             assert got == {k: x for k, x in plain.items() if k[1] == within}
+
+
+def test_dense_search_in_blocks_of_queries(spark):
+    """Any number of query blocks and parts gives the same: ties by id, keys, null and zero vectors, fewer chunks than k."""
+    rng = np.random.default_rng(6)
+    vecs = [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(400)]
+    rows = [(f"c{i:03d}", f"k{i % 3}", None if i % 41 == 0 else v) for i, v in enumerate(vecs)]
+    asks = [(i, f"k{i % 4}", None if i == 9 else v) for i, v in enumerate(vecs[:40])]
+    c = spark.createDataFrame(rows, "chunk_id string, keyword string, vec array<float>").repartition(5)
+    q = spark.createDataFrame(asks, "query_id int, keyword string, vec array<double>")
+
+    def brute(within):
+        out = set()
+        for qi, qk, qv in asks:
+            if qv is None or not any(qv):
+                continue
+            scored = sorted((-round(float(np.dot(qv, v) / (np.linalg.norm(qv) * np.linalg.norm(v))), 9), i) for i, k, v in rows if v and any(v) and (not within or k == qk))
+            out |= {(qi, i, r + 1) for r, (_, i) in enumerate(scored[:7])}
+        return out
+
+    for within in (None, "keyword"):
+        for size in (16 << 20, 24 * 7):
+            got = retrieval.dense_topk(q, c, 7, within, size)
+            assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == brute(within)
+    plan = retrieval.dense_topk(q, c, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and retrieval.dense_topk(q.limit(0), c, 7).count() == retrieval.dense_topk(q, c.limit(0), 7).count() == 0
+
+
+def test_global_positions(spark):
+    rng = np.random.default_rng(8)
+    values = [None if x == 7 else int(x) for x in rng.integers(0, 50, 500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v int").repartition(6)
+    got = {r.id: r.place for r in numbered(df, [F.desc_nulls_last("v"), F.col("id")], "place").collect()}
+    order = sorted(range(500), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert [got[i] for i in order] == list(range(1, 501))
+    assert numbered(df.limit(0), [F.col("id")], "place").count() == 0
+    for ranked in (numbered(df, [F.col("v"), F.col("id")], "place"), evaluation.paired_bootstrap(df.select(F.col("id").alias("query_id"), F.coalesce("v", F.lit(0)).alias("diff")), 10)):
+        assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_bootstrap_in_blocks(spark):
+    d = spark.createDataFrame([(i, float(i * i % 17) - 7) for i in range(101)], "query_id int, diff double")
+    one, many = (evaluation.paired_bootstrap(d, 60, block=n).first() for n in (1000, 9))
+    assert one.n == 101 and all(abs(a - b) < 1e-9 if isinstance(a, float) else a == b for a, b in zip(one, many))
+    assert evaluation.paired_bootstrap(d.limit(0), 20).first().n == 0
+
+
+def test_burst_state_goes_and_late_rows(spark, tmp_path):
+    """Timers remove the state of keys whose hits can't count any more; a late row counts the accepted hits before it only."""
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [[(f"k{i}", at(0, i)) for i in range(20)], [("late", at(5)), ("z", at(5))], [("late", at(4, 55)), ("late", at(5, 1)), ("z", at(5, 2)), ("k1", at(0, 2))], [("z", at(12))], [("z", at(13))]]
+    schema = "key string, ts timestamp"
+    seen = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.flag_bursts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1, 600, delay="10 minutes")
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        seen.append([p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators][-1])
+    assert seen[0] == 20 and seen[-1] <= 1
+    got = {(r.key, r.ts): r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["late", at(5)] and got["late", at(4, 55)] and not got["late", at(5, 1)] and not got["z", at(5, 2)]
+    assert ("k1", at(0, 2)) not in got  # later than the delay
+
+
+def test_stream_store_counts_what_is_committed(spark, tmp_path):
+    """A folder without its line in the manifest doesn't count, repeats change nothing, compaction keeps what counts and is read instead."""
+    schema = "_id string, keyword string, source string, url string, title string, content string"
+    row = lambda i, text: (str(i), "k", "s", "u", "t", f"k {text} {i} " * 40 if text else "")
+    out = str(tmp_path)
+    rows = lambda df: sorted((r.parent_id, r.chunk_index, r.chunk) for r in df.collect())
+    batch = lambda *r: spark.createDataFrame(list(r), schema)
+    jobs.commit_chunks(batch(row(1, "one"), row(2, "two")), 0, out)
+    jobs.commit_chunks(batch(row(2, "new"), row(3, "three")), 1, out)
+    want = rows(chunks.process_documents(batch(row(1, "one"), row(2, "new"), row(3, "three"))))
+    assert rows(jobs.latest_chunks(spark, out)) == want
+    chunks.process_documents(batch(row(1, "torn"))).write.parquet(f"{out}/data/epoch=2")  # no line in the manifest yet
+    jobs.commit_chunks(batch(row(2, "new"), row(3, "three")), 1, out)
+    assert rows(jobs.latest_chunks(spark, out)) == want
+    jobs.compact_chunks(spark, out)
+    assert [e for e, _ in jobs.committed(spark, out)] == [1] and rows(jobs.latest_chunks(spark, out)) == want
+    jobs.commit_chunks(batch(row(1, "")), 2, out)
+    jobs.commit_chunks(batch(row(1, "again")), 0, out)  # a replay from before the compaction
+    assert rows(jobs.latest_chunks(spark, out)) == [r for r in want if r[0] != "1"]
+    jobs.compact_chunks(spark, out)
+    assert len(jobs.committed(spark, out)) == 1 and rows(jobs.latest_chunks(spark, out)) == [r for r in want if r[0] != "1"]
+
+
+def test_runs_are_appended_once(spark, tmp_path):
+    run = spark.createDataFrame([("c", 1.0)], "config string, score double")
+    for run_id in ("a/1", "b", "a/1"):
+        io.append_run(run, str(tmp_path / "r"), run_id)
+    assert sorted(r.run_id for r in io.read_runs(spark, str(tmp_path / "r"), "config string, score double").collect()) == ["a/1", "b"]
+
+
+def test_facets_with_near_duplicates(spark):
+    """The merge in order, with a ratio of its own: longest common blocks, left and right of each other."""
+
+    def matched(a, b):
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        return n + matched(a[:i], b[:j]) + matched(a[i + n :], b[j + n :]) if n else 0
+
+    rng = np.random.default_rng(2)
+    base = ["the quick brown fox jumps", "an older grey dog sleeps", "seven red kites fly high"]
+    rows = [("k", f, r, f"facet{f}", int(i), f"s{int(i) % 3}", base[int(i) % 3] + "!?. "[int(i) % 4] * int(i) if i % 5 else f"text {i} of its own, {i * 7919}") for f in range(4) for r, i in enumerate(rng.permutation(14)[:7])]
+    hits = spark.createDataFrame(rows, "keyword string, facet_no int, rank int, facet string, chunk_id int, source string, text string")
+    first = {}
+    for _, f, r, _, i, source, t in sorted(rows, key=lambda x: (x[1], x[2])):
+        first.setdefault(i, (source, t.strip()))
+    kept, later, counts = [], [], {}
+    similar = lambda t: any(2 * matched(t, o) / (len(t) + len(o)) >= 0.8 for _, o, _ in kept)
+    for i, (source, t) in first.items():
+        if similar(t):
+            continue
+        if counts.get(source, 0) >= 2:
+            later.append((i, t))
+        else:
+            counts[source] = counts.get(source, 0) + 1
+            kept.append((i, t, False))
+    for i, t in later:
+        if len(kept) < 5 and not similar(t):
+            kept.append((i, t, True))
+    got = retrieval.merge_facets(hits, cap=2, least=5, near=0.8).orderBy("place").collect()
+    assert [(r.chunk_id, r.deferred) for r in got] == [(i, d) for i, _, d in kept]

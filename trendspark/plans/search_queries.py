@@ -8,7 +8,8 @@ from trendspark.functions import text
 from trendspark.functions.lineage import checkpoint, scratch
 from trendspark.operators import chunks, dedup, evaluation, retrieval
 from trendspark.plans.common import channel_of, daily_sql, table
-from trendspark.plans.text_queries import KEYWORDS, NORM, ORACLE_CLEAN, POSTS, posts
+from trendspark.plans.text_queries import HOST, KEYWORDS, NORM, ORACLE_CLEAN, PATH, POSTS, posts
+from trendspark.sources import io
 from trendspark.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -40,7 +41,36 @@ def t07(spark, d):
     return windows(spark, d)
 
 
-@query("t07_chunk_recursive")
+def _level_sql(k: int, sep: str) -> str:
+    """Pieces of the texts of level k, and a recursion from chunk to chunk: the next one starts at the first piece that leaves room for the piece after the last."""
+    own = "p.id = {0}.id and p.path = {0}.path and p.run = {0}.run"
+    return f"""
+lu{k} as (select id, path, unnest(string_split(text, {sep})) as part, generate_subscripts(string_split(text, {sep}), 1) as i from lt{k}),
+lv{k} as (select id, path, i, case when i = 1 then part else {sep} || part end as piece from lu{k}),
+lw{k} as (select id, path, i, piece, length(piece) as n, (sum(length(piece)) over (partition by id, path order by i))::int as e, length(piece) >= 500 as deep from lv{k} where piece <> ''),
+lp{k} as (select *, e - n as s, coalesce(sum(deep::int) over (partition by id, path order by i rows between unbounded preceding and 1 preceding), 0)::int as run from lw{k}),
+lt{k + 1} as (select id, list_append(path, s) as path, piece as text from lp{k} where deep),
+la{k} as (select id, path, run, min(s) as s from lp{k} where not deep group by all),
+lf{k} as (
+  select a.id, a.path, a.run, a.s, max(p.e) as e from la{k} a join lp{k} p on {own.format('a')} and not p.deep and p.e <= a.s + 500 group by all
+  union all
+  select x.id, x.path, x.run, x.s, max(p.e) from (
+    select f.id, f.path, f.run, min(p.s) as s from lf{k} f join lp{k} nx on nx.id = f.id and nx.path = f.path and nx.run = f.run and not nx.deep and nx.s = f.e
+    join lp{k} p on {own.format('f')} and not p.deep and p.s between greatest(f.s, f.e - least(50, 500 - nx.n)) and f.e group by f.id, f.path, f.run, f.e) x
+  join lp{k} p on {own.format('x')} and not p.deep and p.s >= x.s and p.e <= x.s + 500 group by x.id, x.path, x.run, x.s),
+lc{k} as (select f.id, list_append(f.path, f.s) as path, substr(t.text, f.s + 1, f.e - f.s) as chunk from lf{k} f join lt{k} t on t.id = f.id and t.path = f.path)"""
+
+
+def recursive_sql(source: str) -> str:
+    """Tables that end in pieces(id, piece_index, chunk); source: the text of a table (id, text)."""
+    seps = ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"]
+    white = " || ".join(f"chr({ord(c)})" for c in chunks.WHITE)
+    return f"""lt0 as (select id, []::int[] as path, text from ({source}) where length(text) > 0),{','.join(_level_sql(k, s) for k, s in enumerate(seps))},
+lc4 as (select id, list_append(path, i::int) as path, substr(text, i * 450 + 1, 500) as chunk from (select *, unnest(range(0, greatest(1, ceil((length(text) - 50) / 450)::int))) as i from lt4)),
+pieces as (select id, row_number() over (partition by id order by path)::int - 1 as piece_index, trim(chunk, {white}) as chunk from ({' union all '.join(f'select * from lc{k}' for k in range(5))}) where trim(chunk, {white}) <> '')"""
+
+
+@query("t07_chunk_recursive", f"with recursive {recursive_sql('select doc_id as id, text from documents')} select id as doc_id, piece_index, chunk from pieces")
 def t07r(spark, d):
     return chunks.chunk_recursive(table(spark, d, "documents").select("doc_id", "text"), "text")
 
@@ -61,6 +91,17 @@ def m12(spark, d):
     return chunks.process_documents(p, recursive=False, nfc=False).select("parent_id", "chunk_index", "chunk", "is_relevant", "relevance_position")
 
 
+@query("m12_process_documents_default", f"""with recursive {POSTS}, raw as (select doc_id, body from posts), {ORACLE_CLEAN},
+{recursive_sql('select doc_id as id, clean_content as text from cleaned')},
+n as (select c.doc_id, {NORM.format(c='keyword')} as k, {NORM.format(c='title')} as t, {NORM.format(c='clean_content')} as b from cleaned c join posts using (doc_id))
+select doc_id as parent_id, row_number() over (partition by doc_id order by piece_index)::int - 1 as chunk_index, chunk, contains(t, k) or contains(b, k) as is_relevant,
+  case when contains(t, k) then 'title' when not contains(b, k) then 'none' when strpos(b, k) - 1 < 200 then 'early' else 'late' end as relevance_position
+from pieces join n on n.doc_id = pieces.id where length(trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 30""")
+def m12_default(spark, d):
+    p = posts(spark, d).select(F.col("doc_id").alias("_id"), "keyword", "source", F.lit("").alias("url"), "title", F.col("body").alias("content"))
+    return chunks.process_documents(p).select("parent_id", "chunk_index", "chunk", "is_relevant", "relevance_position")
+
+
 # ------------------------------------------------------------------ near duplicates
 
 
@@ -226,7 +267,25 @@ def r09(spark, d):
     return _evidence(spark, d).select("query_id", "place", "url", "text")
 
 
-@query("r10_supplement_evidence")
+#: A second fold, over the evidence of thin queries with the fitting pages before it; posts are told by host, path and query of their links.
+SUPPLEMENT_SQL = f"""{BUDGET_SQL}, due as (select query_id from evidence group by 1 having sum(length(text)) < 7900 or max(length(text)) < 500),
+web as (select 'q_' || (page_id % 10 * 50) as query_id, page_id % 100 / 100 as score, page_id as rank, url, regexp_replace(html, '<[^>]+>', ' ', 'g') as text from pages),
+more as (select query_id, rank - 1000000 as rank, url, text from web where score >= 0.3 and regexp_matches(url, '^(?i:https?)://[^/?#]+') and contains({NORM.format(c='text')}, 'the') and length(text) >= 500 and query_id in (select query_id from due)),
+items as (select *, row_number() over (partition by query_id order by rank) as i, {HOST.format(u='url')} || '|' || regexp_replace({PATH.format(u='url')}, '/+$', '') || '|' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) as key
+  from (select query_id, rank, trim(url) as url, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from (select query_id, place as rank, url, text from evidence union all select * from more)) where trim(text) <> ''),
+fold2(query_id, i, keys, urls, texts, total) as (
+  select query_id, 0, []::varchar[], []::varchar[], []::varchar[], 0 from (select distinct query_id from items)
+  union all
+  select query_id, i2, case when skip or p0 is not null then keys else list_append(keys, key) end, case when skip or p0 is not null then urls else list_append(urls, url) end,
+    case when skip then texts when p0 is null then list_append(texts, piece) else list_transform(texts, lambda x, j: case when j = p0 then x || piece else x end) end, case when skip then total else total + length(piece) end
+  from (select *, left(case when had <> '' then chr(10) || chr(10) else '' end || text, greatest(0, least(1800 - length(had), 8000 - total))) as piece,
+      total >= 8000 or (p0 is null and len(urls) >= 6) or (had <> '' and contains(had, text)) as skip
+    from (select f.query_id, b.i as i2, keys, urls, texts, total, b.key, b.url, b.text, list_position(keys, b.key) as p0, coalesce(texts[list_position(keys, b.key)], '') as had from fold2 f join items b on b.query_id = f.query_id and b.i = f.i + 1))),
+last2 as (select * from fold2 qualify row_number() over (partition by query_id order by i desc) = 1),
+ev2 as (select query_id, unnest(range(1, len(urls) + 1))::int as place, urls, texts from last2)"""
+
+
+@query("r10_supplement_evidence", f"with recursive {SUPPLEMENT_SQL} select query_id, place, urls[place] as url, length(texts[place])::int as n_chars from ev2 where texts[place] <> ''")
 def r10(spark, d):
     from trendspark.operators import tables
 
@@ -395,6 +454,49 @@ def st01(spark, d):
     return jobs.latest_chunks(spark, out).select("parent_id", "chunk_index", "chunk")
 
 
+# ------------------------------------------------------------------ files, read back from where they were written
+
+
+@query("s02_fixture_round_trip", "select 'd' || doc_id as _id, lang as keyword, source, text as content, (1700000000 + doc_id * 86400)::bigint as published, doc_id % 3 = 0 as is_embedded from documents where lang = 'en'")
+def s02(spark, d):
+    docs = table(spark, d, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("_id"), F.col("lang").alias("keyword"), "source", F.lit(None).cast("string").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"),
+        F.lit(None).cast("double").alias("score"), F.timestamp_seconds(1_700_000_000 + F.col("doc_id") * 86_400).alias("published_date"), F.lit(None).cast("timestamp").alias("crawled_at"), (F.col("doc_id") % 3 == 0).alias("is_embedded"),
+    )
+    at = scratch(spark)
+    for _ in range(2):  # a second dump replaces the first
+        io.write_fixture(docs, at, keyword="en")
+    return io.read_fixture(spark, at).select("_id", "keyword", "source", "content", F.unix_seconds("published_date").alias("published"), "is_embedded")
+
+
+@query("s03_keyword_lines", "select trim(source) || doc_id as keyword from documents where doc_id % 3 = 0")
+def s03(spark, d):
+    name = F.concat("source", F.col("doc_id").cast("string"))
+    lines = F.array(F.concat(F.lit("  "), name, F.lit(" ")), F.lit("   "), F.concat(F.lit("# "), name))
+    at = scratch(spark)
+    table(spark, d, "documents").select(F.get(lines, (F.col("doc_id") % 3).cast("int")).alias("line")).write.text(at)
+    return io.read_keywords(spark, at, comments=True)
+
+
+@query("s10_metrics_round_trip", f"with {EVAL} select query_id, method, p2 as precision, mean_rel, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg from pq")
+def s10(spark, d):
+    at, metrics = scratch(spark), checkpoint(e09(spark, d))
+    for _ in range(2):
+        io.write_metrics(metrics, at)
+    return spark.read.schema("query_id string, method string, precision double, mean_rel double, mrr double, ndcg double").option("header", True).csv(at)
+
+
+@query("s12_appended_runs", """select run_id, 'k=' || k as config, count(*) as n_docs, sum(length(text)) as n_chars from documents, (values ('2024-01-01T00:00', 5), ('2024-01-02 run/b', 7)) r(run_id, k)
+where doc_id % k = 0 group by all""")
+def s12(spark, d):
+    at = scratch(spark)
+    docs = table(spark, d, "documents")
+    for run_id, k in (("2024-01-01T00:00", 5), ("2024-01-02 run/b", 7), ("2024-01-01T00:00", 5)):  # the first is tried twice
+        one = docs.where(F.col("doc_id") % k == 0).agg(F.lit(f"k={k}").alias("config"), F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+        io.append_run(one, at, run_id)
+    return io.read_runs(spark, at, "config string, n_docs bigint, n_chars bigint").select("run_id", "config", "n_docs", "n_chars")
+
+
 @query("s07_build_points")
 def s07(spark, d):
     def encoder(texts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,13 +90,14 @@ def write_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_run(run: DataFrame, path: str) -> None:
-    """One record of configuration and results for each evaluation run."""
-    run.write.mode("append").json(path)
+def append_run(run: DataFrame, path: str, run_id: str) -> None:
+    """One record of configuration and results for each evaluation run; a run that is written again replaces its own record and no other."""
+    run.drop("run_id").write.mode("overwrite").json(f"{path}/run_id={quote(run_id, safe='')}")
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """All records, with their run_id (a string)."""
+    return spark.read.schema(f"{schema}, run_id string").json(path)
 
 
 def usable_labels(labels: DataFrame, column: str = "human_label") -> DataFrame:
