@@ -86,7 +86,8 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None
                     fits &= own >= 0
                     if fits.any():
                         found.add(part["chunk_id"].to_numpy()[fits], own[fits], v[fits])
-            yield pd.DataFrame({"query_id": ids[found.held["q"].to_numpy(int)], "chunk_id": found.held["id"], "score": found.held["score"]})
+            if len(found.held):
+                yield pd.DataFrame({"query_id": ids[found.held["q"].to_numpy(int)], "chunk_id": found.held["id"], "score": found.held["score"]})
 
         return c.mapInPandas(best, schema)
 
