@@ -50,6 +50,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect what a loop's plans leave: Spark lets broadcasts, shuffle files and buffers go only when their handles are collected, which a driver with room to spare puts off."""
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c):
     """A-Z only; `lower` is used where the text has no other letters, as it is faster."""
     plain = F.length(c) == F.octet_length(c)

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import SPACE, SPACE_CHARS, checkpoint, table, words
+from trendspark.llm.common import SPACE, SPACE_CHARS, checkpoint, release, table, words
 
 WINDOW = 8
 # statistic -> least standard deviation that an estimate may have where no noise is given; keeps constant statistics regular
@@ -278,6 +278,7 @@ def fit_mcd(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, min
             params = concentrate(points, params, p, hint)
         rank = F.row_number().over(Window.partitionBy("__key").orderBy("logdet", "start"))
         params = checkpoint(params.withColumn("__r", rank).where("__r = 1").drop("__r"))
+        release(stats.sparkSession)
         for _ in range(MAX_STEPS):
             params = concentrate(points, params, p, hint)
             if (params.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0) < TOLERANCE:
@@ -285,7 +286,9 @@ def fit_mcd(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, min
         inside = _near(points, hint(params), p).where(F.col("d2") <= chi2_quantile(0.975, p))
         last = _estimate(_sums(inside, ["__key", "start"], p), hint(params), p, f"{0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2)}D")
         last = last.withColumnRenamed("before", "mcd_logdet").drop("start", *_each("f_{i}", p))
-        return checkpoint(pools.join(hint(last), "__key").join(hint(scales), "__key"))
+        model = checkpoint(pools.join(hint(last), "__key").join(hint(scales), "__key"))
+        release(stats.sparkSession)
+        return model
 
 
 def mcd_distances(stats: DataFrame, model: DataFrame, group_cols: list[str]) -> DataFrame:
