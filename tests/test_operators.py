@@ -327,7 +327,7 @@ def test_entities(spark):
     assert value(spark, text.unescape_all(F.col("t")), t="a &lt;b&gt; &amp; c") == "a <b> & c"
 
 
-def test_dense_topk_grid(spark, monkeypatch):
+def test_dense_topk_of_blocks_and_parts(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(60, 4)).round(1)
     v[7] = 0
@@ -340,12 +340,10 @@ def test_dense_topk_grid(spark, monkeypatch):
             ids = [i for i in range(60) if i != 7 and (not within or i % 3 == q % 3)]
             cos = {i: round(float(v[i] @ v[q] / np.linalg.norm(v[i]) / np.linalg.norm(v[q])), 9) for i in ids}
             plain[q, within] = sorted(ids, key=lambda i: (-cos[i], i))[:5]
-    for block, part in ((2048, 20_000), (2, 7)):
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
-        monkeypatch.setattr(retrieval, "CHUNK_PART", part)
+    for size, parts in ((16 << 20, 1), (4 * 8 * 2, 7)):
         for within in (None, "keyword"):
             got = {}
-            for r in sorted(retrieval.dense_topk(asked, chunks_, 5, within).collect(), key=lambda r: r["rank"]):
+            for r in sorted(retrieval.dense_topk(asked, chunks_.repartition(parts), 5, within, size).collect(), key=lambda r: r["rank"]):
                 got.setdefault((int(r.query_id), within), []).append(r.chunk_id)
             assert got == {k: x for k, x in plain.items() if k[1] == within}
 
@@ -384,8 +382,9 @@ def test_global_positions(spark):
     order = sorted(range(500), key=lambda i: (values[i] is None, -(values[i] or 0), i))
     assert [got[i] for i in order] == list(range(1, 501))
     assert numbered(df.limit(0), [F.col("id")], "place").count() == 0
+    # no window over all rows, which one task would sort
     for ranked in (numbered(df, [F.col("v"), F.col("id")], "place"), evaluation.paired_bootstrap(df.select(F.col("id").alias("query_id"), F.coalesce("v", F.lit(0)).alias("diff")), 10)):
-        assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bootstrap_in_blocks(spark):

@@ -103,7 +103,7 @@ def paired_bootstrap(diffs: DataFrame, draws: int = 2000, alpha: float = 0.05, s
     ranked = numbered(diffs.select("query_id", "diff"), ["query_id"], "pos").select((F.col("pos") - 1).alias("pos"), F.col("diff").cast("double").alias("diff"))
     n = diffs.agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff"), F.count_if(F.col("diff") > 0).alias("wins"))
     size = ranked.count()
-    b, total = F.col("id").cast("string"), F.lit(size).cast("long")
+    b, total = F.col("id").cast("string"), F.lit(max(size, 1)).cast("long")
     place = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), b, i.cast("string"))), 1, 8), 16, 10).cast("long") % total
     means = diffs.sparkSession.range(draws if size else 0).withColumn("s", F.lit(0.0))
     for first in range(0, size, block):
