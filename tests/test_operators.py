@@ -312,6 +312,21 @@ def test_cross_df_of_a_long_list_is_the_same(spark, monkeypatch):
     short = sorted(map(str, tables.cross_df(docs, words).collect()))
     monkeypatch.setattr(tables, "LISTED", 0)
     assert sorted(map(str, tables.cross_df(docs, words).collect())) == short
+    many = spark.createDataFrame([(f"k{i % 7}", f"text of k{i % 40} and k{i % 13}") for i in range(300)] + [("k1", None), ("k2", "k3"), ("k2", "k3")], "keyword string, norm string")
+    listed = spark.createDataFrame([(f"k{i}", f"k{i}") for i in range(45)] + [("own", "of")], "keyword string, norm string")
+    long = sorted(map(str, tables.cross_df(many, listed).collect()))
+    monkeypatch.undo()
+    assert sorted(map(str, tables.cross_df(many, listed).collect())) == long
+
+
+def test_headings_of_an_answer(spark):
+    answer = "\n**1) 의미**: \n 첫째다. \n\n## 2. 유행  이유\n둘째요 [자료 1]\n3. 사용법\n셋째임\n### 4. **확인된 사용맥락**\n넷째!\n\n"
+    unified = "### 1. 의미\n\n첫째다.\n\n### 2. 유행 이유\n\n둘째요 [자료 1]\n\n### 3. 사용법\n\n셋째임\n\n### 4. 확인된 사용 맥락\n\n넷째!"
+    get = lambda t: value(spark, text.unify_headings(F.col("t")), t=t)
+    assert get(answer) == unified and get(unified) == unified
+    assert get(answer + "#### 5) 트렌드맥락:\n\t식었다. ") == unified + "\n\n### 5. 트렌드 맥락\n\n식었다."
+    assert get(answer + "5. 트렌드 맥락\n식었 그리고") is None and get(answer.replace("셋째임", "셋째")) is None and get(answer.replace("3.", "2.")) is None
+    assert get("") is None and value(spark, text.unify_headings(F.lit(None).cast("string")), t="x") is None
 
 
 def test_dates_by_source(spark):

@@ -208,19 +208,34 @@ def link_citations(c: Column, n: Column) -> Column:
 TREND_HEAD = r"(?m)^(?:#{1,6}[ \t]*)?(?:\*\*)?5[.)][ \t]*(?:\*\*)?트렌드[ \t]*맥락(?:\*\*)?[ \t]*[:：]?[ \t]*(?:\n|$)?"
 SECTION_HEAD = r"(?m)^(?:#{1,6}\s*)?(?:\*\*)?([1-4])[.)]\s*(?:\*\*)?(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)(?:\*\*)?\s*[:：]?[ \t]*\n?"
 SENTENCE_END = r"""[.!?다요죠음함됨임][ \n\t*`"'’”)\]]*$"""
+SECTION_NAMES = ["의미", "유행 이유", "사용법", "확인된 사용 맥락"]
+TREND_NAME = "트렌드 맥락"
+
+
+def _answer_parts(c: Column) -> tuple[Column, Column, Column]:
+    """Numbers of the headings, the texts below them, and the trend part (null without one)."""
+    parts = F.split(F.coalesce(c, F.lit("")), TREND_HEAD, 2)
+    body = F.trim(F.get(parts, F.lit(0)), F.lit(" \n\t"))
+    return F.regexp_extract_all(body, F.lit(SECTION_HEAD), 1), F.slice(F.split(body, SECTION_HEAD, -1), 2, 4), F.get(parts, F.lit(1))
 
 
 def audit_answer(c: Column) -> Column:
     """'ok', or why an answer is incomplete: its four headings in order, and each part's end."""
-    c = F.coalesce(c, F.lit(""))
-    parts = F.split(c, TREND_HEAD, 2)
-    body, extra = F.trim(F.get(parts, F.lit(0)), F.lit(" \n\t")), F.get(parts, F.lit(1))
-    heads = F.regexp_extract_all(body, F.lit(SECTION_HEAD), 1)
-    texts = F.slice(F.split(body, SECTION_HEAD, -1), 2, 4)
+    heads, texts, extra = _answer_parts(c)
     whole = lambda t: F.rlike(F.regexp_replace(t, CITATION, ""), F.lit(SENTENCE_END))
     return F.when(F.concat_ws(",", heads) != "1,2,3,4", "headings").when(~F.forall(texts, whole), "cut_off").when(extra.isNotNull() & ~whole(extra), "trend_cut_off").otherwise("ok")
 
 
+def unify_headings(c: Column) -> Column:
+    """An answer that passes the audit, with its parts trimmed under headings of one form; null for others."""
+    _, texts, extra = _answer_parts(c)
+    below = lambda number, name, t: F.concat(F.lit("### "), number.cast("string"), F.lit(". "), name, F.lit("\n\n"), F.trim(t, F.lit(" \t\r\n\x0b\x0c")))
+    names = F.array(*map(F.lit, SECTION_NAMES))
+    sections = F.transform(texts, lambda t, i: below(i + 1, F.get(names, i), t))
+    trend = F.array_compact(F.array(below(F.lit(5), F.lit(TREND_NAME), extra)))
+    return F.when(audit_answer(c) == "ok", F.array_join(F.concat(sections, trend), "\n\n"))
+
+
 def audit_trend_claims(text: Column, date: Column, status: Column, scores: Column) -> Column:
     """'ok' or the mismatch: the trend part names the date and status, and its z values are scores to their printed decimals."""
     part = F.replace(F.get(F.split(F.coalesce(text, F.lit("")), TREND_HEAD, 2), F.lit(1)), F.lit("**"), F.lit(""))

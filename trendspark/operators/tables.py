@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.functions.lineage import checkpoint
 from trendspark.functions.order import numbered
 from trendspark.functions.text import normalize
 
@@ -123,7 +124,8 @@ def cross_df(docs: DataFrame, keywords: DataFrame, text: str = "norm", demote: f
     docs: (keyword, norm); keywords: (keyword, norm). A list of at most LISTED keywords and LISTED_CHARS
     characters is broadcast as one array: the documents are scanned once, and only counts are
     shuffled. A longer one is joined by its keywords' first two characters with those pairs that
-    each document has.
+    each document has: only the documents' numbers go with the pairs, and the texts are joined once
+    to the keywords found that way.
     """
     rows, chars = keywords.agg(F.count("*"), F.coalesce(F.sum(F.length("norm") + F.length("keyword")), F.lit(0))).first()
     if rows <= LISTED and chars <= LISTED_CHARS:
@@ -131,10 +133,12 @@ def cross_df(docs: DataFrame, keywords: DataFrame, text: str = "norm", demote: f
         pairs = docs.join(F.broadcast(listed)).select(F.col("keyword").alias("own"), F.explode(F.filter("ks", lambda x: (x["k"] != "") & F.contains(F.col(text), x["k"]))["keyword"]).alias("keyword"))
     else:
         named = keywords.where("norm <> ''").distinct().select(F.col("keyword").alias("other"), F.col("norm").alias("k"), F.substring("norm", 1, 2).alias("piece"))
-        at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-        pieces = F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col(text), i, F.lit(1)), F.substring(F.col(text), i, F.lit(2)))))
-        each = docs.select("keyword", F.col(text).alias("__t"), F.explode(F.array_distinct(pieces)).alias("piece"))
-        pairs = each.join(named, "piece").where(F.contains("__t", F.col("k"))).select(F.col("keyword").alias("own"), F.col("other").alias("keyword"))
+        at = F.sequence(F.lit(1), F.greatest(F.length("__t"), F.lit(1)))
+        pieces = F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col("__t"), i, F.lit(1)), F.substring(F.col("__t"), i, F.lit(2)))))
+        # numbered in a checkpoint, as a task that runs again may number other rows
+        texts = checkpoint(docs.select(F.col("keyword").alias("own"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__n")))
+        found = texts.select("__n", F.explode(F.array_distinct(pieces)).alias("piece")).join(named, "piece").select("__n", "other", "k")
+        pairs = found.join(texts, "__n").where(F.contains("__t", F.col("k"))).select("own", F.col("other").alias("keyword"))
     hits = pairs.where("own <> keyword").groupBy("keyword").agg(F.count("*").alias("cross_match"))
     size = docs.groupBy("keyword").agg(F.count("*").alias("own_docs"))
     total = size.agg(F.sum("own_docs").alias("total"))

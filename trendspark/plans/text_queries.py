@@ -192,6 +192,16 @@ def t15(spark, d):
     return _answers(spark, d).select("doc_id", text.audit_answer(F.col("t")).alias("audit"))
 
 
+@query("t15_unify_headings", rf"""with {ANSWERS}, hs as (select doc_id, p[2] as extra, array_to_string(regexp_extract_all(p[1], '(?m)^(?:#+\s*)?(?:\*\*)?([1-4])[.)]\s*(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)', 1), ',') as heads,
+  regexp_split_to_array(trim(p[1], chr(10) || ' '), '(?m)^(?:#+\s*)?(?:\*\*)?[1-4][.)]\s*(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)(?:\*\*)?[ 	]*
+')[2:] as bodies from pt),
+al as (select doc_id, heads, list_concat(bodies, case when extra is null then [] else [extra] end) as texts from hs)
+select doc_id, case when heads = '1,2,3,4' and len(list_filter(texts, lambda b: not regexp_matches(regexp_replace(b, '\[자료\s*\d+\]', '', 'g'), '[.!?다요죠음함됨임]\s*$'))) = 0 then
+  array_to_string(list_transform(texts, lambda b, i: '### ' || i || '. ' || (['의미', '유행 이유', '사용법', '확인된 사용 맥락', '트렌드 맥락'])[i] || chr(10) || chr(10) || trim(b, {BLANK})), chr(10) || chr(10)) end as unified from al""")
+def t15_unified(spark, d):
+    return _answers(spark, d).select("doc_id", text.unify_headings(F.col("t")).alias("unified"))
+
+
 @query("t16_audit_trend_claims", rf"""with {ANSWERS}, cl as (select doc_id, n_chars, coalesce(p[2], '') as e from pt),
 v as (select doc_id, n_chars, e, list_transform(regexp_extract_all(e, '(\d+\D+\d+\D+\d+)'), lambda x: list_transform(regexp_split_to_array(x, '\D+'), lambda n: n::int)) as days, list_transform(regexp_extract_all(e, 'z[ =]*(\d+\.\d+)', 1), lambda x: x::double) as z from cl)
 select doc_id, case when trim(e) = '' then 'missing' when not list_contains(days, [2024, 1, 30]) then 'date' when not contains(e, 'hot') then 'status'
