@@ -35,8 +35,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared checkpoint folder.
+def checkpoint(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
+    """Cut lineage by a table in the shared checkpoint folder; into: the session that goes on with it, df's own if none.
 
     A table has a size, so that small ones are broadcast, and nothing else of the plan that made
     it; Dataset.checkpoint hands on partitionings, which multiply in loops of joins until planning
@@ -45,9 +45,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = scratch_dir(spark)
     if any(kind == "void" for _, kind in df.dtypes) or len({c.lower() for c in df.columns}) < len(df.columns):
+        if into is not None:
+            raise ValueError("such columns can't be handed to another session")
         return df.checkpoint()
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return (into or spark).read.schema(df.schema).parquet(folder)
 
 
 def release(spark: SparkSession) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ FLOORS = {"x_words": 1e-4, "x_length": 1e-4, "x_symbols": 1e-4, "x_upper": 1e-4,
 SUBSET = 0.75
 START_STEPS = 2
 MAX_STEPS, TOLERANCE = 12, 0.01  # steps of the best start, and the fall of the log determinant that ends them
-FINE_GROUP = 4096
+BINS = 1024  # of a distance's doubling
 MIN_GROUP = 100
 BROADCAST_GROUPS = 20_000  # rows of some 50 numbers, four to a group at most
 TAIL = 1e-5
@@ -162,9 +161,9 @@ def _near(points: DataFrame, params: DataFrame, p: int) -> DataFrame:
     return near.selectExpr("__key", "start", "n", *_each("u_{i}", p), f"{_distance(p)} as d2")
 
 
-def _sums(near: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Count k, sums a_i and sums of products b_i_j of the points."""
-    return near.groupBy(*keys).agg(*[F.expr(x) for x in ("count(*) as k", *_each("sum(u_{i}) as a_{i}", p), *_both("sum(u_{i} * u_{j}) as b_{i}_{j}", p))])
+def _sums(near: DataFrame, keys: list[str], p: int, weight: str = "1D") -> DataFrame:
+    """Weight k, sums a_i and sums of products b_i_j of the points."""
+    return near.groupBy(*keys).agg(*[F.expr(x) for x in (f"sum({weight}) as k", *_each(f"sum({weight} * u_{{i}}) as a_{{i}}", p), *_both(f"sum({weight} * u_{{i}} * u_{{j}}) as b_{{i}}_{{j}}", p))])
 
 
 def _estimate(sums: DataFrame, known: DataFrame, p: int, factor: str) -> DataFrame:
@@ -177,16 +176,18 @@ def _estimate(sums: DataFrame, known: DataFrame, p: int, factor: str) -> DataFra
 def concentrate(points: DataFrame, params: DataFrame, p: int, hint) -> DataFrame:
     """One step: the h nearest points of each estimate give the next one, whose determinant is no larger.
 
-    Points are summed by logarithmic bins of their distance (a quarter of a percent wide, or four
-    percent in groups over FINE_GROUP rows), and the nearest bins that hold h points are taken.
+    Counts of logarithmic bins of the distance (0.07 % wide, in groups of any size) tell the bin
+    in which the h-th point lies. Points of nearer bins count whole and those of that bin by the
+    share that makes up h, so ties are treated alike. Only counts are shuffled for the bins, and
+    one row a task for the sums.
     """
-    near = _near(points, hint(params), p).selectExpr("*", f"cast(floor(log2(greatest(d2, 1e-9D)) * if(n <= {FINE_GROUP}, 256, 16)) as int) as bin")
+    near = _near(points, hint(params), p).withColumn("bin", F.expr(f"cast(floor(log2(greatest(d2, 1e-9D)) * {BINS}) as int)"))
     known = hint(params.select("__key", "start", "n", "h", "logdet", *_each("f_{i}", p)))
-    bins = _sums(near, ["__key", "start", "bin"], p).join(hint(params.select("__key", "start", "h")), ["__key", "start"])
+    bins = near.groupBy("__key", "start", "bin").agg(F.count("*").alias("k")).join(hint(params.select("__key", "start", "h")), ["__key", "start"])
     upto = F.sum("k").over(Window.partitionBy("__key", "start").orderBy("bin"))
-    nearest = bins.withColumn("upto", upto).where("upto - k < h").groupBy("__key", "start")
-    nearest = nearest.agg(*[F.sum(c).alias(c) for c in ("k", *_each("a_{i}", p), *_both("b_{i}_{j}", p))])
-    return checkpoint(_estimate(nearest, known, p, _consistent("k / n", p)))
+    edges = bins.withColumn("upto", upto).where("upto - k < h and upto >= h").selectExpr("__key", "start", "bin as edge", "(h - (upto - k)) / k as share")
+    inside = near.join(hint(edges), ["__key", "start"]).where("bin <= edge")
+    return checkpoint(_estimate(_sums(inside, ["__key", "start"], p, "if(bin = edge, share, 1D)"), known, p, _consistent("h / n", p)))
 
 
 def _starts(points: DataFrame, frame: DataFrame, p: int, hint) -> DataFrame:
@@ -236,16 +237,13 @@ def _frame(keyed: DataFrame, floors: list[float], share: float, hint) -> DataFra
     return checkpoint(scaled.selectExpr("__key", "n", f"{subset_size(p, share)} as h", *_each("q_{i}", p), *_each("r_{i}", p), *_each("f_{i} / r_{i} / r_{i} as f_{i}", p)))
 
 
-@contextmanager
-def _planned_once(spark: SparkSession, when: bool):
-    """No adaptive planning: for sums of a few thousand rows, planning each stage anew takes the driver more time and memory than it saves."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false" if when else before)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _planned_once(spark: SparkSession) -> SparkSession:
+    """A session of its own without adaptive planning: for sums of a few thousand rows, planning each stage anew takes the driver more time and memory than it saves."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
 
 
 def fit_mcd(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, min_group: int = MIN_GROUP, noise: dict | None = None) -> DataFrame:
@@ -270,25 +268,26 @@ def fit_mcd(stats: DataFrame, group_cols: list[str], subset: float = SUBSET, min
     named = hint(pools.select(*[F.col(g).alias(f"__{g}") for g in groups], "__key"))
     keyed = rows.join(named, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]).drop(*[f"__{g}" for g in groups])
     frame = _frame(keyed, list(FLOORS.values()), subset, hint)
+    spark = stats.sparkSession
+    loop = _planned_once(spark) if hint is F.broadcast else spark
     scales = frame.select("__key", *_each("q_{i}", p), *_each("r_{i}", p))
-    points = checkpoint(keyed.join(hint(scales), "__key").selectExpr("__key", *_each("(x_{i} - q_{i}) / r_{i} as u_{i}", p)))
-    with _planned_once(stats.sparkSession, hint is F.broadcast):
-        params = _starts(points, frame, p, hint)
-        for _ in range(START_STEPS):
-            params = concentrate(points, params, p, hint)
-        rank = F.row_number().over(Window.partitionBy("__key").orderBy("logdet", "start"))
-        params = checkpoint(params.withColumn("__r", rank).where("__r = 1").drop("__r"))
-        release(stats.sparkSession)
-        for _ in range(MAX_STEPS):
-            params = concentrate(points, params, p, hint)
-            if (params.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0) < TOLERANCE:
-                break
-        inside = _near(points, hint(params), p).where(F.col("d2") <= chi2_quantile(0.975, p))
-        last = _estimate(_sums(inside, ["__key", "start"], p), hint(params), p, f"{0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2)}D")
-        last = last.withColumnRenamed("before", "mcd_logdet").drop("start", *_each("f_{i}", p))
-        model = checkpoint(pools.join(hint(last), "__key").join(hint(scales), "__key"))
-        release(stats.sparkSession)
-        return model
+    points = checkpoint(keyed.join(hint(scales), "__key").selectExpr("__key", *_each("(x_{i} - q_{i}) / r_{i} as u_{i}", p)), loop)
+    params = _starts(points, checkpoint(frame, loop), p, hint)
+    for _ in range(START_STEPS):
+        params = concentrate(points, params, p, hint)
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy("logdet", "start"))
+    params = checkpoint(params.withColumn("__r", rank).where("__r = 1").drop("__r"))
+    release(spark)
+    for _ in range(MAX_STEPS):
+        params = concentrate(points, params, p, hint)
+        if (params.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0) < TOLERANCE:
+            break
+    inside = _near(points, hint(params), p).where(F.col("d2") <= chi2_quantile(0.975, p))
+    last = _estimate(_sums(inside, ["__key", "start"], p), hint(params), p, f"{0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2)}D")
+    last = checkpoint(last.withColumnRenamed("before", "mcd_logdet").drop("start", *_each("f_{i}", p)), spark)
+    model = checkpoint(pools.join(hint(last), "__key").join(hint(scales), "__key"))
+    release(spark)
+    return model
 
 
 def mcd_distances(stats: DataFrame, model: DataFrame, group_cols: list[str]) -> DataFrame:
