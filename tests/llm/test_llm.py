@@ -65,8 +65,12 @@ def test_line_dedup_brute(spark):
 
 
 def test_line_dedup_odd_texts_and_names(spark):
-    out = line_dedup.line_dedup(clash(docs(spark, ODD)))
-    assert out.count() == len(ODD) and out.where("n_dropped > 0").count() == 0
+    out = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(clash(docs(spark, ODD))).collect()}
+    assert out == {d: (n, gone, t) for d, n, gone, t in brute_lines(list(enumerate(ODD)))}
+    # three copies of the odd texts: long lines stay in the last one alone
+    rows = list(enumerate(ODD * 3))
+    got = [tuple(r) for r in line_dedup.line_dedup(clash(docs(spark, ODD * 3))).select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert sorted(got, key=str) == brute_lines(rows)
 
 
 def test_line_dedup_is_linear_in_dropped_lines(spark):
@@ -171,7 +175,12 @@ def test_suffix_dedup_slices(spark, monkeypatch):
 
 
 def test_suffix_dedup_odd_texts(spark):
-    assert suffix_dedup.repeated_spans(clash(docs(spark, ODD))).count() == len(ODD)
+    got = {r.doc_id: (r.n_bytes, list(r.starts), list(r.ends), bytes(r.kept)) for r in suffix_dedup.repeated_spans(clash(docs(spark, ODD))).collect()}
+    # repeats inside one document are no matches
+    assert got == {i: (len((t or "").encode()), [], [], (t or "").encode()) for i, t in enumerate(ODD)}
+    twice = suffix_dedup.repeated_spans(docs(spark, ODD + ODD[-2:])).collect()
+    want = {i: (0 if i >= len(ODD) else len((t or "").encode())) for i, t in enumerate(ODD + ODD[-2:])}
+    assert {r.doc_id: len(r.kept) for r in twice} == want
     assert suffix_dedup.repeated_spans(docs(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -205,6 +214,19 @@ def test_url_components(spark):
     assert verdicts(spark, [], rules) == {}
 
 
+def test_url_clashing_names(spark):
+    """Names that the operator uses are the caller's as well; host, path, rule and verdict are replaced."""
+    pages = [(1, "http://a.net/1", canonical("http://bad.org/p")), (2, "http://BAD.org/q?x", None), (3, None, "")]
+    df = spark.createDataFrame(pages, PAGES)
+    names = ("said", "node", "row", "own", "component", "__node", "__own", "v")
+    extra = df.withColumns({c: F.concat(F.lit(c), "page_id") for c in (*names, "host", "path", "rule", "verdict")})
+    got = {r.page_id: r for r in url_filter.url_verdicts(extra, url_filter.link_edges(extra), (("block", "bad.org", "/"),)).collect()}
+    assert all(got[i][c] == f"{c}{i}" for i in got for c in names)
+    assert {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()} == {
+        1: ("a.net", "/1", None, "block"), 2: ("bad.org", "/q", "bad.org/", "block"), 3: ("", "", None, "allow"),
+    }
+
+
 def test_url_sql_with_links(spark, tmp_path):
     rng = np.random.default_rng(3)
     hosts = ["a.example.org", "b.example.com", "c.example.net"]
@@ -613,7 +635,11 @@ def test_classifier_edges(spark):
     one = spark.createDataFrame([(1, 1, 0), (3, None, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
     df = clash(docs(spark, ODD, [1, 1, 2, None, 3, 4, 5, 6, 7]))
     for labels in (none, one):
-        assert quality_classifier.score(df, quality_classifier.fit(df, labels)).count() == len(ODD)
+        model = quality_classifier.fit(df, labels)
+        out = quality_classifier.score(df, model).toPandas()
+        assert len(out) == len(ODD) and out.score.between(0, 1).all()
+        assert quality_classifier.score(df.limit(0), model).count() == 0
+        assert out[out.doc_id.isna()].score.item() == out[(out.doc_id == 3)].score.item()  # equal texts
         out = toxicity.score(df, toxicity.fit(df, labels)).toPandas()
         assert len(out) == len(ODD) and out.score.between(0, 1).all()
     assert toxicity.score(df.limit(0), toxicity.fit(df, none)).count() == 0
@@ -654,4 +680,6 @@ def test_mixing_edges(spark):
     labels = mixing.label_domains(spark.createDataFrame([(5, 1, 0), (6, 0, 0), (7, None, None)], "doc_id bigint, quality int, toxic int"))
     out = mixing.mixing_rates(df, labels).toPandas()
     assert len(out) == len(ODD) and (out.rate >= 0).all() and np.allclose(out[["p_good", "p_poor", "p_toxic"]].sum(axis=1), 1)
+    assert out[out.doc_id.isin([3, 4])].rate.nunique() == 1  # equal texts
+    assert mixing.mixing_rates(df.limit(0), labels).count() == 0
     assert mixing.mixing_rates(df, labels.limit(0)).count() == len(ODD)

@@ -74,19 +74,20 @@ def url_verdicts(pages: DataFrame, edges: DataFrame, rules=RULES, url_col: str =
     ends = checkpoint(ends.distinct())
     own = best_rule(F.col("host"), F.col("path"), rules)
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = pages.select(*keep, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")).withColumn("__own", own)
+    # the caller's columns travel as one, so that none of them meets a name used here
+    out = pages.select(F.struct(*keep).alias("row"), url_node(F.col(url_col)).alias("node"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    out = out.withColumn("own", own)
     linked = F.lit(None).cast("string")
     if not ends.isEmpty():
         member = connected_components(ends)
         host, path = F.substring_index("node", "/", 1), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1)
         ruled = member.withColumn("v", best_rule(F.regexp_extract("node", r"^([^/?]*)", 1), path, rules)["verdict"])
         said = ruled.where("v is not null").groupBy("component").agg(F.min("v").alias("said"))  # 'allow' sorts first
-        linked_nodes = member.join(said, "component").select(F.col("node").alias("__node"), "said")
-        out = out.withColumn("__node", url_node(F.col(url_col))).join(linked_nodes, "__node", "left")
+        out = out.join(member.join(said, "component").select("node", "said"), "node", "left")
         linked = F.col("said")
     return out.select(
-        *keep, "host", "path", F.col("__own")["rule"].alias("rule"),
-        F.coalesce(F.col("__own")["verdict"], linked, F.lit("allow")).alias("verdict"),
+        "row.*", "host", "path", F.col("own")["rule"].alias("rule"),
+        F.coalesce(F.col("own")["verdict"], linked, F.lit("allow")).alias("verdict"),
     )
 
 
