@@ -7,8 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trendspark.functions import text as tx
 from trendspark.functions import urls
@@ -33,26 +37,32 @@ def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Best:
-    """The k best (query, id, score) of what was added, ties by id; queries are rows of unit vectors with keys."""
+    """The k best (query, id, score) of what was added, ties by id; queries are numbers under n."""
 
-    def __init__(self, vectors: np.ndarray, keys: np.ndarray, k: int):
-        self.vectors, self.keys, self.k = vectors, keys, k
-        self.least = np.full(len(vectors), -np.inf)  # the k-th best score so far
+    def __init__(self, n: int, k: int):
+        self.k, self.waits, self.waiting = k, [], 0
+        self.least = np.full(n, -np.inf)  # of the k-th best score a lower bound
         self.held = pd.DataFrame({"q": np.zeros(0, np.int64), "id": [], "score": np.zeros(0)})
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> None:
-        score = np.round(self.vectors @ vectors.T, 9)
-        score[self.keys[:, None] != keys[None]] = -np.inf
-        least = self.least
+    def add(self, queries: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """score: a row for each of these queries, a column for each id; -inf is no hit."""
+        least = self.least[queries]
         if score.shape[1] > self.k:
             least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
         q, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-        found = pd.DataFrame({"q": q, "id": ids[at], "score": score[q, at]})
-        both = pd.concat([x for x in (self.held, found) if len(x)] or [self.held]).sort_values(["q", "score", "id"], ascending=[True, False, True])
-        self.held = both[both.groupby("q").cumcount() < self.k]
+        if len(q):
+            self.waits.append(pd.DataFrame({"q": queries[q], "id": ids[at], "score": score[q, at]}))
+            self.waiting += len(q)
+        if self.waiting > len(self.held) // 2:
+            self.settle()
+
+    def settle(self) -> pd.DataFrame:
+        both = pd.concat([x for x in (self.held, *self.waits) if len(x)] or [self.held]).sort_values(["q", "score", "id"], ascending=[True, False, True])
+        self.held, self.waits, self.waiting = both[both.groupby("q").cumcount() < self.k], [], 0
         full = self.held.groupby("q")["score"].agg(["size", "min"])
         full = full[full["size"] == self.k]
         self.least[full.index.to_numpy(int)] = full["min"].to_numpy()
+        return self.held
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None = "keyword", query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -77,7 +87,7 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None
         ids, keys, vectors = ids[ok], codes.get_indexer(asked["key"])[ok], vectors[ok]
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found = _Best(vectors, keys, k)
+            found, all_of_them = _Best(len(ids), k), np.arange(len(ids))
             for b in batches:
                 for s in range(0, len(b) if len(ids) else 0, SCORED):
                     part = b.iloc[s : s + SCORED]
@@ -85,9 +95,12 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None
                     own = codes.get_indexer(part["key"])
                     fits &= own >= 0
                     if fits.any():
-                        found.add(part["chunk_id"].to_numpy()[fits], own[fits], v[fits])
-            if len(found.held):
-                yield pd.DataFrame({"query_id": ids[found.held["q"].to_numpy(int)], "chunk_id": found.held["id"], "score": found.held["score"]})
+                        score = np.round(vectors @ v[fits].T, 9)
+                        score[keys[:, None] != own[fits][None]] = -np.inf
+                        found.add(all_of_them, part["chunk_id"].to_numpy()[fits], score)
+            held = found.settle()
+            if len(held):
+                yield pd.DataFrame({"query_id": ids[held["q"].to_numpy(int)], "chunk_id": held["id"], "score": held["score"]})
 
         return c.mapInPandas(best, schema)
 
@@ -98,12 +111,95 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, within: str | None
     return _ranked(out, k)
 
 
-def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, within: str | None = "keyword") -> DataFrame:
-    """By the product of token weights. queries: (query_id, keyword, token, weight); postings: (chunk_id, keyword, token, weight); within as in dense_topk."""
-    on = [within, "token"] if within else ["token"]
-    q = queries.select("query_id", *on, F.col("weight").alias("qw"))
-    hit = postings.join(q, on).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-    return _ranked(hit, k)
+class _TokenLists:
+    """For each token the queries that hold it, with their weights; use_only drops queries."""
+
+    def __init__(self, token: np.ndarray, query: np.ndarray, weight: np.ndarray, n: int):
+        order = np.argsort(token, kind="stable")
+        self.all = token[order], query[order], weight[order]
+        self.n_tokens = int(token.max(initial=-1)) + 1
+        self.norm = np.sqrt(np.bincount(query, weight * weight, minlength=n))
+        self.use_only(np.arange(n))
+
+    def use_only(self, queries: np.ndarray) -> None:
+        self.queries, place = queries, np.full(len(self.norm), -1)
+        place[queries] = np.arange(len(queries))
+        token, query, weight = self.all
+        stays = place[query] >= 0
+        self.query, self.weight = place[query[stays]], weight[stays]
+        self.starts = np.searchsorted(token[stays], np.arange(self.n_tokens + 1))
+
+    def score(self, token: np.ndarray, chunk: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """A row a query in use, a column a chunk; -inf where no token is common."""
+        often = np.diff(self.starts)[token]
+        ends = np.cumsum(often)
+        at = np.repeat(self.starts[token] - (ends - often), often) + np.arange(ends[-1] if len(ends) else 0)
+        cell = self.query[at] * n + np.repeat(chunk, often)
+        size, each = len(self.queries) * n, self.weight[at] * np.repeat(weight, often)
+        out = np.bincount(cell, each, minlength=size)
+        out[(out == 0) if (each > 0).all() else np.bincount(cell, minlength=size) == 0] = -np.inf
+        return out.reshape(len(self.queries), n)
+
+
+def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, within: str | None = "keyword", query_bytes: int = 2 * QUERY_BYTES, cells: int = SCORED << 9) -> DataFrame:
+    """By the product of token weights. queries: (query_id, keyword, token, weight); postings: (chunk_id, keyword, token, weight); within as in dense_topk.
+
+    Nothing is joined by tokens, as frequent ones are in most queries and chunks. The postings are gathered by
+    chunk; a task holds the token lists of a block of queries (query_bytes at most, as in dense_topk), takes its chunks
+    by falling length of their weights and keeps the k best of every query. A product is at most that of the two
+    lengths, so a query whose k-th best is over that for the next chunk is through with this task: no pair is lost,
+    ties included. Matrices of scores have cells entries. Null tokens and weights match nothing.
+    """
+    token = F.concat(F.length(F.col(within).cast("string")).cast("string"), F.lit(":"), F.col(within).cast("string"), "token") if within else F.col("token")
+    q = queries.select("query_id", token.alias("token"), F.col("weight").cast("double").alias("weight")).where("token is not null and weight is not null")
+    c = postings.select("chunk_id", token.alias("token"), F.col("weight").cast("double").alias("weight")).where("token is not null and weight is not null")
+    c = c.groupBy("chunk_id").agg(F.collect_list(F.struct("token", "weight")).alias("p"))
+    c = c.select("chunk_id", F.col("p.token").alias("token"), F.col("p.weight").alias("weight"), F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])).alias("norm")).sortWithinPartitions(F.desc("norm"))
+    fields = {x: next(f.dataType for f in df.schema if f.name == x) for df, x in ((queries, "query_id"), (postings, "chunk_id"))}
+    schema = f"query_id {fields['query_id'].simpleString()}, chunk_id {fields['chunk_id'].simpleString()}, score double"
+    blocks = max(1, -(-(q.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0) // query_bytes))
+
+    def search(block: DataFrame) -> DataFrame:
+        asked = block.toPandas()  # query_bytes at most
+        at, ids = pd.factorize(asked["query_id"])
+        codes, tokens = pd.factorize(asked["token"])
+        tokens, weights = pa.array(tokens, pa.string()), asked["weight"].to_numpy(float)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, lists = _Best(len(ids), k), _TokenLists(codes, at, weights, len(ids))
+            for b in batches:
+                for s in range(0, b.num_rows if len(lists.queries) else 0, 256):
+                    part = b.slice(s, 256)
+                    norm, own = part["norm"].to_numpy(), part["chunk_id"].to_pandas().to_numpy()
+                    code = pc.index_in(part["token"].flatten(), value_set=tokens).fill_null(-1).to_numpy()
+                    chunk = np.repeat(np.arange(len(norm)), pc.list_value_length(part["token"]).to_numpy())
+                    known = code >= 0
+                    code, chunk, weight = code[known], chunk[known], part["weight"].flatten().to_numpy()[known]
+                    first = 0
+                    while first < len(norm):
+                        # what rounding may add is far under this
+                        open_ = np.flatnonzero(lists.norm[lists.queries] * norm[first] * (1 + 1e-9) >= found.least[lists.queries])
+                        if 2 * len(open_) <= len(lists.queries):
+                            lists.use_only(lists.queries[open_])
+                        if not len(lists.queries):
+                            break
+                        last = min(len(norm), first + max(1, cells // len(lists.queries)))
+                        low, high = np.searchsorted(chunk, [first, last])
+                        if high > low:
+                            found.add(lists.queries, own[first:last], lists.score(code[low:high], chunk[low:high] - first, weight[low:high], last - first))
+                        first = last
+            held = found.settle()
+            if len(held):
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": ids[held["q"].to_numpy(int)], "chunk_id": held["id"], "score": held["score"]}), pa_schema, preserve_index=False)
+
+        return c.mapInArrow(best, schema)
+
+    pa_schema = to_arrow_schema(StructType([StructField("query_id", fields["query_id"]), StructField("chunk_id", fields["chunk_id"]), StructField("score", DoubleType())]))
+    out = None
+    for n in range(blocks):
+        one = search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else q)
+        out = one if out is None else out.unionByName(one)
+    return _ranked(out, k)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
