@@ -493,3 +493,36 @@ def test_facets_with_near_duplicates(spark):
             kept.append((i, t, True))
     got = retrieval.merge_facets(hits, cap=2, least=5, near=0.8).orderBy("place").collect()
     assert [(r.chunk_id, r.deferred) for r in got] == [(i, d) for i, _, d in kept]
+
+
+def test_sparse_topk_is_exact_without_a_token_join(spark):
+    """Against all pairs, ties by id: frequent tokens, weights of both signs, many blocks of queries and small matrices; no join."""
+    rng = np.random.default_rng(11)
+    rows = [(i, "ab"[i % 2], f"t{int(t)}", float(rng.integers(-1, 4) or 2)) for i in range(90) for t in set(rng.zipf(1.3, 1 + i % 40) % 50)] + [(91, "a", None, 1.0), (92, None, "t1", 1.0), (93, "a", "t1", None)]
+    postings = spark.createDataFrame(rows, "chunk_id bigint, keyword string, token string, weight double")
+    queries = postings.where("chunk_id % 4 = 0").select(F.concat(F.lit("q"), "chunk_id").alias("query_id"), "keyword", "token", "weight")
+    for within in (None, "keyword"):
+        scores = {}
+        for q, qk, qt, qw in rows:
+            for c, ck, ct, cw in rows:
+                if q % 4 == 0 and qt is not None and qt == ct and (not within or (qk is not None and qk == ck)) and qw is not None and cw is not None:
+                    scores.setdefault(f"q{q}", {}).setdefault(c, 0.0)
+                    scores[f"q{q}"][c] += qw * cw
+        want = {(q, c, s, n) for q, found in scores.items() for n, (c, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:7], 1)}
+        for size, cells in ((1 << 20, 1 << 20), (400, 30)):
+            got = retrieval.sparse_topk(queries, postings.repartition(3), 7, within, size, cells)
+            assert {tuple(r) for r in got.collect()} == want
+            assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grades_are_made_for_asked_pairs_only(spark):
+    """Grades of the results and of the ideals are those of all pairs of a keyword, but no more rows than these need."""
+    queries = spark.createDataFrame([(f"q{i}", "ab"[i % 2]) for i in range(6)] + [("z", None)], "query_id string, keyword string")
+    chunk_grades = spark.createDataFrame([(i, "ab"[i % 2] if i != 5 else None, i * 7 % 3) for i in range(40)], "chunk_id int, keyword string, rel int")
+    every = queries.join(chunk_grades, "keyword").select("query_id", "chunk_id", "rel")
+    ranked = spark.createDataFrame([(f"q{i}", m, (i + 3 * r) % 9, r) for i in range(6) for m in ("x", "y") for r in (1, 2, 3)], "query_id string, method string, chunk_id int, rank int")
+    asked, best = evaluation.grades_of(ranked, queries, chunk_grades), evaluation.best_grades(queries, chunk_grades, 5)
+    assert asked.count() <= 18 and best.count() == 30
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(evaluation.grade_results(ranked, asked)) == rows(evaluation.grade_results(ranked, every))
+    assert rows(evaluation.per_query(evaluation.grade_results(ranked, asked), best, 5)) == rows(evaluation.per_query(evaluation.grade_results(ranked, every), every, 5))

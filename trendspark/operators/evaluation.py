@@ -15,6 +15,19 @@ def grade_results(ranked: DataFrame, grades: DataFrame) -> DataFrame:
     return ranked.join(grades.select("query_id", "chunk_id", "rel"), ["query_id", "chunk_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
+def grades_of(pairs: DataFrame, queries: DataFrame, labelled: DataFrame, by: str = "keyword") -> DataFrame:
+    """(query_id, chunk_id, rel) of the pairs whose chunk is graded for the query's group. queries: query_id, by; labelled: chunk_id, by, rel. No other pair of a group is made."""
+    asked = pairs.select("query_id", "chunk_id").distinct().join(queries.select("query_id", by), "query_id")
+    return asked.join(labelled.select("chunk_id", by, "rel"), ["chunk_id", by]).select("query_id", "chunk_id", "rel")
+
+
+def best_grades(queries: DataFrame, labelled: DataFrame, k: int, by: str = "keyword") -> DataFrame:
+    """(query_id, chunk_id, rel) of the k best graded chunks of each query, which are all that its ideal needs; they are found once a group."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rel"), "chunk_id"))
+    best = labelled.select("chunk_id", by, "rel").where(F.col(by).isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k)
+    return queries.select("query_id", by).join(F.broadcast(best), by).select("query_id", "chunk_id", "rel")
+
+
 def precision_at_k(k: int, threshold: int = 2) -> Column:
     """Aggregate over a query's graded results; divides by k even if there are fewer."""
     return F.sum(F.when((F.col("rank") <= k) & (F.col("rel") >= threshold), 1).otherwise(0)) / k
