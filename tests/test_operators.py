@@ -3,10 +3,12 @@
 import datetime as dt
 import difflib
 import html
+import random
 import unicodedata
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trendspark.functions import text, urls
@@ -526,3 +528,38 @@ def test_grades_are_made_for_asked_pairs_only(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(evaluation.grade_results(ranked, asked)) == rows(evaluation.grade_results(ranked, every))
     assert rows(evaluation.per_query(evaluation.grade_results(ranked, asked), best, 5)) == rows(evaluation.per_query(evaluation.grade_results(ranked, every), every, 5))
+
+
+def test_plain_texts_do_not_reach_python(spark, monkeypatch):
+    """Latin-1 and Hangul are folded by Spark, alike; other letters by Python."""
+
+    @F.pandas_udf("string")
+    def none_expected(texts: pd.Series) -> pd.Series:
+        assert texts.isna().all()
+        return texts
+
+    plain = ["", "ASCII Only ~", "".join(map(chr, range(1, 256))), "가나다 Straße µ ÀÉ", "힣\U000000ff"]
+    odd = ["é ŉ ſ İ", "ΑΣ", "각", "각ᆨ", "\U0001f600A"]
+    want = lambda t: unicodedata.normalize("NFC", t).casefold()
+    assert [value(spark, text.fold(F.col("t")), t=t) for t in plain + odd] == [want(t) for t in plain + odd]
+    monkeypatch.setattr(text, "nfc_fold", none_expected)
+    assert [value(spark, text.fold(F.col("t")), t=t) for t in plain] == [want(t) for t in plain]
+
+
+def test_cleaning_tries_patterns_where_they_can_match(spark):
+    """The same as all patterns on all texts, where one makes what the next one matches."""
+    def plain(c):
+        c = F.coalesce(text.unescape(c), F.lit(""))
+        c = F.replace(F.regexp_replace(c, "<[^>]+>", " "), F.lit("\xa0"), F.lit(" "))
+        for pattern, new in ((text.URL, ""), (text.EMAIL, "[EMAIL]"), (text.PHONE, "[PHONE]"), (r"(.)\1{3,}", "$1$1$1")):
+            c = F.regexp_replace(c, pattern, new)
+        for phrase in text.BOILERPLATE:
+            c = F.replace(c, F.lit(phrase), F.lit(" "))
+        c = F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "\n{3,}", "\n\n")
+        return F.trim(F.array_join(F.transform(F.split(c, "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c"))), "\n"), F.lit(" \t\r\n\x0b\x0c"))
+
+    rng = random.Random(5)
+    parts = ["dc official App", "카페 ", "게시글", "이웃추가", "URL복사", "a@b.co", "@", "www.", "http", "://x.y/z", "010-1234-5678", "0", " ", "\t", "\n", "\n\n", "<b>", "<", ">", "&lt;", "&amp;", "&eacute;", "oooo", "é", "\xa0", "<i>w</i>ww.q"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 12)))) for i in range(600)] + [(600, None)]
+    both = spark.createDataFrame(rows, "i int, t string").select("i", text.clean_text(F.col("t")).alias("a"), plain(F.col("t")).alias("b"))
+    assert both.where("not a <=> b").collect() == []
