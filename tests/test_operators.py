@@ -563,3 +563,17 @@ def test_cleaning_tries_patterns_where_they_can_match(spark):
     rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 12)))) for i in range(600)] + [(600, None)]
     both = spark.createDataFrame(rows, "i int, t string").select("i", text.clean_text(F.col("t")).alias("a"), plain(F.col("t")).alias("b"))
     assert both.where("not a <=> b").collect() == []
+
+
+def test_points_are_encoded_in_bounded_calls(spark):
+    """A call has no more texts and bytes than allowed, however large the batch; every row gets its own values."""
+
+    def encoder(texts):
+        assert len(texts) <= 5 and (len(texts) == 1 or sum(len(t.encode()) for t in texts if t) <= 40)
+        return [[float(len(t or ""))] for t in texts], [{1: float(len(t or ""))} if t != "" else {} for t in texts]
+
+    rows = [(i, None if i == 7 else "é" * (i % 13 * (9 if i == 25 else 1)), ["a", str(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, encoding_text string, tags array<string>").coalesce(1)
+    got = retrieval.build_points(df, encoder, 5, 40).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.tags, r.dense, r.sparse) for r in got] == [(i, g, [float(len(t or ""))], {1: float(len(t or ""))} if t != "" else {}) for i, t, g in rows]
+    assert got[0].__fields__ == ["doc_id", "tags", "dense", "sparse"]

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, MapType, StructField, StructType
 
 from trendspark.functions import text as tx
 from trendspark.functions import urls
@@ -339,13 +339,23 @@ def analysis_sources(evidence: DataFrame, by: str = "query_id") -> DataFrame:
     return evidence.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("sources"))
 
 
-def build_points(chunks: DataFrame, encoder) -> DataFrame:
-    """Vector rows: encoder maps a list of texts to (dense vectors, sparse maps), one call for each batch of a task."""
+def build_points(chunks: DataFrame, encoder, most: int = 1024, most_bytes: int = 4 << 20) -> DataFrame:
+    """Vector rows: encoder maps a list of texts to (dense vectors, sparse maps). A call has `most` texts and most_bytes of them at most (one text, if that has more), so neither a task's memory nor a call grows with the table or its texts."""
+    rest = [f for f in chunks.schema if f.name != "encoding_text"]
+    fields = StructType([*rest, StructField("dense", ArrayType(FloatType())), StructField("sparse", MapType(IntegerType(), FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(fields)
         for b in batches:
-            dense, sparse = encoder(list(b["encoding_text"]))
-            yield b.drop(columns="encoding_text").assign(dense=dense, sparse=sparse)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.drop("encoding_text").schema)
-    return chunks.mapInPandas(run, f"{fields}, dense array<float>, sparse map<int,float>")
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b["encoding_text"]), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < b.num_rows:
+                room = np.searchsorted(ends, (ends[first - 1] if first else 0) + most_bytes, side="right")
+                last = min(max(first + 1, int(room)), first + most, b.num_rows)
+                part = b.slice(first, last - first)
+                dense, sparse = encoder(part["encoding_text"].to_pylist())
+                made = [pa.array(dense, schema.field("dense").type), pa.array([None if m is None else list(m.items()) for m in sparse], schema.field("sparse").type)]
+                yield pa.RecordBatch.from_arrays([*(part[f.name].cast(schema.field(f.name).type) for f in rest), *made], schema=schema)
+                first = last
+
+    return chunks.mapInArrow(run, fields)
