@@ -494,6 +494,21 @@ def test_join_recall_on_the_table(spark, threshold):
     assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[d] <= want[d] for d in want)
 
 
+def test_join_of_texts_has_one_plan_at_all_sizes(spark, monkeypatch):
+    """Places small enough for a broadcast aren't broadcast, so that the texts' shuffle doesn't begin at some size only."""
+    plans = []
+
+    def noted(df, *into):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.checkpoint(df, *into)
+
+    monkeypatch.setattr(ngram_join, "checkpoint", noted)
+    rows = [(i, " ".join(f"w{i % 5 * 30 + j}" for j in range(20)) + f" end{i % 2}") for i in range(20)]
+    ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    [verified] = [p for p in plans if "FlatMapGroupsInPandas" in p]
+    assert "SortMergeJoin" in verified and "BroadcastHashJoin" not in verified
+
+
 def test_join_edges(spark):
     out = ngram_join.jaccard_join(clash(docs(spark, ODD, [5, 5, None, 1, 2, 3, 4, 6, 7]))).collect()
     assert sorted(((r.doc_id, r.copy_of, r.class_id, r.n_links) for r in out), key=str) == sorted(

@@ -250,7 +250,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
         (F.col("all") <= BLOCK).alias("packed"),
     )
     placed = checkpoint(placed)
-    texts = plain.join(placed, plain["doc_id"] == placed["rep"]).drop("doc_id")
+    # never by broadcast: what small tables save so would come back as a shuffle of all texts once the places outgrow it
+    texts = plain.join(placed.hint("merge"), plain["doc_id"] == placed["rep"]).drop("doc_id")
     links = checkpoint(texts.groupBy("packed", "group").applyInPandas(_verify(threshold), "sid long, links long, least long"))
     count = links.groupBy("sid").agg(F.sum("links").alias("links"))
     linked = connected_components(links.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), "component")
