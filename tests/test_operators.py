@@ -270,6 +270,29 @@ def dedup_grams(t: str, q: int) -> set[str]:
     return {t[i : i + q] for i in range(len(t) - q + 1)}
 
 
+def test_common_grams_brute():
+    """The index counts the different grams that texts have in common, from `since` on; a floor of the bound is never over it."""
+    texts = [t for t in _many_texts() if len(t) > 12][:70]
+    new, old = texts[:40], texts[25:]
+    joined = lambda ts: (candidates.code_points("".join(ts)), np.array([len(t) for t in ts]))
+    since = np.arange(len(old)) % 30
+    for q in candidates.GRAMS:
+        a, b = candidates.grams(*joined(new), q), candidates.grams(*joined(old), q)
+        keys, repeats = candidates.different(a, len(new))
+        assert repeats.tolist() == [len(t) - q + 1 - len(dedup_grams(t, q)) for t in new]
+        own, _ = candidates.different(candidates.also_in(b, keys), len(old))
+        parts = list(candidates.common_grams(keys, own, since, np.arange(len(old)), len(new)))
+        got = np.vstack([m for _, m in parts])
+        assert np.concatenate([k for k, _ in parts]).tolist() == list(range(len(old)))
+        assert got.tolist() == [[len(dedup_grams(x, q) & dedup_grams(y, q)) if i >= since[k] else 0 for i, x in enumerate(new)] for k, y in enumerate(old)]
+    total = np.arange(2, 3000)
+    for threshold in (0.5, 0.8, 0.9):
+        for begins in (-1, 0, 7, 40, 400):
+            assert all((candidates.surely_common(total, threshold, begins, q) <= candidates.least_common(total, threshold, begins, q)).all() for q in candidates.GRAMS)
+            q = candidates.gram_lengths(total, np.full(len(total), begins), threshold)
+            assert all((candidates.least_common(np.arange(n, 2 * n), threshold, begins, k) >= 1).all() for n, k in zip(total[:300], q))
+
+
 def test_near_duplicates_with_existing_are_greedy(spark):
     """Kept rows are those of the rule in order, also against existing texts, but for those of the same parent."""
     texts = _many_texts()[::2]
