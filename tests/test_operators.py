@@ -600,3 +600,15 @@ def test_points_are_encoded_in_bounded_calls(spark):
     got = retrieval.build_points(df, encoder, 5, 40).orderBy("doc_id").collect()
     assert [(r.doc_id, r.tags, r.dense, r.sparse) for r in got] == [(i, g, [float(len(t or ""))], {1: float(len(t or ""))} if t != "" else {}) for i, t, g in rows]
     assert got[0].__fields__ == ["doc_id", "tags", "dense", "sparse"]
+
+
+def test_sentence_ends_are_told_from_last_characters(spark):
+    """As over the whole text, also where a citation is cut, or nothing but spaces, quotes and citations is left."""
+    rng = np.random.default_rng(8)
+    ends = [".", "다", "x", "자료", "료 1]", "[자료 2]", "[", "]", " ", "\n", "\r", "\u2028", "\u0085", "”)", "7", "a b", "[자료 " + "1" * 300 + "]", "[자료" + " " * 280 + "3]", " " * 300, "*" * 256]
+    texts = ["".join(ends[k] for k in rng.integers(0, len(ends), rng.integers(1, 6))) for _ in range(1500)]
+    texts += ["a. " + "b" * n + e for n in (0, 250, 255, 256, 400) for e in ends] + ["", "다" + "[자료 1]" * 90, "x" + "[자료 1]" * 90, None]
+    t = F.col("t")
+    plain = F.rlike(F.regexp_replace(t, text.CITATION, ""), F.lit(text.SENTENCE_END))
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", plain.alias("want"), text.whole_sentence(t).alias("got")).collect()
+    assert [r.t for r in rows if r.want != r.got] == [] and {r.want for r in rows} == {True, False, None}

@@ -235,6 +235,9 @@ def link_citations(c: Column, n: Column) -> Column:
 TREND_HEAD = r"(?m)^(?:#{1,6}[ \t]*)?(?:\*\*)?5[.)][ \t]*(?:\*\*)?트렌드[ \t]*맥락(?:\*\*)?[ \t]*[:：]?[ \t]*(?:\n|$)?"
 SECTION_HEAD = r"(?m)^(?:#{1,6}\s*)?(?:\*\*)?([1-4])[.)]\s*(?:\*\*)?(?:의미|유행\s*이유|사용법|확인된\s*사용\s*맥락)(?:\*\*)?\s*[:：]?[ \t]*\n?"
 SENTENCE_END = r"""[.!?다요죠음함됨임][ \n\t*`"'’”)\]]*$"""
+# Of the last characters of a part, one that neither may follow a sentence's end nor be left of a citation: what is before it doesn't matter.
+DECIDES = r"""[^\s\d자료*`"'’”)\[\]\x{85}\x{2028}\x{2029}]"""
+LAST = 256
 SECTION_NAMES = ["의미", "유행 이유", "사용법", "확인된 사용 맥락"]
 TREND_NAME = "트렌드 맥락"
 
@@ -246,11 +249,18 @@ def _answer_parts(c: Column) -> tuple[Column, Column, Column]:
     return F.regexp_extract_all(body, F.lit(SECTION_HEAD), 1), F.slice(F.split(body, SECTION_HEAD, -1), 2, 4), F.get(parts, F.lit(1))
 
 
+def whole_sentence(t: Column) -> Column:
+    """Whether a text without its citations ends like a sentence; told from its last characters, where these decide it."""
+    bare = lambda x: F.regexp_replace(x, CITATION, "")
+    ends = lambda x: F.rlike(x, F.lit(SENTENCE_END))
+    last = bare(F.right(t, F.lit(LAST)))
+    return F.when(ends(last), True).when(F.rlike(last, F.lit(DECIDES)), False).otherwise(ends(bare(t)))
+
+
 def audit_answer(c: Column) -> Column:
     """'ok', or why an answer is incomplete: its four headings in order, and each part's end."""
     heads, texts, extra = _answer_parts(c)
-    whole = lambda t: F.rlike(F.regexp_replace(t, CITATION, ""), F.lit(SENTENCE_END))
-    return F.when(F.concat_ws(",", heads) != "1,2,3,4", "headings").when(~F.forall(texts, whole), "cut_off").when(extra.isNotNull() & ~whole(extra), "trend_cut_off").otherwise("ok")
+    return F.when(F.concat_ws(",", heads) != "1,2,3,4", "headings").when(~F.forall(texts, whole_sentence), "cut_off").when(extra.isNotNull() & ~whole_sentence(extra), "trend_cut_off").otherwise("ok")
 
 
 def unify_headings(c: Column) -> Column:
