@@ -534,6 +534,35 @@ def test_sampled_links_are_exact():
     assert set(zip(a.tolist(), k.tolist())) == want and 0 <= depth.min() and depth.max() <= ngram_join.DEPTH
 
 
+def test_sample_is_hashed_in_tasks(spark, monkeypatch):
+    texts = [t for _, t in near_copies(30, 6)] + ["", " ", None, "one two", "one two"]
+    given = docs(spark, texts)
+    there = ngram_join.Sample.of_rows(ngram_join.sample_sets(given), 0.8)
+    here = ngram_join.Sample([t.encode() for t in texts if t is not None], 0.8)  # null texts are not drawn
+    order = lambda s: sorted((h, n, d.tobytes(), sorted(s.value[s.doc == i].tolist())) for i, (h, n, d) in enumerate(zip(s.h1.tolist(), s.size.tolist(), s.digits)))
+    assert order(there) == order(here)
+
+    def no(*_):
+        raise AssertionError("the driver hashes texts")
+
+    monkeypatch.setattr(textvec, "prefix_hash", no)  # workers import their own
+    assert ngram_join.jaccard_join(given).count() == len(texts)
+
+
+def test_loops_count_as_they_write(spark):
+    out, n = common.counted(spark.range(100).repartition(7), "id % 3 = 0")
+    assert n == 34 and out.count() == 100
+    assert common.counted(spark.range(0))[1] == 0 and common.counted(spark.range(9).where("id > 10").distinct())[1] == 0
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "")
+    try:
+        common.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long").where("a > 5"))
+        jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2  # the links' shuffle and their table, which is empty; no job that asks
+
+
 # ------------------------------------------------------------------ decontamination
 
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -52,6 +52,13 @@ def checkpoint(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
     return (into or spark).read.schema(df.schema).parquet(folder)
 
 
+def counted(df: DataFrame, what: str = "true") -> tuple[DataFrame, int]:
+    """checkpoint, and the number of its rows for which what holds: counted as they are written, so that loops ask in no job of its own."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count_if(F.expr(what)).alias("n")))
+    return out, seen.get["n"]
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver collect what a loop's plans leave: Spark lets broadcasts, shuffle files and buffers go only when their handles are collected, which a driver with room to spare puts off."""
     spark._jvm.System.gc()
@@ -84,18 +91,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     written tables, whose hot keys (hubs) Spark can split. Null ends are ignored.
     """
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v")
-    links = checkpoint(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    links, left = counted(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     rounds = []
-    while not links.isEmpty():
+    while left:
         least = checkpoint(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         chosen, moved = least, True
         while moved:
-            ahead = checkpoint(chosen.join(chosen.select(F.col("u").alias("m"), F.col("m").alias("r")), "m"))
-            moved = not ahead.where("m <> r").isEmpty()
+            ahead, moved = counted(chosen.join(chosen.select(F.col("u").alias("m"), F.col("m").alias("r")), "m"), "m <> r")
             chosen = ahead.select("u", F.col("r").alias("m"))
         rounds.append(chosen)
-        left, right = chosen.select("u", F.col("m").alias("p")), chosen.select(F.col("u").alias("v"), F.col("m").alias("q"))
-        links = checkpoint(links.join(left, "u").join(right, "v").where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v")).distinct())
+        one, other = chosen.select("u", F.col("m").alias("p")), chosen.select(F.col("u").alias("v"), F.col("m").alias("q"))
+        links, left = counted(links.join(one, "u").join(other, "v").where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v")).distinct())
     if not rounds:
         return pairs.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
     out = rounds.pop()

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspark.llm import textvec
-from trendspark.llm.common import checkpoint, connected_components, table
+from trendspark.llm.common import checkpoint, connected_components, counted, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -26,6 +27,7 @@ RECALL = 0.999
 SAMPLE, SAMPLE_BYTES = 500, 32_768  # documents whose links are found exactly to measure the recall, and the bytes of their texts
 MEASURED = 20  # sampled documents with links that a measure needs; else a pair at the threshold counts
 BLOCK = 1024
+SETS = "n long, h1 long, labels binary, shingles binary"
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -102,8 +104,20 @@ class Sample:
     """Sampled sets, and the exact links of other sets to them."""
 
     def __init__(self, texts: list[bytes], threshold: float):
-        self.threshold = threshold
-        self.size, self.h1, _, self.digits, (doc, value) = signatures(texts)
+        self._index(*signatures(texts), threshold)
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table, threshold: float) -> Sample:
+        """Of rows of SETS, so that the driver, which makes it, hashes no texts."""
+        size = rows["n"].to_numpy()
+        each = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind)
+        out = cls.__new__(cls)
+        out._index(size, rows["h1"].to_numpy(), None, each("labels", ">u2").reshape(-1, TREES, DEPTH), (np.repeat(np.arange(len(size)), size), each("shingles", np.uint64)), threshold)
+        return out
+
+    def _index(self, size, h1, _, digits, sets, threshold: float) -> None:
+        self.threshold, self.size, self.h1, self.digits = threshold, size, h1, digits
+        doc, value = sets
         order = np.argsort(value, kind="stable")
         self.value, self.doc = value[order], doc[order]
         self.seen = np.zeros(1 << 20, bool)
@@ -135,11 +149,19 @@ def _sign(shared):
     return run
 
 
-def sample_texts(plain: DataFrame) -> list[bytes]:
-    """At most SAMPLE texts of at most SAMPLE_BYTES, those with the least hashed ids."""
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts = textvec.encoded(b["text"])
+        for i, j in textvec.chunks(texts):
+            count, h1, _, digits, (_, value) = signatures(texts[i:j])
+            yield pd.DataFrame({"n": count, "h1": h1, "labels": [x.tobytes() for x in digits], "shingles": [x.tobytes() for x in np.split(value, np.cumsum(count)[:-1])]})
+
+
+def sample_sets(plain: DataFrame) -> pa.Table:
+    """Rows of SETS of at most SAMPLE texts of at most SAMPLE_BYTES, those with the least hashed ids; texts are hashed in a task."""
     fits = plain.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("doc_id").isNotNull())
     ids = fits.select("doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h")).distinct().orderBy("h").limit(SAMPLE).select("doc_id")
-    return textvec.encoded([r["text"] for r in fits.join(F.broadcast(ids), "doc_id").select("text").limit(SAMPLE).collect()])
+    return fits.join(F.broadcast(ids), "doc_id").select("text").limit(SAMPLE).mapInPandas(_sets, SETS).toArrow()
 
 
 def block_links(doc: np.ndarray, value: np.ndarray, n: int, weight: np.ndarray, across: np.ndarray, threshold: float, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +235,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     Rows that share an id are separate documents. A recall that the trees can't reach is an error.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Sample(sample_texts(plain), threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(Sample.of_rows(sample_sets(plain), threshold))
     schema = "doc_id long, n long, h1 long, h2 long, labels binary, hits array<int>"
     signed = checkpoint(plain.where("doc_id is not null").mapInPandas(_sign(shared), schema))
     found = {}
@@ -232,10 +254,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     member = connected_components(entries.join(nodes, ["tree", "prefix"]).where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
     member = member.join(same.drop("labels"), member["node"] == same["sid"]).drop("node")
     # sizes differ by less than the factor 1/threshold in a link: only neighbouring size classes meet
-    member = checkpoint(member.withColumn("z", F.floor(F.ln("n") / float(-np.log(threshold)) + 1e-9).cast("int")))
+    member, total = counted(member.withColumn("z", F.floor(F.ln("n") / float(-np.log(threshold)) + 1e-9).cast("int")))
     classes = member.groupBy("component", "z").agg(F.count("*").alias("m")).withColumn("subs", F.ceil(F.col("m") / BLOCK).cast("int"))
     sizes = classes.groupBy("component").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("z", "subs"))).alias("subs"))
-    total = member.count()
     member = member.join(checkpoint(sizes), "component")
     groups = max(1, -(-total // BLOCK))
     own = F.col("z") * 1_000_000 + F.pmod(F.xxhash64("sid"), F.col("subs")[F.col("z")])

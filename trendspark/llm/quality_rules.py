@@ -157,8 +157,8 @@ def _distance(p: int, prefix: str = "") -> str:
 
 def _near(points: DataFrame, params: DataFrame, p: int) -> DataFrame:
     """Each point under each of its group's estimates, with d2."""
-    near = points.join(params, "__key").selectExpr("__key", "start", "n", *_each("u_{i}", p), *_each("u_{i} - m_{i} as z_{i}", p), *_both("w_{i}_{j}", p))
-    return near.selectExpr("__key", "start", "n", *_each("u_{i}", p), f"{_distance(p)} as d2")
+    near = points.join(params, "__key").selectExpr("__key", "start", "n", "h", *_each("u_{i}", p), *_each("u_{i} - m_{i} as z_{i}", p), *_both("w_{i}_{j}", p))
+    return near.selectExpr("__key", "start", "n", "h", *_each("u_{i}", p), f"{_distance(p)} as d2")
 
 
 def _sums(near: DataFrame, keys: list[str], p: int, weight: str = "1D") -> DataFrame:
@@ -183,7 +183,7 @@ def concentrate(points: DataFrame, params: DataFrame, p: int, hint) -> DataFrame
     """
     near = _near(points, hint(params), p).withColumn("bin", F.expr(f"cast(floor(log2(greatest(d2, 1e-9D)) * {BINS}) as int)"))
     known = hint(params.select("__key", "start", "n", "h", "logdet", *_each("f_{i}", p)))
-    bins = near.groupBy("__key", "start", "bin").agg(F.count("*").alias("k")).join(hint(params.select("__key", "start", "h")), ["__key", "start"])
+    bins = near.groupBy("__key", "start", "h", "bin").agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy("__key", "start").orderBy("bin"))
     edges = bins.withColumn("upto", upto).where("upto - k < h and upto >= h").selectExpr("__key", "start", "bin as edge", "(h - (upto - k)) / k as share")
     inside = near.join(hint(edges), ["__key", "start"]).where("bin <= edge")
