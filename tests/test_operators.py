@@ -540,6 +540,15 @@ def test_sparse_topk_is_exact_without_a_token_join(spark):
             assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sparse_topk_of_tokens_that_no_open_query_has(spark):
+    """Once q0 is through, the next chunks hold only tokens that none of the other queries has."""
+    queries = spark.createDataFrame([("q0", "k", "x", 1.0), ("q1", "k", "y", 1.0)], "query_id string, keyword string, token string, weight double")
+    rows = [(i, "k", "x", 20.0 - i) for i in range(10)] + [(10, "k", "y", 2.0), (11, "k", "y", 1.0)]
+    postings = spark.createDataFrame(rows, "chunk_id bigint, keyword string, token string, weight double").coalesce(1)
+    got = retrieval.sparse_topk(queries, postings, 1, None, cells=1).orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [("q0", 0, 20.0, 1), ("q1", 10, 2.0, 1)]
+
+
 def test_grades_are_made_for_asked_pairs_only(spark):
     """Grades of the results and of the ideals are those of all pairs of a keyword, but no more rows than these need."""
     queries = spark.createDataFrame([(f"q{i}", "ab"[i % 2]) for i in range(6)] + [("z", None)], "query_id string, keyword string")

@@ -136,7 +136,7 @@ class _TokenLists:
         at = np.repeat(self.starts[token] - (ends - often), often) + np.arange(ends[-1] if len(ends) else 0)
         cell = self.query[at] * n + np.repeat(chunk, often)
         size, each = len(self.queries) * n, self.weight[at] * np.repeat(weight, often)
-        out = np.bincount(cell, each, minlength=size)
+        out = np.bincount(cell, each, minlength=size).astype(float, copy=False)  # bincount of nothing counts in integers
         out[(out == 0) if (each > 0).all() else np.bincount(cell, minlength=size) == 0] = -np.inf
         return out.reshape(len(self.queries), n)
 
