@@ -310,6 +310,41 @@ def test_near_duplicates_with_existing_are_greedy(spark):
     assert dedup.drop_near_duplicates(chunk_rows, existing.limit(0)).count() == dedup.drop_near_duplicates(chunk_rows).count()
 
 
+def test_near_duplicates_in_rounds_write_few_pairs(spark, monkeypatch):
+    """Many near copies of a text: in blocks of 8 the rows are those of the rule, no round writes pairs of all copies, and no text leaves a cell."""
+    rng = np.random.default_rng(17)
+    base = dedup_words(rng, 25)
+    rows = []
+    for n in range(120):
+        words = list(base)
+        words[int(rng.integers(0, 25))] = f"n{n}"
+        rows.append(("k" if n % 4 else "other", 10 * n, n % 5, " ".join(words) if n % 6 else f"{n} " + " ".join(dedup_words(rng, 20))))
+    old = [("k", 3, rows[1][3])]
+    kept = []
+    for k, n, parent, t in rows:
+        if not any(k == o and parent != p and _similar(t, x) for o, p, x in old) and not any(k == o and _similar(t, x) for o, x in kept):
+            kept.append((k, t))
+    monkeypatch.setattr(candidates, "BLOCK", 8)
+    sizes, plans, checkpoint = [], [], dedup.checkpoint
+
+    def noted(df):
+        out = checkpoint(df)
+        if "later" in df.columns:
+            sizes.append(out.count())
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(dedup, "checkpoint", noted)
+    chunk_rows = spark.createDataFrame(rows, "keyword string, seq int, parent_id int, text string").repartition(3)
+    got = dedup.drop_near_duplicates(chunk_rows, spark.createDataFrame(old, "keyword string, parent_id int, text string")).collect()
+    assert [(r.keyword, r.text) for r in sorted(got, key=lambda r: r.seq)] == kept and 20 < len(kept) < 40
+    assert max(sizes) <= 2 * (8 * 7 // 2 + 8 * len(kept)) and not any("text" in p.split("FlatMapGroupsInPandas")[0] for p in plans)
+
+
+def dedup_words(rng, n: int) -> list[str]:
+    return ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+
+
 def test_bounds_of_candidates():
     """May-be checks never turn down a pair that reaches the threshold; common subsequences are those of the table."""
     texts = _many_texts()
