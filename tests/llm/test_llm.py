@@ -534,6 +534,19 @@ def test_sampled_links_are_exact():
     assert set(zip(a.tolist(), k.tolist())) == want and 0 <= depth.min() and depth.max() <= ngram_join.DEPTH
 
 
+def test_join_does_not_depend_on_a_sample(spark, monkeypatch):
+    """Pairs at the threshold are found though every document that a sample may hold has near copies only, for which whole labels would do."""
+    monkeypatch.setattr(ngram_join, "SAMPLE_BYTES", 400)
+    near = [(2 * k + j, " ".join([f"n{k}_{i}" for i in range(50)] + [f"end{j}"])) for k in range(60) for j in (0, 1)]
+    edge = [(10_000 + 2 * k + j, " ".join(f"e{k}_{i}" for i in range(20 * j, 184 + 20 * j))) for k in range(400) for j in (0, 1)]
+    df = spark.createDataFrame(near + edge, "doc_id bigint, text string")
+    assert ngram_join.prefix_depth(ngram_join.sampled_links(df, 0.8), 0.8) == ngram_join.DEPTH
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(df).collect()}
+    assert got == {d: (d // 2 * 2, 1) for d, _ in near + edge}
+    monkeypatch.setattr(ngram_join, "sample_sets", None)
+    assert ngram_join.jaccard_join(df.limit(9)).count() == 9
+
+
 def test_sample_is_hashed_in_tasks(spark, monkeypatch):
     texts = [t for _, t in near_copies(30, 6)] + ["", " ", None, "one two", "one two"]
     given = docs(spark, texts)

@@ -2,8 +2,8 @@
 
 Every set of shingles has a label of DEPTH digits (16 bits of a MinHash each) in each of TREES
 trees. Labels are sorted by range, which makes a tree a sorted prefix trie; sets that share a
-prefix are candidates. Matching begins with whole labels, and the prefix is shortened until the
-recall, measured against exact links of a sample of documents, reaches the target.
+prefix are candidates. The prefix is the longest at which a pair at the threshold, and so every more similar one, is
+found with the chance RECALL. Nothing that the join does depends on a sample; one is only drawn to measure the recall.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspark.llm import textvec
-from trendspark.llm.common import checkpoint, connected_components, counted, table
+from trendspark.llm.common import checkpoint, connected_components, counted, release, table
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.999
-SAMPLE, SAMPLE_BYTES = 500, 32_768  # documents whose links are found exactly to measure the recall, and the bytes of their texts
+SAMPLE, SAMPLE_BYTES = 500, 32_768  # `sampled_links`: documents whose links are found exactly, and the bytes of their texts
 MEASURED = 20  # sampled documents with links that a measure needs; else a pair at the threshold counts
 BLOCK = 1024
 SETS = "n long, h1 long, labels binary, shingles binary"
@@ -41,10 +41,11 @@ def expected_recall(threshold: float, depth: int, trees: int = TREES) -> float:
 
 
 def prefix_depth(found: dict[int, list[int]], threshold: float, recall: float = RECALL) -> int:
-    """Shorten the prefix from whole labels until the recall reaches the target.
+    """Shorten the prefix from whole labels until the recall reaches the target: that of a pair at the threshold, where nothing is given.
 
     found: for each sampled document with links, how many of them share at most 0, 1, ... DEPTH
-    digits in their best tree. Documents count alike, however many links they have.
+    digits in their best tree. Documents count alike, however many links they have. It tells the depth that
+    suffices for links like those of the sample, which may be too long for others.
     """
     for depth in range(DEPTH, 0, -1):
         reached = [sum(links[depth:]) / sum(links) for links in found.values()]
@@ -136,15 +137,22 @@ class Sample:
         return a, b, np.cumprod(digits[a] == self.digits[b], axis=2).sum(2).max(1, initial=0)
 
 
-def _sign(shared):
+def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts = textvec.encoded(b["text"])
+        for i, j in textvec.chunks(texts):
+            count, h1, h2, digits, _ = signatures(texts[i:j])
+            yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n": count, "h1": h1, "h2": h2, "labels": [x.tobytes() for x in digits]})
+
+
+def _hits(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = textvec.encoded(b["text"])
             for i, j in textvec.chunks(texts):
-                count, h1, h2, digits, sets = signatures(texts[i:j])
-                a, k, depth = shared.value.links(count, h1, digits, *sets)
-                hits = np.split((k * 16 + depth).astype(np.int32), np.searchsorted(a, np.arange(1, j - i)))
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n": count, "h1": h1, "h2": h2, "labels": [x.tobytes() for x in digits], "hits": hits})
+                count, h1, _, digits, sets = signatures(texts[i:j])
+                _, k, depth = shared.value.links(count, h1, digits, *sets)
+                yield pd.DataFrame({"hit": (k * 16 + depth).astype(np.int32)})
 
     return run
 
@@ -164,6 +172,15 @@ def sample_sets(plain: DataFrame) -> pa.Table:
     return fits.join(F.broadcast(ids), "doc_id").select("text").limit(SAMPLE).mapInPandas(_sets, SETS).toArrow()
 
 
+def sampled_links(plain: DataFrame, threshold: float) -> dict[int, list[int]]:
+    """What `prefix_depth` takes, of the exact links between a sample and all rows (doc_id, text): a measure of the recall, which the join doesn't need."""
+    shared = plain.sparkSession.sparkContext.broadcast(Sample.of_rows(sample_sets(plain), threshold))
+    found = {}
+    for hit, k in plain.where("doc_id is not null").select("text").mapInPandas(_hits(shared), "hit int").groupBy("hit").count().collect():  # SAMPLE * (DEPTH + 1) rows at most
+        found.setdefault(hit // 16, [0] * (DEPTH + 1))[hit % 16] = k
+    return found
+
+
 def block_links(doc: np.ndarray, value: np.ndarray, n: int, weight: np.ndarray, across: np.ndarray, threshold: float, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Verify all pairs of n sets exactly: for each, the weight of its partners and the label of its component.
 
@@ -232,16 +249,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     of BLOCK sets whose sizes can fit, so that pairs are counted and never emitted. n_links: other
     rows with at least this Jaccard similarity, copies included; class_id: the least id that links
     lead to. Texts without words, and rows with a null id, have no links and their own id as class.
-    Rows that share an id are separate documents. A recall that the trees can't reach is an error.
+    Rows that share an id are separate documents. recall: the chance to find a pair at the threshold, more for more similar ones; one that the trees can't reach is an error.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Sample.of_rows(sample_sets(plain), threshold))
-    schema = "doc_id long, n long, h1 long, h2 long, labels binary, hits array<int>"
-    signed = checkpoint(plain.where("doc_id is not null").mapInPandas(_sign(shared), schema))
-    found = {}
-    for hit, k in signed.select(F.explode("hits").alias("hit")).groupBy("hit").count().collect():  # SAMPLE * (DEPTH + 1) rows at most
-        found.setdefault(hit // 16, [0] * (DEPTH + 1))[hit % 16] = k
-    depth = prefix_depth(found, threshold, recall)
+    depth = prefix_depth({}, threshold, recall)
+    signed = checkpoint(plain.where("doc_id is not null").mapInPandas(_sign, "doc_id long, n long, h1 long, h2 long, labels binary"))
     sets = ["n", "h1", "h2"]
     same = signed.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     same = checkpoint(same.withColumn("sid", F.monotonically_increasing_id()))
@@ -252,6 +264,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     entries = trees.select("tree", F.substring("label", 1, 2 * depth).alias("prefix"), "sid")
     nodes = checkpoint(entries.groupBy("tree", "prefix").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").drop("most"))
     member = connected_components(entries.join(nodes, ["tree", "prefix"]).where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
+    release(docs.sparkSession)
     member = member.join(same.drop("labels"), member["node"] == same["sid"]).drop("node")
     # sizes differ by less than the factor 1/threshold in a link: only neighbouring size classes meet
     member, total = counted(member.withColumn("z", F.floor(F.ln("n") / float(-np.log(threshold)) + 1e-9).cast("int")))
@@ -276,6 +289,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     links = checkpoint(texts.groupBy("packed", "group").applyInPandas(_verify(threshold), "sid long, links long, least long"))
     count = links.groupBy("sid").agg(F.sum("links").alias("links"))
     linked = connected_components(links.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), "component")
+    release(docs.sparkSession)
     known = checkpoint(same.drop("labels").join(count, "sid", "left").join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     first = checkpoint(known.groupBy("component").agg(F.min("rep").alias("class_id")))
     known = known.join(first, "component").select(*sets, F.col("rep").alias("copy_of"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
